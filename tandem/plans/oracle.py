@@ -69,14 +69,14 @@ def season_before(fn: str, col: str) -> str:
 
 
 def feature_select(windows=(3, 5, 10, 15), stats=ROLLING_STATS, std_stats=VOLATILITY_STATS,
-                   rest=True, season=True, pace=True, trend=True, std_round=6) -> str:
+                   rest=True, season=True, pace=True, trend=True) -> str:
     """SELECT list of the per-team features over ``long``."""
     cols = []
     for w in windows:
         for s in stats:
             cols.append(f"{trailing('avg', s, w)} AS {s}_roll_{w}")
         for s in std_stats:
-            cols.append(f"round({trailing('stddev_samp', s, w)}, {std_round}) AS {s}_std_{w}")
+            cols.append(f"{trailing('stddev_samp', s, w)} AS {s}_std_{w}")
     if pace:
         for w in windows:
             cols += [f"{trailing('avg', 'points_scored', w)} AS off_pace_{w}",
@@ -107,3 +107,83 @@ def feature_select(windows=(3, 5, 10, 15), stats=ROLLING_STATS, std_stats=VOLATI
 def with_ctes(*extra: str) -> str:
     parts = [GAMES_CTES.strip(), LONG_CTES.strip(), *[e.strip() for e in extra]]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def side_columns(windows=(3, 5, 10, 15)) -> list[str]:
+    from tandem.functions.names import side_feature_columns
+    return side_feature_columns(list(windows))
+
+
+FEAT_CTE = ("feat AS (SELECT game_id, is_home, team, date, season, total, points_scored, points_allowed, "
+            + feature_select() + " FROM long)")
+
+
+def pair_cte(cols: list[str], name: str = "pair", how: str = "event") -> str:
+    """games LEFT JOIN home-side and away-side feature rows."""
+    sel = ", ".join([f"h.{c} AS home_{c}" for c in cols] + [f"a.{c} AS away_{c}" for c in cols])
+    if how == "event":
+        on_h, on_a = "h.game_id = g.game_id AND h.is_home = 1", "a.game_id = g.game_id AND a.is_home = 0"
+    else:
+        on_h, on_a = "h.team = g.home AND h.date = g.date", "a.team = g.away AND a.date = g.date"
+    return (f"{name} AS (SELECT g.*, {sel} FROM games g LEFT JOIN feat h ON {on_h} "
+            f"LEFT JOIN feat a ON {on_a})")
+
+
+def matchup_select(windows=(3, 5, 10, 15)) -> str:
+    """M1-M12 over the paired columns."""
+    e = ["score_home + score_away AS actual_total",
+         "CAST(coalesce(score_home + score_away > total, false) AS INTEGER) AS went_over"]
+    for w in windows:
+        e += [f"home_points_scored_roll_{w} + away_points_scored_roll_{w} AS combined_scoring_{w}",
+              f"home_points_allowed_roll_{w} + away_points_allowed_roll_{w} AS combined_defense_{w}",
+              f"(home_points_scored_roll_{w} + away_points_allowed_roll_{w}) / 2 + "
+              f"(away_points_scored_roll_{w} + home_points_allowed_roll_{w}) / 2 AS expected_total_{w}",
+              f"(home_pace_{w} + away_pace_{w}) / 2 AS pace_matchup_{w}",
+              f"(home_total_points_std_{w} + away_total_points_std_{w}) / 2 AS combined_volatility_{w}"]
+    for w in windows:
+        e += [f"total - ((home_points_scored_roll_{w} + away_points_allowed_roll_{w}) / 2 + "
+              f"(away_points_scored_roll_{w} + home_points_allowed_roll_{w}) / 2) AS line_vs_expected_{w}",
+              f"home_total_points_roll_{w} - total AS home_over_tendency_{w}",
+              f"away_total_points_roll_{w} - total AS away_over_tendency_{w}"]
+    e += ["home_days_rest + away_days_rest AS total_rest",
+          "home_days_rest - away_days_rest AS rest_diff",
+          "CAST(coalesce(home_days_rest >= 2 AND away_days_rest >= 2, false) AS INTEGER) AS both_rested",
+          "CAST(coalesce(home_is_b2b + away_is_b2b = 2, false) AS INTEGER) AS both_b2b",
+          "home_scoring_trend + away_scoring_trend AS combined_scoring_trend",
+          "home_total_trend + away_total_trend AS combined_total_trend",
+          "CAST(coalesce(home_game_num <= 25, false) AS INTEGER) AS home_early_season",
+          "CAST(coalesce(away_game_num <= 25, false) AS INTEGER) AS away_early_season"]
+    return ", ".join(e)
+
+
+GAME_COLUMNS = ["game_id", "season", "date", "away", "home", "score_away", "score_home",
+                "q1_away", "q2_away", "q3_away", "q4_away", "ot_away",
+                "q1_home", "q2_home", "q3_home", "q4_home", "ot_home", "total"]
+
+
+def processed_ctes(how: str = "event", sparse: bool = True) -> list[str]:
+    """CTEs ending in ``processed``: D6 over the games view (with P7)."""
+    cols = side_columns()
+    wide = GAME_COLUMNS + [f"home_{c}" for c in cols] + [f"away_{c}" for c in cols]
+    from tandem.functions.names import matchup_feature_columns
+    wide += ["actual_total", "went_over"] + matchup_feature_columns()
+    thresh = -(-len(wide) // 2)
+    nn = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in wide)
+    ctes = [FEAT_CTE, pair_cte(cols, how=how),
+            f"mu AS (SELECT *, {matchup_select()} FROM pair)"]
+    if sparse:
+        ctes.append(f"processed AS (SELECT * FROM mu WHERE ({nn}) >= {thresh})")
+    else:
+        ctes.append("processed AS (SELECT * FROM mu)")
+    return ctes
+
+
+def is_noisy(col: str) -> bool:
+    """Columns derived from a standard deviation: engines differ in the last
+    bits, so both sides round them to 6 decimals in query output."""
+    return "_std_" in col or "volatility" in col
+
+
+def project(cols: list[str], src: str) -> str:
+    sel = ", ".join(f"round({c}, 6) AS {c}" if is_noisy(c) else c for c in cols)
+    return f"SELECT {sel} FROM {src}"
