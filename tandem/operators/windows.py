@@ -68,13 +68,16 @@ def mark_hot(df: DataFrame, entity: str, policy: SplitPolicy) -> DataFrame:
     return marked.withColumn("_bucket", F.when(F.col("_hot"), day).otherwise(F.lit(_NO_BUCKET)))
 
 
-def with_halo(marked: DataFrame, entity: str, order: list[tuple[str, bool]], lookback: int) -> DataFrame:
+def with_halo(marked: DataFrame, entity: str, order: list[tuple[str, bool]], lookback: int,
+              source: Column | None = None) -> DataFrame:
     """Rows flagged ``_halo=False`` plus, per hot bucket, the ``lookback``
-    preceding rows of the same entity flagged ``_halo=True``."""
+    preceding rows of the same entity flagged ``_halo=True``. ``source``
+    restricts which rows may serve as halo rows (e.g. only feature rows in an
+    as-of join)."""
     base = marked.withColumn("_halo", F.lit(False))
     if lookback <= 0:
         return base
-    hot = marked.filter(F.col("_hot"))
+    hot = marked.filter(F.col("_hot") if source is None else F.col("_hot") & source)
     # last `lookback` rows of each bucket (WindowGroupLimit: partial limit before the shuffle)
     tails = (hot.withColumn("_tr", F.row_number().over(
                 Window.partitionBy(entity, "_bucket").orderBy(*order_by(order, reverse=True))))
@@ -254,3 +257,41 @@ def ts_folds(df: DataFrame, n_splits: int = 5, order: list[tuple[str, bool]] | N
     idx0 = F.col("position") - 1
     fold = F.when((block > 0) & (idx0 >= first_val), F.floor((idx0 - first_val) / block).cast("int"))
     return pos.withColumn("fold", fold)
+
+
+# --------------------------------------------------------------------------- J3
+
+def asof_latest(left: DataFrame, right: DataFrame, entity: str, payload: list[str],
+                left_date: str = "date", right_order: list[tuple[str, bool]] | None = None,
+                split: SplitPolicy = SplitPolicy(), inclusive: bool = False) -> DataFrame:
+    """For each ``left`` row, the latest ``right`` row of the same entity
+    with ``right.date < left.date`` (``<=`` when ``inclusive``), as a struct
+    column ``asof`` (NULL when none).
+
+    Union form: left and right rows are interleaved in one per-entity order
+    (on equal dates the left row sorts before the right rows when strict,
+    after them when inclusive) and ``last(payload, ignorenulls)`` over the
+    preceding rows picks the as-of match. One shuffle by entity; hot entities
+    are split into day buckets and each bucket gets a one-row halo of the
+    latest right row before it, so the result is identical.
+    """
+    right_order = right_order or GAME_ORDER
+    rdate = right_order[0][0]
+    l = left.select(F.col(entity).alias("_e"), F.col(left_date).alias("_d"),
+                    F.lit(0 if not inclusive else 1).alias("_kind"),
+                    F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
+                    F.lit(None).cast(right.select(F.struct(*payload)).schema[0].dataType).alias("_p"),
+                    *[F.lit(None).cast(right.schema[c].dataType).alias(f"_o{i}") for i, (c, _) in enumerate(right_order[1:])])
+    r = right.select(F.col(entity).alias("_e"), F.col(rdate).alias("_d"),
+                     F.lit(1 if not inclusive else 0).alias("_kind"),
+                     F.lit(None).cast(l.schema["_left"].dataType).alias("_left"),
+                     F.struct(*payload).alias("_p"),
+                     *[F.col(c).alias(f"_o{i}") for i, (c, _) in enumerate(right_order[1:])])
+    both = l.unionByName(r)
+    order = [("_d", True), ("_kind", True)] + [(f"_o{i}", asc) for i, (_, asc) in enumerate(right_order[1:])]
+    marked = mark_hot(both, "_e", SplitPolicy(split.hot_rows, split.max_hot, "_d", split.force))
+    full = with_halo(marked, "_e", order, 1, source=F.col("_p").isNotNull())
+    w = Window.partitionBy("_e", "_bucket").orderBy(*order_by(order)).rowsBetween(Window.unboundedPreceding, -1)
+    out = (full.withColumn("asof", F.last("_p", ignorenulls=True).over(w))
+           .filter(~F.col("_halo") & F.col("_left").isNotNull()))
+    return out.select("_left.*", "asof")

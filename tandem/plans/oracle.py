@@ -129,10 +129,12 @@ def pair_cte(cols: list[str], name: str = "pair", how: str = "event") -> str:
             f"LEFT JOIN feat a ON {on_a})")
 
 
-def matchup_select(windows=(3, 5, 10, 15)) -> str:
-    """M1-M12 over the paired columns."""
-    e = ["score_home + score_away AS actual_total",
-         "CAST(coalesce(score_home + score_away > total, false) AS INTEGER) AS went_over"]
+def matchup_select(windows=(3, 5, 10, 15), line: str = "total", target: bool = True) -> str:
+    """M1-M12 over the paired columns (``line`` may be a NULL literal)."""
+    e = []
+    if target:
+        e += ["score_home + score_away AS actual_total",
+              f"CAST(coalesce(score_home + score_away > {line}, false) AS INTEGER) AS went_over"]
     for w in windows:
         e += [f"home_points_scored_roll_{w} + away_points_scored_roll_{w} AS combined_scoring_{w}",
               f"home_points_allowed_roll_{w} + away_points_allowed_roll_{w} AS combined_defense_{w}",
@@ -141,10 +143,10 @@ def matchup_select(windows=(3, 5, 10, 15)) -> str:
               f"(home_pace_{w} + away_pace_{w}) / 2 AS pace_matchup_{w}",
               f"(home_total_points_std_{w} + away_total_points_std_{w}) / 2 AS combined_volatility_{w}"]
     for w in windows:
-        e += [f"total - ((home_points_scored_roll_{w} + away_points_allowed_roll_{w}) / 2 + "
+        e += [f"{line} - ((home_points_scored_roll_{w} + away_points_allowed_roll_{w}) / 2 + "
               f"(away_points_scored_roll_{w} + home_points_allowed_roll_{w}) / 2) AS line_vs_expected_{w}",
-              f"home_total_points_roll_{w} - total AS home_over_tendency_{w}",
-              f"away_total_points_roll_{w} - total AS away_over_tendency_{w}"]
+              f"home_total_points_roll_{w} - {line} AS home_over_tendency_{w}",
+              f"away_total_points_roll_{w} - {line} AS away_over_tendency_{w}"]
     e += ["home_days_rest + away_days_rest AS total_rest",
           "home_days_rest - away_days_rest AS rest_diff",
           "CAST(coalesce(home_days_rest >= 2 AND away_days_rest >= 2, false) AS INTEGER) AS both_rested",

@@ -254,12 +254,12 @@ def _blend_sql():
     for w in WINDOWS:
         for a in ALPHAS:
             parts.append(f"SELECT {w} AS lookback, CAST({a} AS DOUBLE) AS alpha, "
-                         f"round(avg(abs({a} * total + (1 - {a}) * expected_total_{w} - actual_total)), 6) AS mae FROM b")
+                         f"round(avg(abs({a} * total + (1 - {a}) * expected_total_{w} - actual_total)), 6) AS mae FROM bl")
     return with_ctes(*_scored_sql(tuple(WINDOWS), 10),
-                     "b AS (SELECT * FROM s0 WHERE total IS NOT NULL AND actual_total IS NOT NULL AND "
+                     "bl AS (SELECT * FROM s0 WHERE total IS NOT NULL AND actual_total IS NOT NULL AND "
                      + " AND ".join(f"expected_total_{w} IS NOT NULL" for w in WINDOWS) + ")",
-                     "g AS (" + " UNION ALL ".join(parts) + ")") + \
-        "SELECT CAST(lookback AS INTEGER) AS lookback, alpha, mae FROM g ORDER BY mae, lookback, alpha LIMIT 5"
+                     "gr AS (" + " UNION ALL ".join(parts) + ")") + \
+        "SELECT CAST(lookback AS INTEGER) AS lookback, alpha, mae FROM gr ORDER BY mae, lookback, alpha LIMIT 5"
 
 
 @register("O2_top_params", _blend_sql())
