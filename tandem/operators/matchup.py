@@ -39,15 +39,14 @@ def matchup_join(games: DataFrame, feats: DataFrame, cols: list[str] | None = No
 
 def matchup_by_event(games: DataFrame, feats: DataFrame, cols: list[str] | None = None,
                      event: str = "game_id") -> DataFrame:
-    """Pair the two rows of each event by event id: no fan-out on repeated
-    (entity, date), one shuffle of the long frame by event id (two rows per
-    key, so no skew), then a join to the events on the same key."""
+    """Pair each event with its own home row and away row by event id: no
+    fan-out on repeated (entity, date). Both joins are on the event id, so
+    the events side is shuffled once and each half of the long frame once
+    (two rows per event id: no skew)."""
     cols = side_feature_columns_of(feats) if cols is None else cols
-    side = lambda flag: F.first(F.when(F.col("is_home") == flag, F.struct(*cols)), ignorenulls=True)
-    paired = feats.groupBy(event).agg(side(1).alias("_h"), side(0).alias("_a"))
-    paired = paired.select(event, *[F.col(f"_h.{c}").alias(f"home_{c}") for c in cols],
-                           *[F.col(f"_a.{c}").alias(f"away_{c}") for c in cols])
-    return games.join(paired, event, "left")
+    half = lambda flag, side: (feats.filter(F.col("is_home") == flag)
+                               .select(F.col(event), *[F.col(c).alias(f"{side}_{c}") for c in cols]))
+    return games.join(half(1, "home"), event, "left").join(half(0, "away"), event, "left")
 
 
 def over_under_features(df: DataFrame, windows: list[int] | None = None,
@@ -99,23 +98,22 @@ def over_under_features(df: DataFrame, windows: list[int] | None = None,
 
 def pair_sides(feats: DataFrame, cols: list[str], carry: list[str] | None = None,
                event: str = "game_id", side_carry: list[str] | None = None) -> DataFrame:
-    """Events rebuilt from their two long rows alone: one aggregation by event
-    id (two rows per key, partial aggregation, no join back to the events).
+    """Events rebuilt from their two long rows alone (no join back to the
+    events table): the home half joined to the away half on the event id.
 
-    ``carry`` are event-level columns present on both rows (date, line, ...);
-    ``side_carry`` are per-side columns (team, points_scored, ...) emitted as
-    ``home_*``/``away_*`` like the feature columns. Home entity -> ``home``.
+    ``carry`` are event-level columns present on both rows (date, line, ...),
+    taken from the home row; ``side_carry`` are per-side columns (team,
+    points_scored, ...) emitted as ``home_*``/``away_*`` like the feature
+    columns; the home entity becomes ``home`` and the away one ``away``.
     """
     carry = carry or []
     side_carry = side_carry if side_carry is not None else ["team", "points_scored"]
     per_side = list(dict.fromkeys(side_carry + cols))
-    side = lambda flag: F.first(F.when(F.col("is_home") == flag, F.struct(*per_side)), ignorenulls=True)
-    agg = feats.groupBy(event).agg(*[F.first(c).alias(c) for c in carry],
-                                   side(1).alias("_h"), side(0).alias("_a"))
-    out = []
-    for c in per_side:
-        if c == "team":
-            out += [F.col("_h.team").alias("home"), F.col("_a.team").alias("away")]
-        else:
-            out += [F.col(f"_h.{c}").alias(f"home_{c}"), F.col(f"_a.{c}").alias(f"away_{c}")]
-    return agg.select(event, *carry, *out)
+    name = lambda side, c: side if c == "team" else f"{side}_{c}"
+    home = feats.filter(F.col("is_home") == 1).select(
+        event, *carry, *[F.col(c).alias(name("home", c)) for c in per_side])
+    away = feats.filter(F.col("is_home") == 0).select(
+        event, *[F.col(c).alias(name("away", c)) for c in per_side])
+    out = home.join(away, event)
+    order = [event, *carry] + [name(s, c) for c in per_side for s in ("home", "away")]
+    return out.select(*order)

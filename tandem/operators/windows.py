@@ -52,20 +52,35 @@ class SplitPolicy:
     force: bool = False
 
 
-def mark_hot(df: DataFrame, entity: str, policy: SplitPolicy) -> DataFrame:
-    """Add ``_hot`` (bool) and ``_bucket`` (long; a day for hot entities)."""
+def hot_entities(df: DataFrame, entity: str, policy: SplitPolicy) -> list | None:
+    """Entities whose rows must be split; ``None`` means all (``force``).
+
+    One aggregation job (map-side partial counts per entity, the total as a
+    scalar subquery). At most ``max_hot`` keys can pass the cut, so fetching
+    them to the driver is bounded by construction."""
+    if policy.force:
+        return None
+    counts = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.select(F.sum("_n")).scalar()
+    cut = F.greatest(F.lit(policy.hot_rows).cast("long"), F.ceil(total / F.lit(policy.max_hot)).cast("long"))
+    rows = counts.filter(F.col("_n") > cut).select(entity).limit(policy.max_hot).collect()
+    return [r[0] for r in rows]
+
+
+def mark_hot(df: DataFrame, entity: str, policy: SplitPolicy, hot: list | None = None) -> DataFrame:
+    """Add ``_hot`` (bool) and ``_bucket`` (long; the day for hot entities,
+    one constant bucket otherwise)."""
     day = F.unix_date(F.col(policy.split_col).cast("date")).cast("long")
+    if hot is None and not policy.force:
+        hot = hot_entities(df, entity, policy)
     if policy.force:
-        marked = df.withColumn("_hot", F.lit(True))
+        flag = F.lit(True)
+    elif hot:
+        flag = F.col(entity).isin(hot)
     else:
-        counts = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
-        total = counts.select(F.sum("_n")).scalar()
-        cut = F.greatest(F.lit(policy.hot_rows).cast("long"),
-                         F.ceil(total / F.lit(policy.max_hot)).cast("long"))
-        hot = counts.filter(F.col("_n") > cut).select(entity, F.lit(True).alias("_hot"))
-        marked = (df.join(F.broadcast(hot), entity, "left")
-                  .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False))))
-    return marked.withColumn("_bucket", F.when(F.col("_hot"), day).otherwise(F.lit(_NO_BUCKET)))
+        flag = F.lit(False)
+    return (df.withColumn("_hot", flag)
+            .withColumn("_bucket", F.when(F.col("_hot"), day).otherwise(F.lit(_NO_BUCKET))))
 
 
 def with_halo(marked: DataFrame, entity: str, order: list[tuple[str, bool]], lookback: int,
@@ -128,8 +143,10 @@ def trailing_features(long: DataFrame, entity: str = "team", order: list[tuple[s
     std_stats = VOLATILITY_STATS if std_stats is None else std_stats
     lookback = max(windows + [1 if rest else 0])
 
-    marked = mark_hot(long, entity, split)
-    full = with_halo(marked, entity, order, lookback)
+    hot = hot_entities(long, entity, split)
+    any_hot = hot is None or len(hot) > 0
+    marked = mark_hot(long, entity, split, hot)
+    full = with_halo(marked, entity, order, lookback) if any_hot else marked.withColumn("_halo", F.lit(False))
     wt = Window.partitionBy(entity, "_bucket").orderBy(*order_by(order))
     cols: dict[str, Column] = {}
     for w in windows:
@@ -153,9 +170,13 @@ def trailing_features(long: DataFrame, entity: str = "team", order: list[tuple[s
 
     if season_col:
         pre_stats = sorted(set(season_stats.values()))
-        pre = _season_prefix(marked, entity, season_col, pre_stats)
-        out = out.join(pre, [entity, "_bucket"], "left")
-        p = F.col("_pre")[F.col(season_col)]
+        if any_hot:
+            pre = _season_prefix(marked, entity, season_col, pre_stats)
+            out = out.join(pre, [entity, "_bucket"], "left")
+            p = F.col("_pre")[F.col(season_col)]
+        else:
+            p = F.lit(None).cast("struct<" + ",".join(
+                ["n:bigint"] + [f"{k}_{s}:bigint" for s in pre_stats for k in ("s", "c")]) + ">")
         derived = {"game_num": (F.coalesce(p["n"], F.lit(0)) + F.col("_rn")).cast("int")}
         for name, s in season_stats.items():
             num = F.coalesce(p[f"s_{s}"], F.lit(0)) + F.coalesce(F.col(f"_rs_{s}"), F.lit(0))
@@ -289,8 +310,13 @@ def asof_latest(left: DataFrame, right: DataFrame, entity: str, payload: list[st
                      *[F.col(c).alias(f"_o{i}") for i, (c, _) in enumerate(right_order[1:])])
     both = l.unionByName(r)
     order = [("_d", True), ("_kind", True)] + [(f"_o{i}", asc) for i, (_, asc) in enumerate(right_order[1:])]
-    marked = mark_hot(both, "_e", SplitPolicy(split.hot_rows, split.max_hot, "_d", split.force))
-    full = with_halo(marked, "_e", order, 1, source=F.col("_p").isNotNull())
+    policy = SplitPolicy(split.hot_rows, split.max_hot, "_d", split.force)
+    hot = hot_entities(both, "_e", policy)
+    marked = mark_hot(both, "_e", policy, hot)
+    if hot is None or hot:
+        full = with_halo(marked, "_e", order, 1, source=F.col("_p").isNotNull())
+    else:
+        full = marked.withColumn("_halo", F.lit(False))
     w = Window.partitionBy("_e", "_bucket").orderBy(*order_by(order)).rowsBetween(Window.unboundedPreceding, -1)
     out = (full.withColumn("asof", F.last("_p", ignorenulls=True).over(w))
            .filter(~F.col("_halo") & F.col("_left").isNotNull()))
