@@ -26,5 +26,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     # importing the modules registers their queries
-    from tandem.plans import queries_core, queries_eval, queries_features, queries_sources  # noqa: F401
+    from tandem.plans import queries_core, queries_eval, queries_features, queries_ml, queries_sources  # noqa: F401
     return QUERIES
