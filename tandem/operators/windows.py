@@ -272,11 +272,13 @@ def ts_folds(df: DataFrame, n_splits: int = 5, order: list[tuple[str, bool]] | N
     order = order or [("date", True), ("game_id", True)]
     keep = keep or [c for c, _ in order]
     pos = global_position(df, order, keep)
-    n = df.select(F.count(F.lit(1))).scalar()
-    block = F.floor(n / F.lit(n_splits + 1))
+    n = pos.count()                    # one number; the rows stay distributed
+    block = n // (n_splits + 1)
     first_val = n - block * n_splits
     idx0 = F.col("position") - 1
-    fold = F.when((block > 0) & (idx0 >= first_val), F.floor((idx0 - first_val) / block).cast("int"))
+    if block == 0:
+        return pos.withColumn("fold", F.lit(None).cast("int"))
+    fold = F.when(idx0 >= first_val, F.floor((idx0 - first_val) / block).cast("int"))
     return pos.withColumn("fold", fold)
 
 

@@ -45,7 +45,7 @@ def q_ridge(spark, sf):
     data = cut_lineage(ml.with_folds(train))
 
     def make(t):
-        st = t.agg(F.count(ml.TARGET).alias("n"), F.stddev_samp(ml.TARGET).alias("sd")).first()
+        st = t.agg(F.count(ml.TARGET).alias("n"), F.stddev_pop(ml.TARGET).alias("sd")).first()
         return ml.ridge_pipeline(ML_FEATURES, 1.0, st["n"], st["sd"])
 
     rows = ml.fold_scores(data, make)
