@@ -40,47 +40,60 @@ def order_by(order: list[tuple[str, bool]], reverse: bool = False) -> list[Colum
 
 @dataclass(frozen=True)
 class SplitPolicy:
-    """When to split an entity's rows into day buckets.
+    """When and how to split an entity's rows into date buckets.
 
     An entity is *hot* when it has more than ``max(hot_rows, total/max_hot)``
     rows; hence fewer than ``max_hot`` entities can be hot and the hot list
-    has a proven size bound. ``force`` splits every entity (tests).
+    has a proven size bound. A hot entity's buckets span a whole number of
+    days chosen from its own density so that a bucket holds about
+    ``bucket_rows`` rows (at least one day; rows of one day are never split).
+    ``force`` splits every entity into one-day buckets (tests: every bucket
+    boundary exercised).
     """
     hot_rows: int = 5_000_000
     max_hot: int = 4096
     split_col: str = "date"
     force: bool = False
+    bucket_rows: int = 1_000_000
 
 
-def hot_entities(df: DataFrame, entity: str, policy: SplitPolicy) -> list | None:
-    """Entities whose rows must be split; ``None`` means all (``force``).
+def hot_entities(df: DataFrame, entity: str, policy: SplitPolicy) -> dict | None:
+    """Hot entities -> bucket span in days; ``None`` means all (``force``).
 
-    One aggregation job (map-side partial counts per entity, the total as a
-    scalar subquery). At most ``max_hot`` keys can pass the cut, so fetching
-    them to the driver is bounded by construction."""
+    One aggregation job (map-side partial counts and date range per entity,
+    the total as a scalar subquery). At most ``max_hot`` keys can pass the
+    cut, so fetching them to the driver is bounded by construction."""
     if policy.force:
         return None
-    counts = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
+    day = F.unix_date(F.col(policy.split_col).cast("date"))
+    counts = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"), F.min(day).alias("_d0"),
+                                    F.max(day).alias("_d1"))
     total = counts.select(F.sum("_n")).scalar()
     cut = F.greatest(F.lit(policy.hot_rows).cast("long"), F.ceil(total / F.lit(policy.max_hot)).cast("long"))
-    rows = counts.filter(F.col("_n") > cut).select(entity).limit(policy.max_hot).collect()
-    return [r[0] for r in rows]
+    rows = counts.filter(F.col("_n") > cut).select(entity, "_n", "_d0", "_d1").limit(policy.max_hot).collect()
+    spans = {}
+    for key, n, d0, d1 in rows:
+        days = (d1 - d0 + 1) if d0 is not None else 1
+        spans[key] = max(1, int(policy.bucket_rows * days // max(n, 1)))
+    return spans
 
 
-def mark_hot(df: DataFrame, entity: str, policy: SplitPolicy, hot: list | None = None) -> DataFrame:
-    """Add ``_hot`` (bool) and ``_bucket`` (long; the day for hot entities,
-    one constant bucket otherwise)."""
+def mark_hot(df: DataFrame, entity: str, policy: SplitPolicy, hot: dict | None = None) -> DataFrame:
+    """Add ``_hot`` (bool) and ``_bucket`` (long: day number // span for hot
+    entities, one constant bucket otherwise)."""
     day = F.unix_date(F.col(policy.split_col).cast("date")).cast("long")
     if hot is None and not policy.force:
         hot = hot_entities(df, entity, policy)
     if policy.force:
-        flag = F.lit(True)
+        flag, span = F.lit(True), F.lit(1).cast("long")
     elif hot:
-        flag = F.col(entity).isin(hot)
+        spans = F.create_map(*[x for k, v in hot.items() for x in (F.lit(k), F.lit(v))])
+        span = spans[F.col(entity)].cast("long")
+        flag = span.isNotNull()
     else:
-        flag = F.lit(False)
+        flag, span = F.lit(False), F.lit(1).cast("long")
     return (df.withColumn("_hot", flag)
-            .withColumn("_bucket", F.when(F.col("_hot"), day).otherwise(F.lit(_NO_BUCKET))))
+            .withColumn("_bucket", F.when(F.col("_hot"), F.floor(day / span)).otherwise(F.lit(_NO_BUCKET))))
 
 
 def with_halo(marked: DataFrame, entity: str, order: list[tuple[str, bool]], lookback: int,
@@ -92,19 +105,25 @@ def with_halo(marked: DataFrame, entity: str, order: list[tuple[str, bool]], loo
     base = marked.withColumn("_halo", F.lit(False))
     if lookback <= 0:
         return base
-    hot = marked.filter(F.col("_hot") if source is None else F.col("_hot") & source)
-    # last `lookback` rows of each bucket (WindowGroupLimit: partial limit before the shuffle)
-    tails = (hot.withColumn("_tr", F.row_number().over(
+    hot = marked.filter(F.col("_hot"))
+    src = hot if source is None else hot.filter(source)
+    # last `lookback` source rows of each bucket (WindowGroupLimit: partial limit before the shuffle)
+    tails = (src.withColumn("_tr", F.row_number().over(
                 Window.partitionBy(entity, "_bucket").orderBy(*order_by(order, reverse=True))))
              .filter(F.col("_tr") <= lookback).drop("_tr"))
     # position of each tail row among the entity's tails (<= lookback rows per bucket)
-    tails = tails.withColumn("_seq", F.row_number().over(
-        Window.partitionBy(entity).orderBy(*order_by(order))))
-    firsts = tails.groupBy(entity, "_bucket").agg(F.min("_seq").alias("_target"))
-    # the halo of bucket b = tail rows with _seq in [first(b) - lookback, first(b) - 1]
-    halo = (tails.withColumn("_target", F.explode(F.sequence(F.col("_seq") + 1, F.col("_seq") + lookback)))
+    tails = tails.withColumn("_seq", F.row_number().over(Window.partitionBy(entity).orderBy(*order_by(order))))
+    # for every bucket of a hot entity (with or without source rows): number
+    # of tail rows in earlier buckets = position of the last source row before it
+    per_bucket = tails.groupBy(entity, "_bucket").agg(F.count(F.lit(1)).alias("_nt"))
+    before = Window.partitionBy(entity).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (hot.select(entity, "_bucket").distinct().join(per_bucket, [entity, "_bucket"], "left")
+               .select(entity, "_bucket", F.coalesce(F.sum("_nt").over(before), F.lit(0)).alias("_target"))
+               .filter(F.col("_target") > 0))
+    # the halo of bucket b = tail rows with _seq in (target(b) - lookback, target(b)]
+    halo = (tails.withColumn("_target", F.explode(F.sequence(F.col("_seq"), F.col("_seq") + lookback - 1)))
             .drop("_bucket")
-            .join(firsts, [entity, "_target"])
+            .join(buckets, [entity, "_target"])
             .drop("_seq", "_target")
             .withColumn("_halo", F.lit(True)))
     return base.unionByName(halo)

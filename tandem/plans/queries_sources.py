@@ -470,3 +470,15 @@ def q_align(spark, sf):
     """Serving rows aligned to an expected column list: missing -> NULL."""
     return P.align_schema(_served(spark, sf), ["game_id", "home_points_scored_roll_3", "away_days_rest",
                                                "line_vs_expected_3", "not_a_feature"])
+
+
+@register("J3_L9_serve_features_split_forced", with_ctes(*_serve_sql()) + "SELECT "
+          + ", ".join(f"round({c}, 6) AS {c}" if ("std" in c or "volatility" in c) else c for c in SERVE_OUT) + " FROM served")
+def q_serve_split(spark, sf):
+    """J3/L9 with every entity split into day buckets: the as-of match of a
+    bucket without feature rows comes from the one-row halo."""
+    from tandem.operators.windows import SplitPolicy
+    games, slate = _slate(spark, sf)
+    forced = SplitPolicy(force=True)
+    s = J.serve_features(slate, team_features(games, split=forced), split=forced)
+    return s.select(*[F.round(c, 6).alias(c) if ("std" in c or "volatility" in c) else F.col(c) for c in SERVE_OUT])

@@ -21,9 +21,10 @@ def test_split_equals_plain(spark):
     cols = KEY + [c for c in plain.columns if c.endswith(("_roll_3", "_roll_15", "_std_10"))] + [
         "days_rest", "game_num", "season_ppg", "season_win_pct", "season_phase"]
     # a policy under which some entities are hot and others are not
-    mixed = SplitPolicy(hot_rows=22, max_hot=100000)
+    mixed = SplitPolicy(hot_rows=22, max_hot=100000, bucket_rows=3)
     hot = hot_entities(long, "team", mixed)
     assert 0 < len(hot) < long.select("team").distinct().count()
+    assert max(hot.values()) > 1          # multi-day buckets
     for policy in (mixed, SplitPolicy(force=True)):
         assert _rows(trailing_features(long, split=policy), cols) == _rows(plain, cols)
 
