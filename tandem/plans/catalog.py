@@ -27,5 +27,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     # importing the modules registers their queries
     from tandem.plans import queries_core, queries_eval, queries_features, queries_ml, queries_sources  # noqa: F401
-    from tandem.plans import queries_stream  # noqa: F401  (after the batch queries it reuses)
+    from tandem.plans import queries_jobs, queries_stream  # noqa: F401  (after the batch queries they reuse)
     return QUERIES

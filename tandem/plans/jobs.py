@@ -183,3 +183,32 @@ def recommend(df: DataFrame, pred: str = "predicted_total", line: str = "vegas_t
 
 __all__ = ["derive_season", "feed_delta", "ingest", "backfill_report", "team_snapshot", "settle_predictions",
            "build_slate", "attach_lines", "record_slate", "serve_features", "recommend", "null_false"]
+
+
+# --------------------------------------------------------------------------- D4, D7
+def daily_update(spark, table_path: str, scoreboard: DataFrame, boxscore: DataFrame, dim: DataFrame,
+                 predictions: DataFrame) -> dict[str, DataFrame]:
+    """Ingest the feed into the stored table (D2 + S4 on touched
+    partitions), settle the prediction log against it (J4), refresh the team
+    snapshot (D5) and summarise the warehouse (A1), in that order."""
+    from tandem.operators.evaluate import warehouse_stats
+    from tandem.sources.store import GAME_KEY, upsert_into
+
+    upsert_into(spark, table_path, feed_delta(scoreboard, boxscore, dim), GAME_KEY, order_col="game_id")
+    games = spark.read.parquet(table_path)
+    settled = settle_predictions(predictions, games)
+    return {"games": games, "settled": settled, "snapshot": team_snapshot(games),
+            "stats": warehouse_stats(games, settled.filter(F.col("actual_total").isNotNull()))}
+
+
+def evaluate_job(scored: DataFrame, test_seasons: list[int], pred: str = "prediction",
+                 actual: str = "actual_total", line: str = "total") -> DataFrame:
+    """On the held-out seasons, error metrics (A5, A6) and betting results
+    (A8-A10) in one aggregation pass; the per-threshold, per-side and monthly
+    breakdowns (A11-A13) are separate aggregates over the same persisted frame."""
+    from tandem.operators.evaluate import bet_outcomes
+    test = scored.filter(F.col("season").isin(test_seasons))
+    p, y = F.col(pred), F.col(actual)
+    err = test.agg(F.avg(F.abs(p - y)).alias("mae"), F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"))
+    bets = bet_outcomes(test, pred, actual, line)
+    return err.crossJoin(bets)
