@@ -3,7 +3,7 @@ build the two-sided matchup features (M1-M12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.names import ROLLING_WINDOWS, SIDE_FEATURE_MARKERS
@@ -37,16 +37,36 @@ def matchup_join(games: DataFrame, feats: DataFrame, cols: list[str] | None = No
     return games.join(h, [home, date_col], "left").join(a, [away, date_col], "left")
 
 
+def _sides_by_event(feats: DataFrame, per_side: list[str], event: str, carry: list[str],
+                    name=lambda side, c: f"{side}_{c}") -> DataFrame:
+    """One row per event with the home row's and the away row's values side by
+    side. The long rows are shuffled once by event id (two rows per key, so no
+    skew), ordered home first, and the first row of each event takes the next
+    row as one struct (a single ``lead``), so the work does not grow with the
+    number of feature columns the way per-column aggregates would."""
+    w = Window.partitionBy(event).orderBy(F.col("is_home").desc())
+    me = F.struct(*[F.col(c) for c in per_side])
+    home = F.when(F.col("is_home") == 1, me)
+    away = F.when(F.col("is_home") == 0, me).otherwise(F.lead(me, 1).over(w))
+    rows = (feats.select(event, *carry, home.alias("_h"), away.alias("_a"), F.row_number().over(w).alias("_rn"))
+            .filter(F.col("_rn") == 1))
+    return rows.select(event, *carry, *[F.col(f"_h.{c}").alias(name("home", c)) for c in per_side],
+                       *[F.col(f"_a.{c}").alias(name("away", c)) for c in per_side])
+
+
 def matchup_by_event(games: DataFrame, feats: DataFrame, cols: list[str] | None = None,
                      event: str = "game_id") -> DataFrame:
     """Pair each event with its own home row and away row by event id: no
-    fan-out on repeated (entity, date). Both joins are on the event id, so
-    the events side is shuffled once and each half of the long frame once
-    (two rows per event id: no skew)."""
+    fan-out on repeated (entity, date); the paired frame comes out
+    partitioned by event id for the join back to the events. The phase label
+    is derived from each side's game number after pairing."""
+    from tandem.operators.windows import season_phase_of
     cols = side_feature_columns_of(feats) if cols is None else cols
-    half = lambda flag, side: (feats.filter(F.col("is_home") == flag)
-                               .select(F.col(event), *[F.col(c).alias(f"{side}_{c}") for c in cols]))
-    return games.join(half(1, "home"), event, "left").join(half(0, "away"), event, "left")
+    numeric = [c for c in cols if c != "season_phase"]
+    out = games.join(_sides_by_event(feats, numeric, event, []), event, "left")
+    if "season_phase" in cols and "game_num" in cols:
+        out = out.withColumns({f"{s}_season_phase": season_phase_of(F.col(f"{s}_game_num")) for s in ("home", "away")})
+    return out.select(*games.columns, *[f"{s}_{c}" for s in ("home", "away") for c in cols])
 
 
 def over_under_features(df: DataFrame, windows: list[int] | None = None,
@@ -99,21 +119,15 @@ def over_under_features(df: DataFrame, windows: list[int] | None = None,
 def pair_sides(feats: DataFrame, cols: list[str], carry: list[str] | None = None,
                event: str = "game_id", side_carry: list[str] | None = None) -> DataFrame:
     """Events rebuilt from their two long rows alone (no join back to the
-    events table): the home half joined to the away half on the event id.
-
-    ``carry`` are event-level columns present on both rows (date, line, ...),
-    taken from the home row; ``side_carry`` are per-side columns (team,
-    points_scored, ...) emitted as ``home_*``/``away_*`` like the feature
-    columns; the home entity becomes ``home`` and the away one ``away``.
+    events table). ``carry`` are event-level columns present on both rows
+    (date, line, ...), taken from the home row; ``side_carry`` are per-side
+    columns (team, points_scored, ...) emitted as ``home_*``/``away_*`` like
+    the feature columns; the home entity becomes ``home``, the away one ``away``.
     """
     carry = carry or []
     side_carry = side_carry if side_carry is not None else ["team", "points_scored"]
     per_side = list(dict.fromkeys(side_carry + cols))
     name = lambda side, c: side if c == "team" else f"{side}_{c}"
-    home = feats.filter(F.col("is_home") == 1).select(
-        event, *carry, *[F.col(c).alias(name("home", c)) for c in per_side])
-    away = feats.filter(F.col("is_home") == 0).select(
-        event, *[F.col(c).alias(name("away", c)) for c in per_side])
-    out = home.join(away, event)
+    out = _sides_by_event(feats, per_side, event, carry, name)
     order = [event, *carry] + [name(s, c) for c in per_side for s in ("home", "away")]
     return out.select(*order)

@@ -144,6 +144,14 @@ def _season_prefix(marked: DataFrame, entity: str, season: str, stats: list[str]
             .agg(F.map_from_entries(F.collect_list(F.struct(season, F.struct(*names)))).alias("_pre")))
 
 
+def season_phase_of(game_num: Column) -> Column:
+    """(0,25] early, (25,55] mid, (55,100] late, else NULL."""
+    phase = F.lit(None).cast("string")
+    for lo, hi, label in reversed(PHASE_BINS):
+        phase = F.when((game_num > lo) & (game_num <= hi), F.lit(label)).otherwise(phase)
+    return phase
+
+
 def trailing_features(long: DataFrame, entity: str = "team", order: list[tuple[str, bool]] | None = None,
                       stats: list[str] | None = None, windows: list[int] | None = None,
                       std_stats: list[str] | None = None, date_col: str = "date",
@@ -202,11 +210,7 @@ def trailing_features(long: DataFrame, entity: str = "team", order: list[tuple[s
             den = F.coalesce(p[f"c_{s}"], F.lit(0)) + F.col(f"_rc_{s}")
             derived[name] = F.when(den > 0, num.cast("double") / den)
         out = out.withColumns(derived)
-        phase = None
-        for lo, hi, label in reversed(PHASE_BINS):
-            cond = (F.col("game_num") > lo) & (F.col("game_num") <= hi)
-            phase = F.when(cond, F.lit(label)) if phase is None else F.when(cond, F.lit(label)).otherwise(phase)
-        out = out.withColumn("season_phase", phase)
+        out = out.withColumn("season_phase", season_phase_of(F.col("game_num")))
 
     post: dict[str, Column] = {}
     if pace and {"points_scored", "points_allowed", "total_points"} <= set(stats):
