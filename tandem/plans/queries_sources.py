@@ -24,12 +24,12 @@ GID = "lpad(CAST(game_id AS VARCHAR), 10, '0')"
 PLAYED = "score_home IS NOT NULL AND score_away IS NOT NULL"
 
 
-def _landing(spark, sf):
+def _landing(spark, sf, feeds=("scoreboard", "boxscore", "season_log")):
     games = load_games(spark, sf)
-    paths = landing_from_games(games, S.scratch_path(spark, "landing"))
+    paths = landing_from_games(games, S.scratch_path(spark, "landing"), feeds)
     dim = entity_dimension(read_table(spark, sf, "customer"))
-    sb = scoreboard_rows(spark.read.schema(SCOREBOARD_SCHEMA).json(paths["scoreboard"]))
-    bx = boxscore_rows(spark.read.schema(BOXSCORE_SCHEMA).json(paths["boxscore"]))
+    sb = scoreboard_rows(spark.read.schema(SCOREBOARD_SCHEMA).json(paths["scoreboard"])) if "scoreboard" in paths else None
+    bx = boxscore_rows(spark.read.schema(BOXSCORE_SCHEMA).json(paths["boxscore"])) if "boxscore" in paths else None
     return games, dim, sb, bx, paths
 
 
@@ -353,7 +353,7 @@ def q_append(spark, sf):
 
 # --------------------------------------------------------------------------- slate: D8, J9, S13, J3/L9, L11/L12, A16, D9
 def _slate(spark, sf):
-    games, dim, sb, bx, _ = _landing(spark, sf)
+    games, dim, sb, bx, _ = _landing(spark, sf, feeds=("scoreboard",))
     slate = J.build_slate(sb, dim)
     return games, J.attach_lines(slate, _lines(games))
 

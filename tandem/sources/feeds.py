@@ -116,7 +116,8 @@ def season_finder(log: DataFrame, dim: DataFrame, reference_mode: bool = False)
 
 
 # --------------------------------------------------------------------------- test landing data
-def landing_from_games(games: DataFrame, path: str) -> dict[str, str]:
+def landing_from_games(games: DataFrame, path: str,
+                       feeds: tuple[str, ...] = ("scoreboard", "boxscore", "season_log")) -> dict[str, str]:
     """Write feed documents derived from a games table (test landing zone):
     one scoreboard document per event (final when scored, else scheduled),
     one box score per event (a single element for unplayed events, so it is
@@ -144,8 +145,9 @@ def landing_from_games(games: DataFrame, path: str) -> dict[str, str]:
     log = (games.filter(played).select(F.explode(F.array(log_side("home", "away", " vs. "),
                                                          log_side("away", "home", " @ "))).alias("r"))
            .select("r.*"))
-    out = {"scoreboard": f"{path}/scoreboard", "boxscore": f"{path}/boxscore", "season_log": f"{path}/season_log"}
-    sb.write.mode("overwrite").json(out["scoreboard"])
-    bx.write.mode("overwrite").json(out["boxscore"])
-    log.write.mode("overwrite").json(out["season_log"])
+    docs = {"scoreboard": sb, "boxscore": bx, "season_log": log}
+    out = {}
+    for name in feeds:
+        out[name] = f"{path}/{name}"
+        docs[name].write.mode("overwrite").json(out[name])
     return out
