@@ -194,7 +194,7 @@ def warehouse_stats(games: DataFrame, predictions: DataFrame | None = None) -> D
         F.sort_array(F.collect_set("season")).alias("seasons"),
         F.count_distinct("home").alias("teams"))
     if predictions is not None:
-        row = row.crossJoin(predictions.agg(F.count(F.lit(1)).alias("total_predictions")))
+        row = row.withColumn("total_predictions", predictions.select(F.count(F.lit(1))).scalar())
     return row
 
 

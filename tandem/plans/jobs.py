@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.names import ROLLING_WINDOWS
-from tandem.functions.scalars import null_false, round1, season_of
+from tandem.functions.scalars import round1, season_of
 from tandem.operators.evaluate import games_played, season_record
 from tandem.operators.longform import team_games
 from tandem.operators.matchup import over_under_features, side_feature_columns_of
@@ -131,9 +131,6 @@ def record_slate(scored: DataFrame, model_version: str = "v1.0") -> tuple[DataFr
 
 
 # --------------------------------------------------------------------------- L9, L11, L12
-SERVE_SIDE = None  # all per-side feature columns
-
-
 def serve_features(slate: DataFrame, feats: DataFrame, windows: list[int] | None = None,
                    post_game: bool = False, line_col: str = "vegas_total",
                    split: SplitPolicy = SplitPolicy()) -> DataFrame:
@@ -181,8 +178,6 @@ def recommend(df: DataFrame, pred: str = "predicted_total", line: str = "vegas_t
                            pred: round1(p)})
 
 
-__all__ = ["derive_season", "feed_delta", "ingest", "backfill_report", "team_snapshot", "settle_predictions",
-           "build_slate", "attach_lines", "record_slate", "serve_features", "recommend", "null_false"]
 
 
 # --------------------------------------------------------------------------- D4, D7
@@ -209,6 +204,6 @@ def evaluate_job(scored: DataFrame, test_seasons: list[int], pred: str = "predic
     from tandem.operators.evaluate import bet_outcomes
     test = scored.filter(F.col("season").isin(test_seasons))
     p, y = F.col(pred), F.col(actual)
-    err = test.agg(F.avg(F.abs(p - y)).alias("mae"), F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"))
-    bets = bet_outcomes(test, pred, actual, line)
-    return err.crossJoin(bets)
+    mae = test.select(F.avg(F.abs(p - y))).scalar()
+    rmse = test.select(F.sqrt(F.avg((p - y) * (p - y)))).scalar()
+    return bet_outcomes(test, pred, actual, line).withColumns({"mae": mae, "rmse": rmse})
