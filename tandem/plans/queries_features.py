@@ -230,3 +230,39 @@ def q_profile(spark, sf):
                             ((F.count(F.lit(1)) - F.count(c)) / F.count(F.lit(1))).alias("null_share"),
                             F.round(F.avg(c), 6).alias("mean")).alias(c) for c in feats])
     return row.select(F.explode(F.array(*[F.col(c) for c in feats])).alias("_p")).select("_p.*")
+
+
+# --------------------------------------------------------------------------- skewed entity
+SKEW_SQL_GAMES = ("gs AS (SELECT * REPLACE (CASE WHEN game_id % 3 <> 0 AND away <> 't0' THEN 't0' ELSE home END AS home) "
+                  "FROM games)")
+SKEW_COLS = ["points_scored_roll_3", "points_scored_roll_15", "total_points_std_10", "days_rest",
+             "game_num", "season_ppg", "season_phase"]
+
+
+def _skew_sql():
+    from tandem.plans.oracle import LONG_CTES
+    long_sql = LONG_CTES.replace("FROM games", "FROM gs")
+    f = ("f AS (SELECT game_id, is_home, team, " + feature_select(windows=(3, 10, 15),
+         stats=["points_scored"], std_stats=["total_points"], pace=False, trend=False) + " FROM long)")
+    from tandem.plans.oracle import GAMES_CTES
+    return ("WITH " + GAMES_CTES.strip() + ",\n" + SKEW_SQL_GAMES + ",\n" + long_sql.strip() + ",\n" + f + "\n"
+            + project(KEY + SKEW_COLS, "f"))
+
+
+def skewed_games(spark, sf):
+    """The games view with one entity ('t0') made home side of two thirds of
+    the events: it holds about a third of all long rows."""
+    g = load_games(spark, sf)
+    return g.withColumn("home", F.when(((F.col("game_id") % 3) != 0) & (F.col("away") != "t0"), F.lit("t0"))
+                        .otherwise(F.col("home")))
+
+
+@register("W1_W9_hot_entity_skew", _skew_sql())
+def q_skew(spark, sf):
+    """Trailing and season features when one entity holds a third of the rows:
+    only that entity is split (multi-day buckets with halo and season prefix)."""
+    long = team_games(skewed_games(spark, sf))
+    policy = SplitPolicy(hot_rows=1000, bucket_rows=500)
+    f = trailing_features(long, stats=["points_scored"], windows=[3, 10, 15], std_stats=["total_points"],
+                          pace=False, trend=False, split=policy)
+    return rounded(f, KEY + SKEW_COLS)
