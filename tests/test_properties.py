@@ -39,3 +39,13 @@ def test_swap_symmetry(spark):
     a = two_sided_long(games).select("game_id", "team", "is_home", "points_scored")
     b = two_sided_long(swapped).select("game_id", "team", (1 - F.col("is_home")).alias("is_home"), "points_scored")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_prefix_stability(spark):
+    """Features computed on the events up to a date equal the full features
+    restricted to those events (nothing depends on the future)."""
+    games = load_games(spark, SF)
+    cut = games.select(F.expr("percentile_disc(0.6) WITHIN GROUP (ORDER BY date)")).first()[0]
+    full = _feat(team_games(games))
+    part = _feat(team_games(games.filter(F.col("date") <= cut)))
+    assert part and all(full[k] == v for k, v in part.items())
