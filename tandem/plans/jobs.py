@@ -148,8 +148,17 @@ def serve_features(slate: DataFrame, feats: DataFrame, windows: list[int] | None
         F.struct(F.col("game_id"), F.col("game_date"), F.col("home").alias("team"), F.lit(1).alias("is_home")),
         F.struct(F.col("game_id"), F.col("game_date"), F.col("away").alias("team"), F.lit(0).alias("is_home"))
     )).alias("s")).select("s.*")
-    m = asof_latest(sides, feats, "team", cols, left_date="game_date", right_order=GAME_ORDER, split=split)
-    m = m.filter(F.col("asof").isNotNull())
+    # as-of on narrow keys (the feature windows are pruned from this branch),
+    # then fetch the matched feature rows by their unique (game_id, is_home):
+    # the matched side is small (two rows per slate event), the wide feature
+    # rows are not shuffled for the as-of
+    keys = feats.select("team", "date", "is_home", "game_id")
+    m = asof_latest(sides, keys, "team", ["game_id", "is_home"], left_date="game_date",
+                    right_order=GAME_ORDER, split=split)
+    m = m.filter(F.col("asof").isNotNull()).select(
+        "game_id", "is_home", F.col("asof.game_id").alias("_fg"), F.col("asof.is_home").alias("_fh"))
+    rows = feats.select(F.col("game_id").alias("_fg"), F.col("is_home").alias("_fh"), F.struct(*cols).alias("asof"))
+    m = m.join(rows, ["_fg", "_fh"])
     side = lambda flag: F.first(F.when(F.col("is_home") == flag, F.col("asof")), ignorenulls=True)
     paired = m.groupBy("game_id").agg(side(1).alias("_h"), side(0).alias("_a"))
     paired = paired.filter(F.col("_h").isNotNull() & F.col("_a").isNotNull())
