@@ -30,11 +30,17 @@ def team_features(games: DataFrame, windows: list[int] | None = None,
 
 
 def process_events(games: DataFrame, windows: list[int] | None = None, pairing: str = "event",
-                   split: SplitPolicy = SplitPolicy(), sparse_frac: float | None = 0.5) -> DataFrame:
+                   split: SplitPolicy = SplitPolicy(), sparse_frac: float | None = 0.5,
+                   completed_only: bool = False) -> DataFrame:
     """D6 (flagship pipeline). ``pairing='event'`` pairs the two rows of each
     event by id (default, no fan-out); ``'reference'`` joins on
-    (entity, date) twice like the reference (fans out on repeated dates)."""
+    (entity, date) twice like the reference (fans out on repeated dates).
+    ``completed_only`` applies P4 first, so unplayed events neither count as
+    losses nor advance game numbers (the reference keeps them, Q9)."""
     windows = windows or ROLLING_WINDOWS
+    if completed_only:
+        from tandem.operators.filters import completed_filter
+        games = completed_filter(games)
     feats = team_features(games, windows, split)
     cols = side_feature_columns_of(feats)
     if pairing == "event":

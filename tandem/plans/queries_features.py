@@ -266,3 +266,16 @@ def q_skew(spark, sf):
     f = trailing_features(long, stats=["points_scored"], windows=[3, 10, 15], std_stats=["total_points"],
                           pace=False, trend=False, split=policy)
     return rounded(f, KEY + SKEW_COLS)
+
+
+def _completed_sql():
+    body = with_ctes(*processed_ctes())
+    played = "gp AS (SELECT * FROM games WHERE score_home IS NOT NULL AND score_away IS NOT NULL)"
+    body = body.replace(" FROM games", " FROM gp").replace("FROM q)", "FROM q),\n" + played, 1)
+    return body + project(D6_OUT, "processed")
+
+
+@register("D6_process_events_completed_only", _completed_sql())
+def q_d6_completed(spark, sf):
+    """D6 with unplayed events removed first (P4, option for Q9)."""
+    return rounded(process_events(load_games(spark, sf), completed_only=True), D6_OUT)
