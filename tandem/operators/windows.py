@@ -157,7 +157,7 @@ def trailing_features(long: DataFrame, entity: str = "team", order: list[tuple[s
                       std_stats: list[str] | None = None, date_col: str = "date",
                       season_col: str | None = "season", rest: bool = True, pace: bool = True,
                       trend: bool = True, rest_default: int = 3,
-                      split: SplitPolicy = SplitPolicy()) -> DataFrame:
+                      split: SplitPolicy = SplitPolicy(), inclusive: bool = False) -> DataFrame:
     """W1-W9 for every row of ``long``: leak-free trailing means/stds over the
     previous w rows, pace and trend projections, rest days, season-to-date.
 
@@ -177,7 +177,9 @@ def trailing_features(long: DataFrame, entity: str = "team", order: list[tuple[s
     wt = Window.partitionBy(entity, "_bucket").orderBy(*order_by(order))
     cols: dict[str, Column] = {}
     for w in windows:
-        frame = wt.rowsBetween(-w, -1)
+        # leak-free: the w rows before; ``inclusive`` (serving after the
+        # latest game): the latest w rows including the current one
+        frame = wt.rowsBetween(-(w - 1), 0) if inclusive else wt.rowsBetween(-w, -1)
         for s in stats:
             cols[roll_name(s, w)] = F.avg(s).over(frame)
         for s in std_stats:
@@ -188,7 +190,7 @@ def trailing_features(long: DataFrame, entity: str = "team", order: list[tuple[s
     season_stats = {k: v for k, v in SEASON_STATS.items() if v in long.columns} if season_col else {}
     if season_col:
         ws = Window.partitionBy(entity, "_bucket", season_col, "_halo").orderBy(*order_by(order))
-        before = ws.rowsBetween(Window.unboundedPreceding, -1)
+        before = ws.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         cols["_rn"] = F.row_number().over(ws)
         for s in set(season_stats.values()):
             cols[f"_rs_{s}"] = F.sum(s).over(before)

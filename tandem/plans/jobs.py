@@ -133,14 +133,19 @@ def record_slate(scored: DataFrame, model_version: str = "v1.0") -> tuple[DataFr
 # --------------------------------------------------------------------------- L9, L11, L12
 def serve_features(slate: DataFrame, feats: DataFrame, windows: list[int] | None = None,
                    post_game: bool = False, line_col: str = "vegas_total",
-                   split: SplitPolicy = SplitPolicy()) -> DataFrame:
+                   split: SplitPolicy = SplitPolicy(), start_month: int = 10) -> DataFrame:
     """Feature row of each unplayed matchup from each side's latest
     feature row before the event date (J3 as-of, both sides in one pass).
 
     Reference mode: the latest row's own (pre-game) features, rest default 2
     and game number default 40 when missing, line features NULL (Q5); a side
-    without history drops the matchup. Fixed mode (``post_game``) is not
-    built here; the reference mode is what training and serving share.
+    without history drops the matchup.
+
+    ``post_game`` (fixed mode, Q3): ``feats`` must be computed with
+    ``inclusive=True`` (windows end at the latest game); rest is measured from
+    the latest game to the scheduled date, the game number continues the
+    season (1 in a new season) and season-to-date values are dropped when the
+    scheduled event opens a new season.
     """
     windows = windows or ROLLING_WINDOWS
     cols = side_feature_columns_of(feats)
@@ -156,9 +161,22 @@ def serve_features(slate: DataFrame, feats: DataFrame, windows: list[int] | None
     m = asof_latest(sides, keys, "team", ["game_id", "is_home"], left_date="game_date",
                     right_order=GAME_ORDER, split=split)
     m = m.filter(F.col("asof").isNotNull()).select(
-        "game_id", "is_home", F.col("asof.game_id").alias("_fg"), F.col("asof.is_home").alias("_fh"))
-    rows = feats.select(F.col("game_id").alias("_fg"), F.col("is_home").alias("_fh"), F.struct(*cols).alias("asof"))
+        "game_id", "game_date", "is_home", F.col("asof.game_id").alias("_fg"), F.col("asof.is_home").alias("_fh"))
+    payload = cols + (["date", "season"] if post_game else [])
+    rows = feats.select(F.col("game_id").alias("_fg"), F.col("is_home").alias("_fh"), F.struct(*payload).alias("asof"))
     m = m.join(rows, ["_fg", "_fh"])
+    if post_game:
+        from tandem.operators.windows import season_phase_of
+        a = lambda c: F.col(f"asof.{c}")
+        same = season_of(F.col("game_date"), start_month) == a("season")
+        rest = F.datediff(F.col("game_date"), a("date"))
+        gnum = F.when(same, a("game_num") + 1).otherwise(F.lit(1))
+        fixed = {c: a(c) for c in cols}
+        fixed.update({"days_rest": rest, "is_b2b": (rest == 1).cast("int"), "long_rest": (rest >= 4).cast("int"),
+                      "game_num": gnum.cast("int"), "season_phase": season_phase_of(gnum)})
+        for c in ("season_ppg", "season_papg", "season_total_avg", "season_win_pct"):
+            fixed[c] = F.when(same, a(c))
+        m = m.withColumn("asof", F.struct(*[fixed[c].alias(c) for c in cols]))
     side = lambda flag: F.first(F.when(F.col("is_home") == flag, F.col("asof")), ignorenulls=True)
     paired = m.groupBy("game_id").agg(side(1).alias("_h"), side(0).alias("_a"))
     paired = paired.filter(F.col("_h").isNotNull() & F.col("_a").isNotNull())

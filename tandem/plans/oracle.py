@@ -59,13 +59,18 @@ long AS (SELECT *, points_scored + points_allowed AS total_points,
 TEAM_ORDER = "ORDER BY date, is_home DESC, game_id"
 
 
+INCLUSIVE = {"on": False}   # frame style used by trailing()/season_before() (serving variant)
+
+
 def trailing(fn: str, col: str, w: int, part: str = "team") -> str:
-    return f"{fn}({col}) OVER (PARTITION BY {part} {TEAM_ORDER} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+    frame = f"{w - 1} PRECEDING AND CURRENT ROW" if INCLUSIVE["on"] else f"{w} PRECEDING AND 1 PRECEDING"
+    return f"{fn}({col}) OVER (PARTITION BY {part} {TEAM_ORDER} ROWS BETWEEN {frame})"
 
 
 def season_before(fn: str, col: str) -> str:
+    end = "CURRENT ROW" if INCLUSIVE["on"] else "1 PRECEDING"
     return (f"{fn}({col}) OVER (PARTITION BY team, season {TEAM_ORDER} "
-            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND {end})")
 
 
 def feature_select(windows=(3, 5, 10, 15), stats=ROLLING_STATS, std_stats=VOLATILITY_STATS,

@@ -482,3 +482,54 @@ def q_serve_split(spark, sf):
     forced = SplitPolicy(force=True)
     s = J.serve_features(slate, team_features(games, split=forced), split=forced)
     return s.select(*[F.round(c, 6).alias(c) if ("std" in c or "volatility" in c) else F.col(c) for c in SERVE_OUT])
+
+
+
+def _serve_post_sql():
+    from tandem.plans import oracle as O
+    O.INCLUSIVE["on"] = True
+    try:
+        feat = ("feat AS (SELECT game_id, is_home, team, date, season, total, points_scored, points_allowed, "
+                + O.feature_select() + " FROM long)")
+    finally:
+        O.INCLUSIVE["on"] = False
+    cols = side_columns()
+    season_of = "CAST(CASE WHEN month(s.game_date) >= 10 THEN year(s.game_date) + 1 ELSE year(s.game_date) END AS INTEGER)"
+    adj = {"days_rest": "CAST(date_diff('day', f.date, s.game_date) AS INTEGER)",
+           "is_b2b": "CAST(date_diff('day', f.date, s.game_date) = 1 AS INTEGER)",
+           "long_rest": "CAST(date_diff('day', f.date, s.game_date) >= 4 AS INTEGER)",
+           "game_num": f"CAST(CASE WHEN {season_of} = f.season THEN f.game_num + 1 ELSE 1 END AS INTEGER)"}
+    gn = adj["game_num"]
+    adj["season_phase"] = (f"CASE WHEN {gn} > 0 AND {gn} <= 25 THEN 'early' WHEN {gn} > 25 AND {gn} <= 55 THEN 'mid' "
+                           f"WHEN {gn} > 55 AND {gn} <= 100 THEN 'late' END")
+    for c in ("season_ppg", "season_papg", "season_total_avg", "season_win_pct"):
+        adj[c] = f"CASE WHEN {season_of} = f.season THEN f.{c} END"
+    sel = ", ".join(f"{adj.get(c, 'f.' + c)} AS {c}" for c in cols)
+    pick = lambda side, team: (
+        f"{side} AS (SELECT s.game_id, {sel}, row_number() OVER (PARTITION BY s.game_id "
+        f"ORDER BY f.date DESC, f.is_home ASC, f.game_id DESC) AS rn "
+        f"FROM slate s JOIN feat f ON f.team = s.{team} AND f.date < s.game_date)")
+    both = ", ".join([f"h.{c} AS home_{c}" for c in cols] + [f"a.{c} AS away_{c}" for c in cols])
+    pair = (f"pair AS (SELECT s.* EXCLUDE (vegas_total), {both} FROM slate s JOIN hs h ON h.game_id = s.game_id AND h.rn = 1 "
+            f"JOIN aws a ON a.game_id = s.game_id AND a.rn = 1)")
+    mu = matchup_select(line="CAST(NULL AS DOUBLE)", target=False)
+    return with_ctes(*SLATE_SQL, feat, pick("hs", "home"), pick("aws", "away"), pair,
+                     f"served AS (SELECT *, {mu} FROM pair)")
+
+
+POST_OUT = SERVE_OUT + ["home_game_num", "away_days_rest", "home_season_ppg", "away_season_phase", "home_is_b2b"]
+
+
+@register("L9_serve_features_post_game", _serve_post_sql() + "SELECT "
+          + ", ".join(f"round({c}, 6) AS {c}" if ("std" in c or "volatility" in c) else c for c in dict.fromkeys(POST_OUT))
+          + " FROM served")
+def q_serve_post(spark, sf):
+    """L9 fixed mode (Q3): each side's windows end at its latest game, rest is
+    counted to the scheduled date and the game number continues the season."""
+    from tandem.operators.longform import team_games
+    from tandem.operators.windows import trailing_features
+    games, slate = _slate(spark, sf)
+    feats = trailing_features(team_games(games), inclusive=True)
+    s = J.serve_features(slate, feats, post_game=True)
+    return s.select(*[F.round(c, 6).alias(c) if ("std" in c or "volatility" in c) else F.col(c)
+                      for c in dict.fromkeys(POST_OUT)])
