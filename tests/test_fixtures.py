@@ -100,3 +100,18 @@ def test_folds_n20(spark):
     starts = [min(g for g, k in f.items() if k == i) for i in range(5)]
     assert starts == [5, 8, 11, 14, 17]
     assert all(f[g] is None for g in range(5))
+
+
+def test_serving_modes(spark):
+    """Reference mode uses the latest row's pre-game features; post-game mode
+    includes that game and counts rest to the scheduled date."""
+    import datetime as dt
+    from tandem.plans.jobs import serve_features
+    rows = [(1, "2020-01-01", "b", "a", 90, 100), (2, "2020-01-03", "a", "b", 110, 95)]
+    games = games_df(spark, rows)
+    slate = spark.createDataFrame([("g9", dt.date(2020, 1, 6), "b", "a")], "game_id string, game_date date, away string, home string")
+    ref = serve_features(slate, trailing_features(team_games(games))).first()
+    post = serve_features(slate, trailing_features(team_games(games), inclusive=True), post_game=True).first()
+    assert (ref["home_points_scored_roll_3"], ref["home_days_rest"], ref["home_game_num"]) == (100.0, 2, 2)
+    assert (post["home_points_scored_roll_3"], post["home_days_rest"], post["home_game_num"]) == (105.0, 3, 3)
+    assert post["home_season_ppg"] == 105.0 and post["home_is_b2b"] == 0
