@@ -533,3 +533,13 @@ def q_serve_post(spark, sf):
     s = J.serve_features(slate, feats, post_game=True)
     return s.select(*[F.round(c, 6).alias(c) if ("std" in c or "volatility" in c) else F.col(c)
                       for c in dict.fromkeys(POST_OUT)])
+
+
+@register("S13_scheduled_for_date", with_ctes(*SLATE_SQL) + """
+SELECT game_date, away, home, game_time AS scheduled_time, vegas_total FROM slate
+WHERE game_date = (SELECT max(game_date) FROM slate)""")
+def q_sched_day(spark, sf):
+    """The slate of one day (the latest scheduled date) by equality lookup."""
+    _, slate = _slate(spark, sf)
+    sched = slate.select("game_date", "away", "home", F.col("game_time").alias("scheduled_time"), "vegas_total")
+    return S.scheduled_for_date(sched, sched.select(F.max("game_date")).scalar())

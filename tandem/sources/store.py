@@ -158,8 +158,9 @@ def append_predictions(df: DataFrame, path: str) -> None:
 
 
 def scheduled_for_date(scheduled: DataFrame, game_date) -> DataFrame:
-    """Equality lookup of a day's slate."""
-    return scheduled.filter(F.col("game_date") == F.lit(game_date).cast("date"))
+    """Equality lookup of a day's slate (a date string, date or Column)."""
+    d = game_date if isinstance(game_date, Column) else F.lit(game_date).cast("date")
+    return scheduled.filter(F.col("game_date") == d)
 
 
 def load_or_seed(spark: SparkSession, table_path: str, csv_path: str) -> DataFrame:
