@@ -115,3 +115,22 @@ def test_serving_modes(spark):
     assert (ref["home_points_scored_roll_3"], ref["home_days_rest"], ref["home_game_num"]) == (100.0, 2, 2)
     assert (post["home_points_scored_roll_3"], post["home_days_rest"], post["home_game_num"]) == (105.0, 3, 3)
     assert post["home_season_ppg"] == 105.0 and post["home_is_b2b"] == 0
+
+
+def test_edge_sweep_brute_force(spark):
+    """Suffix sums over edge levels equal a direct count per threshold."""
+    import random
+    from tandem.operators.evaluate import edge_sweep
+    rnd = random.Random(3)
+    rows = [(200 + rnd.uniform(-14, 14), float(rnd.randint(180, 230)), rnd.choice([None, 200.0, 205.5, 199.0]))
+            for _ in range(400)]
+    df = spark.createDataFrame(rows, "prediction double, actual_total double, total double")
+    for ths in ([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [2, 5, 9]):
+        got = {r["min_edge"]: (r["bets"], r["wins"]) for r in edge_sweep(df, thresholds=ths).collect()}
+        want = {}
+        for t in ths:
+            sel = [(p, y, l) for p, y, l in rows if l is not None and abs(p - l) >= t]
+            wins = sum(1 for p, y, l in sel if (p > l) == (y > l))
+            if sel:
+                want[t] = (len(sel), wins)
+        assert got == want, (ths, got, want)
