@@ -48,3 +48,15 @@ def test_season_filter_pushed_to_partitioned_scan(spark, tmp_path):
     plan = _plan(df)
     assert "PartitionFilters: [isnotnull(season" in plan and "(season#" in plan
     assert df.count() == load_games(spark, SF).filter(F.col("season") == 1996).count()
+
+
+def test_flagship_plan_shape(spark):
+    """Flagship: one exchange by entity for the windows, one by event id for
+    pairing, one by season for the result; no sort-based aggregation."""
+    import __spark_entry__ as E
+    df = E.entry(spark)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(team") == 1
+    assert plan.count("Exchange hashpartitioning(game_id") == 1
+    assert plan.count("Exchange hashpartitioning(season") == 1
+    assert "SortAggregate" not in plan
