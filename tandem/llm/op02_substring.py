@@ -7,15 +7,20 @@ judged on the input.
 Levels. The shortest level holds windows of about a quarter of the length,
 chosen by content: in each full window the least hash among its short windows
 is selected, so two equal full windows select the same short one and no repeat
-is lost while one position in twenty is shuffled. A short window found in two
-documents is extended to twice its length (to the left or to the right, inside
-the full window); those found in two documents at that length are extended
-again, to the full length, where the least document of each window is exact.
-A level without survivors leaves the next one empty.
+is lost while one position in twenty is shuffled. Short windows found in two
+different texts are extended to twice their length (to the left and to the right,
+inside the full window); those found in two documents are extended again, to the
+full length, where the least document of each window is exact. Without survivors
+the next level is empty.
+
+A text that an earlier document holds word for word needs no search: each of its
+windows is a repeat. Only the first of equal texts enters the levels above the
+first, so a large group of copies costs no more than one text.
 
 Every level is aggregate (map-side combine) then join, so a passage that a third
 of all documents share meets no single task; AQE splits skewed join partitions.
-Texts are shuffled once, by a row key (hash of doc_id and text).
+Texts are shuffled once, by a row key (hash of doc_id and text), and that
+exchange is reused by the later levels.
 
 Defined cases: a null text has no words; a null doc_id neither removes nor is
 removed; repeated rows (same id and text) are judged alike; an id with two
@@ -32,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm import textops as T
+from tandem.llm.staging import stage
 
 WINDOW = 50
 
@@ -59,37 +65,62 @@ def _selected(words: np.ndarray, first: np.ndarray, window: int):
 
 
 def anchor_batches(window: int):
+    """Level 1: the short windows that some full window selects."""
+    short, _ = _levels(window)
+    schema = pa.schema([("rk", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("h", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for s in T.slices(batch.column("text")):
+                begin, end, first = s.words()
+                _, chosen, hashes = _selected(T.byte_hashes(s.data, begin, end), first, window)
+                at = np.unique(chosen)
+                if len(at):
+                    own = np.searchsorted(first, at, side="right") - 1
+                    take = pa.array(own + s.lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("rk").take(take), batch.column("th").take(take),
+                         pa.array((at - first[own]).astype(np.int32)), pa.array(hashes[at].view(np.int64))],
+                        schema=schema)
+    return run
+
+
+ANCHORS = "rk long, th long, pos int, h long"
+
+
+def _found(batch, s: T.Slice, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word index of the text's start, listed value) of the survivors of a slice."""
+    found = batch.column("found")
+    lists, values = found.offsets.to_numpy(), found.values.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(s.lo, s.hi), np.diff(lists[s.lo:s.hi + 1]))
+    return first[row - s.lo], values[lists[s.lo]:lists[s.hi]]
+
+
+def extension_batches(window: int):
+    """Level 2: surviving short windows extended to twice their length, to the
+    left (code 1) and to the right (code 2)."""
     short, middle = _levels(window)
-    schema = pa.schema([("rk", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()),
-                        ("left", pa.int64()), ("right", pa.int64())])
+    schema = pa.schema([("rk", pa.int64()), ("doc", pa.int64()), ("code", pa.int64()), ("h", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            doc = batch.column("doc_id")
             for s in T.slices(batch.column("text")):
                 begin, end, first = s.words()
                 words = T.byte_hashes(s.data, begin, end)
-                starts, chosen, hashes = _selected(words, first, window)
-                at = np.unique(chosen)
-                if not len(at):
-                    continue
-                own = np.searchsorted(first, at, side="right") - 1
-                pos = at - first[own]
-                back = at - (middle - short)  # twice the length, ending with the short window
-                fits_l = back >= first[own]
-                fits_r = at + middle <= first[own + 1]
-                left, right = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                left[fits_l] = T.window_hashes(words, back[fits_l], middle).view(np.int64)
-                right[fits_r] = T.window_hashes(words, at[fits_r], middle).view(np.int64)
-                take = pa.array(own + s.lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("rk").take(take), doc.take(take), pa.array(pos.astype(np.int32)),
-                     pa.array(hashes[at].view(np.int64)), pa.array(left, mask=~fits_l), pa.array(right, mask=~fits_r)],
-                    schema=schema)
+                base, pos = _found(batch, s, first)
+                for code, start in ((1, base + pos - (middle - short)), (2, base + pos)):
+                    own = np.searchsorted(first, base + pos, side="right") - 1
+                    fits = (start >= base) & (start + middle <= first[own + 1])
+                    if fits.any():
+                        take = pa.array(own[fits] + s.lo)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("rk").take(take), batch.column("doc_id").take(take),
+                             pa.array(pos[fits].astype(np.int64) * 4 + code),
+                             pa.array(T.window_hashes(words, start[fits], middle).view(np.int64))], schema=schema)
     return run
 
 
-ANCHORS = "rk long, doc long, pos int, h long, left long, right long"
+EXTENSIONS = "rk long, doc long, code long, h long"
 
 
 def window_batches(window: int):
@@ -99,20 +130,15 @@ def window_batches(window: int):
 
     def run(batches):
         for batch in batches:
-            found = batch.column("found")
-            lists = found.offsets.to_numpy()
-            codes = found.values.to_numpy(zero_copy_only=False) if len(found.values) else np.zeros(0, np.int64)
             for s in T.slices(batch.column("text")):
                 begin, end, first = s.words()
                 words = T.byte_hashes(s.data, begin, end)
                 starts, chosen, _ = _selected(words, first, window)
                 if not len(starts):
                     continue
-                # survivors of these texts as positions in the slice, two bits for the sides
-                row = np.repeat(np.arange(s.lo, s.hi), np.diff(lists[s.lo:s.hi + 1]))
-                code = codes[lists[s.lo]:lists[s.hi]]
-                side = np.zeros(len(words) + 1, np.int8)
-                np.bitwise_or.at(side, first[row - s.lo] + code // 4, (code % 4).astype(np.int8))
+                base, code = _found(batch, s, first)
+                side = np.zeros(len(words) + 1, np.int8)  # two bits for the sides that survive
+                np.bitwise_or.at(side, base + code // 4, (code % 4).astype(np.int8))
                 offset = chosen - starts
                 keep = np.where(offset >= middle - short, side[chosen] & 1, side[chosen] & 2) > 0
                 starts = starts[keep]
@@ -137,7 +163,7 @@ WINDOWS = "rk long, doc long, h long, at binary"
 def removal_batches(window: int, keep_text: bool):
     def run(batches):
         for batch in batches:
-            texts, at = batch.column("text"), batch.column("at")
+            texts, at, marked = (batch.column(c) for c in ("text", "at", "marked"))
             total, removed, digest, kept_text = [], [], [], []
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or "").encode().split()
@@ -151,6 +177,8 @@ def removal_batches(window: int, keep_text: bool):
                     covered = np.cumsum(edge[:-1]) > 0
                     gone = int(covered.sum())
                     kept = [w for w, c in zip(words, covered.tolist()) if not c]
+                elif marked[i].as_py() and len(words) >= window:  # an earlier document has the same text
+                    gone, kept = len(words), []
                 else:
                     kept = words
                 total.append(len(words))
@@ -165,34 +193,45 @@ def removal_batches(window: int, keep_text: bool):
     return run
 
 
-def _in_two_documents(rows: DataFrame, key: str) -> DataFrame:
-    return (rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-            .where("lo < hi").select(key))
+def _repeated(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """Keys found under two different values of ``by``."""
+    return rows.groupBy(key).agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo < hi").select(key)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (``keep_text``) the kept text of every row."""
     if window < 4:
         raise ValueError("windows have four words at least")
-    short, middle = _levels(window)
     # rk: NULL ids and NULL texts hash like any other value, so the key is never NULL
-    rows = docs.select("doc_id", "text").withColumn("rk", F.xxhash64("doc_id", "text"))
-    anchors = rows.mapInArrow(anchor_batches(window), ANCHORS)
-    # level 1: short windows found in two documents
-    some = anchors.join(_in_two_documents(anchors, "h"), "h", "left_semi")
-    # level 2: twice the length, to the left (code 1) or to the right (code 2)
-    sides = [some.join(_in_two_documents(some, side), side, "left_semi")
-             .select("rk", (F.col("pos").cast("long") * 4 + code).alias("code"))
-             for side, code in (("left", 1), ("right", 2))]
-    found = sides[0].unionByName(sides[1]).groupBy("rk").agg(F.collect_set("code").alias("found"))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
+    # texts with an equal text under a smaller id: all their windows are repeats
+    text_key = ["th", "crc", "size"]
+    named = docs.where("doc_id is not null").select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("th"),
+        F.crc32(F.col("text").cast("binary")).alias("crc"), F.octet_length("text").alias("size")).dropna()
+    copies = stage(named.join(named.groupBy(text_key).agg(F.min("doc_id").alias("least")), text_key)
+                   .where("doc_id > least").select("rk").distinct())
+    # level 1: short windows found in two different texts
+    anchors = (docs.where("doc_id is not null").select("text", F.xxhash64("doc_id", "text").alias("rk"),
+                                                       F.xxhash64("text").alias("th"))
+               .mapInArrow(anchor_batches(window), ANCHORS))
+    short = (anchors.select("rk", "pos", "h").join(_repeated(anchors, "h", "th"), "h", "left_semi")
+             .groupBy("rk").agg(F.collect_set("pos").alias("found")))
+    short = stage(short.join(copies, "rk", "left_anti"))
+    # level 2: twice the length, found in two documents
+    longer = rows.join(short, "rk").select("rk", "doc_id", "text", "found").mapInArrow(
+        extension_batches(window), EXTENSIONS)
+    longer = (longer.select("rk", "code", "h").join(_repeated(longer, "h", "doc"), "h", "left_semi")
+              .groupBy("rk").agg(F.collect_set("code").alias("found")))
     # level 3: full windows over the survivors; the least document of each is exact
-    marked = rows.join(found, "rk", "left")
-    windows = marked.where("found is not null").select("rk", "doc_id", "text", "found").mapInArrow(
+    windows = rows.join(longer, "rk").select("rk", "doc_id", "text", "found").mapInArrow(
         window_batches(window), WINDOWS)
     least = windows.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
     covers = (windows.join(least.select("h", "lo"), "h").where("doc > lo").groupBy("rk")
               .agg(F.collect_set("at").alias("at")))
-    out = marked.select("rk", "doc_id", "text").join(covers, "rk", "left").select("doc_id", "text", "at")
-    out = out.mapInArrow(removal_batches(window, keep_text),
-                         "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    marks = covers.unionByName(copies.withColumn("at", F.lit(None).cast("array<binary>"))
+                               ).withColumn("marked", F.lit(True))
+    out = rows.join(marks, "rk", "left").select("doc_id", "text", "at", "marked").mapInArrow(
+        removal_batches(window, keep_text),
+        "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if keep_text else out.drop("kept_text")
