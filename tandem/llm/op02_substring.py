@@ -64,10 +64,17 @@ def _selected(words: np.ndarray, first: np.ndarray, window: int):
     return starts, (least & low).astype(np.int64), hashes
 
 
+def _by_text_and_hash(own: np.ndarray, h: np.ndarray, at: np.ndarray):
+    """Sort by (text, hash, position); first index of every (text, hash) run, and the sorted arrays."""
+    order = np.lexsort((at, h, own))
+    own, h, at = own[order], h[order], at[order]
+    return np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])]), own, h, at
+
+
 def anchor_batches(window: int):
     """Level 1: the short windows that some full window selects."""
     short, _ = _levels(window)
-    schema = pa.schema([("rk", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("h", pa.int64())])
+    schema = pa.schema([("rk", pa.int64()), ("th", pa.int64()), ("h", pa.int64()), ("at", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -77,30 +84,32 @@ def anchor_batches(window: int):
                 at = np.unique(chosen)
                 if len(at):
                     own = np.searchsorted(first, at, side="right") - 1
-                    take = pa.array(own + s.lo)
+                    cuts, own, h, at = _by_text_and_hash(own, hashes[at].view(np.int64), at)
+                    take = pa.array(own[cuts] + s.lo)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("rk").take(take), batch.column("th").take(take),
-                         pa.array((at - first[own]).astype(np.int32)), pa.array(hashes[at].view(np.int64))],
-                        schema=schema)
+                        [batch.column("rk").take(take), batch.column("th").take(take), pa.array(h[cuts]),
+                         T.binaries((at - first[own]).astype(np.int32), np.r_[cuts, len(at)])], schema=schema)
     return run
 
 
-ANCHORS = "rk long, th long, pos int, h long"
+ANCHORS = "rk long, th long, h long, at binary"
 
 
 def _found(batch, s: T.Slice, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word index of the text's start, listed value) of the survivors of a slice."""
+    """(word index of the text's start, packed value) of the survivors of a slice."""
     found = batch.column("found")
-    lists, values = found.offsets.to_numpy(), found.values.to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(s.lo, s.hi), np.diff(lists[s.lo:s.hi + 1]))
-    return first[row - s.lo], values[lists[s.lo]:lists[s.hi]]
+    lists, values = found.offsets.to_numpy(), found.values
+    packed = [values[i].as_py() for i in range(lists[s.lo], lists[s.hi])]
+    row = np.repeat(np.repeat(np.arange(s.lo, s.hi), np.diff(lists[s.lo:s.hi + 1])),
+                    np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed)))
+    return first[row - s.lo], np.frombuffer(b"".join(packed), dtype=np.int32).astype(np.int64)
 
 
 def extension_batches(window: int):
     """Level 2: surviving short windows extended to twice their length, to the
     left (code 1) and to the right (code 2)."""
     short, middle = _levels(window)
-    schema = pa.schema([("rk", pa.int64()), ("doc", pa.int64()), ("code", pa.int64()), ("h", pa.int64())])
+    schema = pa.schema([("rk", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("at", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -111,16 +120,17 @@ def extension_batches(window: int):
                 for code, start in ((1, base + pos - (middle - short)), (2, base + pos)):
                     own = np.searchsorted(first, base + pos, side="right") - 1
                     fits = (start >= base) & (start + middle <= first[own + 1])
-                    if fits.any():
-                        take = pa.array(own[fits] + s.lo)
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column("rk").take(take), batch.column("doc_id").take(take),
-                             pa.array(pos[fits].astype(np.int64) * 4 + code),
-                             pa.array(T.window_hashes(words, start[fits], middle).view(np.int64))], schema=schema)
+                    if not fits.any():
+                        continue
+                    h = T.window_hashes(words, start[fits], middle).view(np.int64)
+                    cuts, of, h, at = _by_text_and_hash(own[fits], h, pos[fits] * 4 + code)
+                    take = pa.array(of[cuts] + s.lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("rk").take(take), batch.column("doc_id").take(take), pa.array(h[cuts]),
+                         T.binaries(at.astype(np.int32), np.r_[cuts, len(at)])], schema=schema)
     return run
 
 
-EXTENSIONS = "rk long, doc long, code long, h long"
 
 
 def window_batches(window: int):
@@ -146,10 +156,7 @@ def window_batches(window: int):
                     continue
                 h = T.window_hashes(words, starts, window).view(np.int64)
                 own = np.searchsorted(first, starts, side="right") - 1
-                order = np.lexsort((starts, h, own))
-                starts, h, own = starts[order], h[order], own[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])]
-                cuts = np.flatnonzero(new)
+                cuts, own, h, starts = _by_text_and_hash(own, h, starts)
                 take = pa.array(own[cuts] + s.lo)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("rk").take(take), batch.column("doc_id").take(take), pa.array(h[cuts]),
@@ -193,9 +200,16 @@ def removal_batches(window: int, keep_text: bool):
     return run
 
 
-def _repeated(rows: DataFrame, key: str, by: str) -> DataFrame:
-    """Keys found under two different values of ``by``."""
-    return rows.groupBy(key).agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo < hi").select(key)
+def _of_two(rows: DataFrame, by: str) -> DataFrame:
+    """Hashes found under two different values of ``by``, with the least of them."""
+    return rows.groupBy("h").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo < hi").select("h", "lo")
+
+
+def _fetch(rows: DataFrame, hashes: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the hash. The second key gives the aggregated side an exchange of its
+    own, so that AQE may split a hash that very many texts share."""
+    again = F.hash("h").alias("again")
+    return rows.select("*", again).join(hashes.select("*", again), ["h", "again"], how).drop("again")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
@@ -215,19 +229,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     anchors = (docs.where("doc_id is not null").select("text", F.xxhash64("doc_id", "text").alias("rk"),
                                                        F.xxhash64("text").alias("th"))
                .mapInArrow(anchor_batches(window), ANCHORS))
-    short = (anchors.select("rk", "pos", "h").join(_repeated(anchors, "h", "th"), "h", "left_semi")
-             .groupBy("rk").agg(F.collect_set("pos").alias("found")))
+    short = (_fetch(anchors.select("rk", "h", "at"), _of_two(anchors, "th"), "left_semi")
+             .groupBy("rk").agg(F.collect_set("at").alias("found")))
     short = stage(short.join(copies, "rk", "left_anti"))
     # level 2: twice the length, found in two documents
     longer = rows.join(short, "rk").select("rk", "doc_id", "text", "found").mapInArrow(
-        extension_batches(window), EXTENSIONS)
-    longer = (longer.select("rk", "code", "h").join(_repeated(longer, "h", "doc"), "h", "left_semi")
-              .groupBy("rk").agg(F.collect_set("code").alias("found")))
+        extension_batches(window), WINDOWS)
+    longer = (_fetch(longer.select("rk", "h", "at"), _of_two(longer, "doc"), "left_semi")
+              .groupBy("rk").agg(F.collect_set("at").alias("found")))
     # level 3: full windows over the survivors; the least document of each is exact
     windows = rows.join(longer, "rk").select("rk", "doc_id", "text", "found").mapInArrow(
         window_batches(window), WINDOWS)
-    least = windows.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    covers = (windows.join(least.select("h", "lo"), "h").where("doc > lo").groupBy("rk")
+    covers = (_fetch(windows, _of_two(windows, "doc")).where("doc > lo").groupBy("rk")
               .agg(F.collect_set("at").alias("at")))
     marks = covers.unionByName(copies.withColumn("at", F.lit(None).cast("array<binary>"))
                                ).withColumn("marked", F.lit(True))
