@@ -2,11 +2,13 @@
 
 A word is the mean of the embeddings of its character n-grams (hashed into a
 fixed number of buckets, word marks included), a segment of a text the mean of
-its words, and a linear softmax over the segment's vector gives its logit.
-Embeddings and softmax are trained jointly in numpy by Adam. A text is as toxic
-as its worst segment: in training a soft maximum spreads the label over the
-segments, so one sentence in a long text is learned and found. Misspelt and
-unseen words share n-gram vectors with known ones.
+its words, and a linear softmax over the segment's vector gives its logit. A text
+is as toxic as its worst segment, so one phrase in a long text is learned and
+found. Misspelt and unseen words share n-gram vectors with known ones.
+
+Embeddings and softmax start where the n-grams' document counts by class point
+(smoothed log odds along one random direction) and are then trained jointly in
+numpy: gradient steps on the logistic loss of the soft maximum over segments.
 
 Training takes at most ``max_rows`` labelled rows of each class (a documented
 bound: those with the least hash of their id), whole texts, on the driver; the
@@ -40,9 +42,12 @@ class Settings:
     dim: int = 8
     shortest: int = 3
     longest: int = 6
-    segment: int = 12      # words of a segment; segments overlap by half
-    epochs: int = 60
-    rate: float = 0.08
+    segment: int = 3       # words of a segment; segments overlap by half or more
+    smoothing: float = 10.0  # documents added to each class count at the start
+    gain: float = 3.0      # factor of the log odds at the start
+    sharpness: float = 4.0  # of the soft maximum over segments
+    epochs: int = 30
+    rate: float = 1.0      # largest move of an embedding in a step
     max_rows: int = 1500   # labelled rows of each class, at most
     seed: int = 7
 
@@ -88,7 +93,7 @@ class Bag:
 
     def __init__(self, texts: list[str | None], s: Settings):
         names: dict[bytes, int] = {}
-        numbers, starts, ends, first = [], [], [], [0]
+        numbers, starts, ends, first, size = [], [], [], [0], []
         base = 0
         for t in texts:
             ws = clean_words(t)
@@ -97,8 +102,10 @@ class Bag:
             starts.append(a + base)
             ends.append(b + base)
             base += len(ws)
+            size.append(len(ws))
             first.append(first[-1] + len(a))
-        self.words = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        self.words = np.concatenate(numbers)
+        self.text_of_word = np.repeat(np.arange(len(texts)), size)
         self.starts, self.ends = (np.concatenate(x).astype(np.int64) for x in (starts, ends))
         self.first = np.array(first)
         self.size = np.maximum(self.ends - self.starts, 1)
@@ -106,60 +113,78 @@ class Bag:
         self.per_word = np.diff(self.gram_first)
 
     def word_means(self, table: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(table[self.grams], self.gram_first[:-1], axis=0) / (
-            self.per_word[:, None] if table.ndim > 1 else self.per_word)
+        return np.add.reduceat(table[self.grams], self.gram_first[:-1], axis=0) / self.per_word[:, None]
 
     def segment_means(self, per_word: np.ndarray) -> np.ndarray:
         total = np.r_[0.0, np.cumsum(per_word[self.words])]
         return (total[self.ends] - total[self.starts]) / self.size
 
+    def texts_with_gram(self, chosen: np.ndarray, buckets: int) -> np.ndarray:
+        """In how many of the chosen texts every bucket occurs."""
+        n = len(self.first) - 1
+        mine = chosen[self.text_of_word]
+        pairs = np.unique(self.words[mine] * n + self.text_of_word[mine])
+        word, text = pairs // n, pairs % n
+        count = self.per_word[word]
+        at = np.repeat(self.gram_first[word] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        return np.bincount(np.unique(self.grams[at] * n + np.repeat(text, count)) // n, minlength=buckets)
+
 
 def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+class _Steps:
+    """Gradient steps with momentum, scaled by the largest entry of the gradient."""
+
+    def __init__(self, rate: float):
+        self.rate, self.mean, self.top, self.t = rate, 0.0, 0.0, 0
+
+    def __call__(self, grad):
+        self.t += 1
+        self.mean = 0.9 * self.mean + 0.1 * grad
+        self.top = 0.9 * self.top + 0.1 * float(np.max(np.abs(grad))) ** 2
+        fresh = 1 - 0.9 ** self.t
+        return self.rate * (self.mean / fresh) / ((self.top / fresh) ** 0.5 + 1e-9)
+
+
 def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
     """(one number per bucket, bias): embeddings x (toxic - clean softmax weights)."""
     rng = np.random.default_rng(s.seed)
-    emb = rng.normal(0, 1 / s.dim, (s.buckets, s.dim))
-    out = rng.normal(0, 1.0, s.dim)  # difference of the two softmax rows
     y = labels.astype(float)
-    bias = 0.0
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    n, sizes = len(y), ((y == 0).sum(), (y > 0).sum())
     bag = Bag(texts, s)
+    if not len(bag.words):
+        return np.zeros(s.buckets), 0.0
     have = np.diff(bag.first) > 0
     doc_of = T.owners(bag.first)
-    state = [(np.zeros_like(emb), np.zeros_like(emb)), (np.zeros_like(out), np.zeros_like(out)), [0.0, 0.0]]
-    for epoch in range(1, s.epochs + 1):
+    clean, toxic = (bag.texts_with_gram(y == c, s.buckets) for c in (0, 1))
+    odds = (np.log((toxic + s.smoothing) / (sizes[1] + 2 * s.smoothing))
+            - np.log((clean + s.smoothing) / (sizes[0] + 2 * s.smoothing)))
+    out = rng.normal(0, 1, s.dim)  # difference of the two softmax rows
+    out /= np.linalg.norm(out)
+    emb = np.where(toxic + clean > 0, s.gain * odds, 0.0)[:, None] * out[None, :]
+    bias = -1.0
+    weight = np.where(y > 0, 0.5 / sizes[1], 0.5 / sizes[0])
+    move_emb, move_out, move_bias = _Steps(s.rate), _Steps(0.3 * s.rate), _Steps(0.3 * s.rate)
+    for _ in range(s.epochs):
         vectors = bag.word_means(emb)
         z = bag.segment_means(vectors @ out) + bias
-        sharp = min(8.0, 1.0 + 0.25 * epoch)  # from near the mean to near the maximum
-        top = np.full(len(y), -np.inf)
+        top = np.full(n, -np.inf)
         np.maximum.at(top, doc_of, z)
-        e = np.exp(sharp * (z - top[doc_of]))
-        norm = np.bincount(doc_of, e, minlength=len(y))
-        share = e / norm[doc_of]
-        doc_z = np.bincount(doc_of, share * z, minlength=len(y))
-        grad_doc = np.where(have, weight * (_sigmoid(doc_z) - y), 0.0) / len(y)
-        grad_z = grad_doc[doc_of] * share
+        e = np.exp(s.sharpness * (z - top[doc_of]))
+        share = e / np.bincount(doc_of, e, minlength=n)[doc_of]
+        doc_z = np.bincount(doc_of, share * z, minlength=n)
+        grad_z = np.where(have, weight * (_sigmoid(doc_z) - y), 0.0)[doc_of] * share
         edge = np.zeros(len(bag.words) + 1)
-        per_word_seg = grad_z / bag.size
-        np.add.at(edge, bag.starts, per_word_seg)
-        np.add.at(edge, bag.ends, -per_word_seg)
+        np.add.at(edge, bag.starts, grad_z / bag.size)
+        np.add.at(edge, bag.ends, -grad_z / bag.size)
         grad_word = np.bincount(bag.words, np.cumsum(edge)[:-1], minlength=len(bag.per_word))
-        grad_out = grad_word @ vectors
         grad_gram = np.bincount(bag.grams, np.repeat(grad_word / bag.per_word, bag.per_word), minlength=s.buckets)
-        grads = (grad_gram[:, None] * out[None, :], grad_out)
-        for i, (param, grad) in enumerate(zip((emb, out), grads)):
-            m, v = state[i]
-            m *= 0.9
-            m += 0.1 * grad
-            v *= 0.999
-            v += 0.001 * grad * grad
-            param -= s.rate * (m / (1 - 0.9 ** epoch)) / (np.sqrt(v / (1 - 0.999 ** epoch)) + 1e-7)
-        g = grad_z.sum()
-        state[2] = [0.9 * state[2][0] + 0.1 * g, 0.999 * state[2][1] + 0.001 * g * g]
-        bias -= s.rate * (state[2][0] / (1 - 0.9 ** epoch)) / (np.sqrt(state[2][1] / (1 - 0.999 ** epoch)) + 1e-7)
+        grad_out = grad_word @ vectors
+        emb -= move_emb(grad_gram[:, None] * out[None, :])
+        out -= move_out(grad_out)
+        bias -= float(move_bias(grad_z.sum()))
     return emb @ out, float(bias)
 
 

@@ -5,7 +5,7 @@ from helpers import documents, prose
 
 from tandem.llm.op10_toxicity import Settings, score, subwords
 
-SMALL = Settings(buckets=1 << 13, epochs=60, max_rows=300)
+SMALL = Settings(buckets=1 << 13, max_rows=300)
 
 
 def made(n, seed=5):
