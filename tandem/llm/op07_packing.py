@@ -36,45 +36,50 @@ from tandem.llm.staging import stage
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
-#: Entries of a worker's cache of encoded units; a memory bound only.
-CACHE_UNITS = 1_000_000
+#: How a byte-level vocabulary splits text before its merges (fixed by the vocabulary).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts with such runs are left to the ``tokenizers`` library, whose merges stay fast on them.
+_LONG_RUN = re.compile(r"\S{4000}|\s{400}")
 
-#: Texts for which units could depend on their neighbours: encoded as a whole.
-_WHOLE = re.compile(r"\s\s|[^\S \n]|^\s|\s$|[\x00᠎​﻿]|<\|endoftext\|>")
 
+def _byte_of_symbol() -> dict[str, int]:
+    """Byte-level vocabularies write a printable byte as itself and the n-th other one as chr(256 + n)."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
 
-class UnitEncoder:
-    """Exact ids of texts by one tokenizer, from a cache of units.
 
-    The vocabulary splits before every blank or newline that stands between two
-    other characters, so such units are encoded once and joined; any other text
-    is encoded as a whole.
+class Encoder:
+    """Exact ids of whole texts by a byte-level vocabulary file of ``tokenizers``.
+
+    In such a file ids follow the order of the merges, so the ids are merge ranks:
+    ``tiktoken`` encodes by them several times faster with equal results (tested
+    against ``tokenizers``). Texts that hold a special token or a very long run are
+    encoded by ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        units = [None if _WHOLE.search(t) else
-                 t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if t else [] for t in texts]
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        cache = self.cache
-        new = list({u for us in units if us for u in us if u not in cache})
-        for u, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            cache[u] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, us)) if us is not None else
-                np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                for us, t in zip(units, texts)]
+        self.plain = Tokenizer.from_file(path)
+        byte_of = _byte_of_symbol()
+        special = {t.content for t in self.plain.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.plain.get_vocab(False).items()
+                 if token not in special}
+        self.special = tuple(special)
+        self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if any(t in text for t in self.special) or _LONG_RUN.search(text):
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -96,8 +101,8 @@ def piece_batches(path: str | None, capacity: int):
             for lo in range(0, batch.num_rows, 256):
                 rows = batch.slice(lo, 256)
                 cols = [[] for _ in range(5)]
-                for i, ids in enumerate(enc.encode([t or "" for t in rows.column("text").to_pylist()])):
-                    ids += b"\0\0\0\0"
+                for i, text in enumerate(rows.column("text").to_pylist()):
+                    ids = enc(text or "") + b"\0\0\0\0"
                     n = len(ids) // 4
                     cut = n if n <= capacity else n % capacity or capacity
                     start, piece = 0, 0

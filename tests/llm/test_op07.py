@@ -6,7 +6,7 @@ from helpers import documents, fixture_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tandem.llm.op07_packing import UnitEncoder, pack, pack_histogram, tokenizer_path
+from tandem.llm.op07_packing import Encoder, pack, pack_histogram, tokenizer_path
 
 
 def tokenizer():
@@ -15,7 +15,7 @@ def tokenizer():
 
 
 TOK = tokenizer()
-ENC = UnitEncoder(tokenizer_path(None))
+ENC = Encoder(tokenizer_path(None))
 
 
 def plain(text):
@@ -26,8 +26,16 @@ def plain(text):
 @given(st.lists(st.sampled_from(["a", "Word", " ", "  ", "\n", "\n\n", "'s", "don't", "é", "ß", " ", "　", "1", "23", ".",
                                  ",", "!!", "\t", "\r", "漢", "\x1c", "\x00", "᠎", "<|endoftext|>", "x́", "‍"])
                 | st.text(max_size=4), max_size=12).map("".join))
-def test_units_join_to_the_ids_of_the_whole_text(text):
-    assert ENC.encode([text]) == [plain(text)]
+def test_ids_equal_those_of_tokenizers(text):
+    assert ENC(text) == plain(text)
+
+
+def test_ids_of_whole_documents_and_long_runs():
+    import pyarrow.parquet as pq
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    texts += ["a" * 50_000, " " * 5_000 + "x", "^" * 20_000, "", "漢" * 6_000, "<|endoftext|>a<|endoftext|>"]
+    for t in texts:
+        assert ENC(t) == plain(t)
 
 
 def brute(rows, capacity):
