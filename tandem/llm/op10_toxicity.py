@@ -11,7 +11,7 @@ Embeddings and softmax start where the n-grams' document counts by class point
 numpy: gradient steps on the logistic loss of the soft maximum over segments.
 
 Training takes at most ``max_rows`` labelled rows of each class (a documented
-bound: those with the least hash of their id), whole texts, on the driver; the
+bound: those with the least hash of their id), whole texts, in one task; the
 labels come only from rows with crc32(doc_id as text) mod 4 <> 2. Scoring covers
 every row in one pass without a shuffle; the broadcast model has a fixed size
 (``buckets`` numbers, since softmax and embeddings multiply out to one number a
@@ -71,7 +71,7 @@ def subwords(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
         owner.append(own[at])
     owner = np.concatenate(owner)
     bucket = (T.byte_hashes(data, np.concatenate(starts), np.concatenate(ends))
-              % np.uint64(s.buckets)).astype(np.int64)
+              % np.uint64(s.buckets)).astype(np.int32)
     order = np.argsort(owner, kind="stable")
     return bucket[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))]
 
@@ -113,7 +113,9 @@ class Bag:
         self.per_word = np.diff(self.gram_first)
 
     def word_means(self, table: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(table[self.grams], self.gram_first[:-1], axis=0) / self.per_word[:, None]
+        """Mean row of every word's n-grams, one dimension at a time to bound memory."""
+        return np.stack([np.add.reduceat(table[:, d][self.grams], self.gram_first[:-1]) / self.per_word
+                         for d in range(table.shape[1])], axis=1)
 
     def segment_means(self, per_word: np.ndarray) -> np.ndarray:
         total = np.r_[0.0, np.cumsum(per_word[self.words])]
@@ -121,13 +123,15 @@ class Bag:
 
     def texts_with_gram(self, chosen: np.ndarray, buckets: int) -> np.ndarray:
         """In how many of the chosen texts every bucket occurs."""
-        n = len(self.first) - 1
-        mine = chosen[self.text_of_word]
-        pairs = np.unique(self.words[mine] * n + self.text_of_word[mine])
-        word, text = pairs // n, pairs % n
-        count = self.per_word[word]
-        at = np.repeat(self.gram_first[word] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        return np.bincount(np.unique(self.grams[at] * n + np.repeat(text, count)) // n, minlength=buckets)
+        found = np.zeros(buckets, np.int64)
+        edge = np.searchsorted(self.text_of_word, np.arange(len(chosen) + 1))
+        for i in np.flatnonzero(chosen):
+            words = np.unique(self.words[edge[i]:edge[i + 1]])
+            here = np.zeros(buckets, bool)
+            for w in words:
+                here[self.grams[self.gram_first[w]:self.gram_first[w + 1]]] = True
+            found += here
+        return found
 
 
 def _sigmoid(z):
@@ -221,21 +225,30 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, float] | None:
-    """Train on a bounded sample of the labelled rows that are not held out; None without both classes."""
+    """Train on a bounded sample of the labelled rows that are not held out; None without both classes.
+
+    The sample meets in one task, which returns the model: one number per bucket and the bias.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
     parts = []
     for value in (1, 0):
-        # the bound is a TopK: each partition keeps max_rows ids at most
+        # the bound is a TopK: each partition keeps max_rows rows at most
         ids = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
         texts = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id")
         parts.append(texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(settings.max_rows)
-                     .select("text").toPandas()["text"].tolist())
-    toxic, clean = parts
-    if not toxic or not clean:
-        return None
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    return train(toxic + clean, y, settings)
+                     .select("text", "toxic"))
+
+    def run(batches):
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        rows.sort(key=lambda r: (-r["toxic"], r["text"]))  # the same sum order in every attempt
+        y = np.array([r["toxic"] for r in rows])
+        if 0 < y.sum() < len(y):
+            table, bias = train([r["text"] for r in rows], y, settings)
+            yield pa.RecordBatch.from_pydict({"bias": [bias], "weights": [table.astype("<f8").tobytes()]})
+
+    model = parts[0].unionByName(parts[1]).coalesce(1).mapInArrow(run, "bias double, weights binary").collect()
+    return (np.frombuffer(model[0]["weights"], dtype="<f8"), model[0]["bias"]) if model else None
 
 
 def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
