@@ -10,7 +10,9 @@ from tandem.llm.op01_url_filter import judge_urls
 from tandem.llm.op02_substring import remove_repeats
 from tandem.llm.op03_sharding import shard
 from tandem.llm.op05_quality import judge as judge_quality
+from tandem.llm.op06_mixing import mix
 from tandem.llm.op07_packing import pack
+from tandem.llm.op09_simhash import edited, with_near_counts
 from tandem.llm.op10_toxicity import score as score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +88,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@register("op6_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+
+
+@register("op9_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_near_counts(edited(_table(spark, sf_dir, "documents"))).drop("fp")
