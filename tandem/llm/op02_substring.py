@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm import textops as T
-from tandem.llm.staging import stage
+from tandem.llm.staging import join_summary, stage
 
 WINDOW = 50
 
@@ -205,13 +205,6 @@ def _of_two(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy("h").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo < hi").select("h", "lo")
 
 
-def _fetch(rows: DataFrame, hashes: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on the hash. The second key gives the aggregated side an exchange of its
-    own, so that AQE may split a hash that very many texts share."""
-    again = F.hash("h").alias("again")
-    return rows.select("*", again).join(hashes.select("*", again), ["h", "again"], how).drop("again")
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (``keep_text``) the kept text of every row."""
     if window < 4:
@@ -223,24 +216,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     named = docs.where("doc_id is not null").select(
         "doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("th"),
         F.crc32(F.col("text").cast("binary")).alias("crc"), F.octet_length("text").alias("size")).dropna()
-    copies = stage(named.join(named.groupBy(text_key).agg(F.min("doc_id").alias("least")), text_key)
+    copies = stage(join_summary(named, named.groupBy(text_key).agg(F.min("doc_id").alias("least")), text_key)
                    .where("doc_id > least").select("rk").distinct())
     # level 1: short windows found in two different texts
     anchors = (docs.where("doc_id is not null").select("text", F.xxhash64("doc_id", "text").alias("rk"),
                                                        F.xxhash64("text").alias("th"))
                .mapInArrow(anchor_batches(window), ANCHORS))
-    short = (_fetch(anchors.select("rk", "h", "at"), _of_two(anchors, "th"), "left_semi")
+    short = (join_summary(anchors.select("rk", "h", "at"), _of_two(anchors, "th"), ["h"], "left_semi")
              .groupBy("rk").agg(F.collect_set("at").alias("found")))
     short = stage(short.join(copies, "rk", "left_anti"))
     # level 2: twice the length, found in two documents
     longer = rows.join(short, "rk").select("rk", "doc_id", "text", "found").mapInArrow(
         extension_batches(window), WINDOWS)
-    longer = (_fetch(longer.select("rk", "h", "at"), _of_two(longer, "doc"), "left_semi")
+    longer = (join_summary(longer.select("rk", "h", "at"), _of_two(longer, "doc"), ["h"], "left_semi")
               .groupBy("rk").agg(F.collect_set("at").alias("found")))
     # level 3: full windows over the survivors; the least document of each is exact
     windows = rows.join(longer, "rk").select("rk", "doc_id", "text", "found").mapInArrow(
         window_batches(window), WINDOWS)
-    covers = (_fetch(windows, _of_two(windows, "doc")).where("doc > lo").groupBy("rk")
+    covers = (join_summary(windows, _of_two(windows, "doc"), ["h"]).where("doc > lo").groupBy("rk")
               .agg(F.collect_set("at").alias("at")))
     marks = covers.unionByName(copies.withColumn("at", F.lit(None).cast("array<binary>"))
                                ).withColumn("marked", F.lit(True))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import textops as T
-from tandem.llm.staging import stage
+from tandem.llm.staging import join_summary, stage
 
 BITS = 64
 RADIUS, BLOCKS = 3, 5
@@ -189,4 +189,4 @@ def with_near_counts(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     pairs = within_radius(rows, radius)
     counts = (pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
               .groupBy("fp").agg(F.count("*").alias("n_near")))
-    return rows.join(counts, "fp", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    return join_summary(rows, counts, ["fp"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))

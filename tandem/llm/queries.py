@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tandem.llm.op01_url_filter import judge_urls
 from tandem.llm.op02_substring import remove_repeats
 from tandem.llm.op03_sharding import shard
+from tandem.llm.op04_jaccard import jaccard_components
 from tandem.llm.op05_quality import judge as judge_quality
 from tandem.llm.op06_mixing import mix
 from tandem.llm.op07_packing import pack
@@ -98,3 +99,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_near_counts(edited(_table(spark, sf_dir, "documents"))).drop("fp")
+
+
+@register("op4_jaccard_join", sql=f"""
+WITH RECURSIVE low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+d AS (SELECT doc_id, {WORDS_SQL} AS w FROM low),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1),
+             lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g
+      FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY x, y),
+l AS (SELECT x, y FROM p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * o >= 90 * (na.n + nb.n - o)),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.y, r.m FROM r JOIN l ON r.doc_id = l.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(m) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents")).drop("rk")

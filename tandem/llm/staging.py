@@ -34,6 +34,16 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with an aggregate of theirs on its keys, which must not be null.
+
+    A redundant second key gives the aggregate an exchange of its own; with both
+    sides exchanged for the join AQE may split a key that very many rows share.
+    """
+    again = F.hash(*keys).alias("_again")
+    return (rows.select("*", again).join(summary.select("*", again), [*keys, "_again"], how).drop("_again"))
+
+
 def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
     """Add a gapless 0-based number of every row within its group, in the given order.
 
