@@ -79,7 +79,7 @@ def _explode_diff(batches):
     for batch in batches:
         lists = [np.frombuffer(x, dtype=np.int64) for x in batch.column("diff").to_pylist()]
         take = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-        names = ["p", "x", "n", "s", "linked", "take"]
+        names = ["p", "x"]
         yield pa.RecordBatch.from_arrays(
             [batch.column(c).take(take) for c in names]
             + [pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], names=[*names, "tok"])
@@ -96,40 +96,49 @@ def _residual_pairs(star: DataFrame, num: int, den: int) -> DataFrame:
     least = F.when(F.col("linked"), F.col("s_open")).otherwise(F.col("s_all"))
     need = F.greatest(F.lit(1), F.ceil((F.col("s") + least) / (2.0 * both)))
     rows = rows.withColumn("take", (F.col("dist") - need + 1).cast("long")).where("take > 0")
-    tokens = rows.select("p", "x", "n", "s", "linked", "take", "diff").mapInArrow(
-        _explode_diff, "p long, x long, n long, s long, linked boolean, take long, tok long")
-    counts = tokens.groupBy("p", "tok").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("p", "x").orderBy("df", "tok")  # one member's difference set
-    prefix = (join_summary(tokens, counts, ["p", "tok"]).withColumn("rank", F.row_number().over(order))
-              .where("rank <= take and df > 1").select("p", "tok", "x", "n", "s", "linked"))
+    rows = stage(rows.select("p", "x", "n", "s", "dist", "linked", "take", "diff"))
+    tokens = rows.select("p", "x", "diff").mapInArrow(_explode_diff, "p long, x long, tok long")
+    counts = tokens.groupBy("p", "tok").agg(F.count("*").alias("df")).where("df > 1")
+    # the tokens that no other member has lead the order; only their number matters
+    common = join_summary(tokens, counts, ["p", "tok"])
+    member = Window.partitionBy("p", "x")  # one difference set
+    common = (common.withColumn("rank", F.row_number().over(member.orderBy("df", "tok")))
+              .withColumn("common", F.count("*").over(member)))
+    prefix = (rows.drop("diff").join(common, ["p", "x"])
+              .withColumn("rank", F.col("dist") - F.col("common") + F.col("rank")).where("rank <= take")
+              .select("p", "tok", "x", "n", "s", "linked", (F.col("dist") - F.col("rank") + 1).alias("left")))
     x = prefix.where("not linked")
-    y = prefix.select("p", "tok", *(F.col(c).alias(f"{c}2") for c in ("x", "n", "s", "linked")))
+    y = prefix.select("p", "tok", *(F.col(c).alias(f"{c}2") for c in ("x", "n", "s", "linked", "left")))
     return (x.join(y, ["p", "tok"])
             .where((F.col("linked2") | (F.col("x") < F.col("x2")))
-                   & (den * F.least("n", "n2") >= num * F.greatest("n", "n2")))
+                   & (den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
+                   # from the first common token on, both have enough left for the overlap
+                   & (2 * both * F.least("left", "left2") >= F.col("s") + F.col("s2")))
             .select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b")).distinct())
 
 
 def links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], tokens: Tokens, num: int, den: int,
-          heavy: int = HEAVY) -> DataFrame:
+          also: DataFrame | None = None, heavy: int = HEAVY) -> DataFrame:
     """Verified links (a, b).
 
-    members: g, id (distinct together), n (set size), score (lower: likelier pivot) and
-    also (array, or null): light pairs must have a common element there too.
+    members: g, id (distinct together), n (set size) and score (lower: likelier pivot).
+    also: id and an array; the two ids of a light pair must have an element in common.
     texts_of(ids) gives id and text of the distinct ids of a staged table.
     """
     groups = members.groupBy("g").agg(F.count("*").alias("size"), F.min(F.struct("score", "id")).alias("pivot")).where("size > 1")
-    placed = stage(join_summary(members, groups, ["g"]).select(
-        "g", "id", "n", "also", "size", F.col("pivot.id").alias("pivot")))
-    light = placed.where(F.col("size") <= heavy).select("g", "id", "n", "also")
-    other = light.select("g", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "also")))
-    common = F.coalesce(F.arrays_overlap("also", "also2"), F.lit(True))
+    placed = stage(join_summary(members, groups, ["g"]).select("g", "id", "n", "size", F.col("pivot.id").alias("pivot")))
+    light = placed.where(F.col("size") <= heavy).select("g", "id", "n")
+    other = light.select("g", F.col("id").alias("id2"), F.col("n").alias("n2"))
     near = (den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
-    pairs = light.join(other, "g").where((F.col("id") < F.col("id2")) & near & common).select(
-        F.col("id").alias("a"), F.col("id2").alias("b")).distinct().withColumn("star", F.lit(False))
+    pairs = light.join(other, "g").where((F.col("id") < F.col("id2")) & near).select(
+        F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    if also is not None:
+        pairs = (pairs.join(also.select(F.col("id").alias("a"), F.col("also").alias("also_a")), "a")
+                 .join(also.select(F.col("id").alias("b"), F.col("also").alias("also_b")), "b")
+                 .where(F.arrays_overlap("also_a", "also_b")).select("a", "b"))
     spokes = placed.where((F.col("size") > heavy) & (F.col("id") != F.col("pivot"))).select(
         F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().withColumn("star", F.lit(True))
-    pairs = stage(pairs.unionByName(spokes))
+    pairs = stage(pairs.withColumn("star", F.lit(False)).unionByName(spokes))
     ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     texts = stage(texts_of(ids))
     first = stage(verify(pairs, texts, tokens, num, den))

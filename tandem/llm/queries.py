@@ -13,6 +13,7 @@ from tandem.llm.op04_jaccard import jaccard_components
 from tandem.llm.op05_quality import judge as judge_quality
 from tandem.llm.op06_mixing import mix
 from tandem.llm.op07_packing import pack
+from tandem.llm.op08_lines import line_report
 from tandem.llm.op09_simhash import edited, with_near_counts
 from tandem.llm.op10_toxicity import score as score_toxicity
 
@@ -116,3 +117,8 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(m) AS co
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents")).drop("rk")
+
+
+@register("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
