@@ -29,16 +29,16 @@ from tandem.llm import textops as T
 from tandem.llm.staging import join_summary, stage
 
 #: Groups of more members take the pivot route (both routes find all links).
-HEAVY = 64
+HEAVY = 16
 #: Keys sent whole to every executor, at most (16 bytes each); more are joined.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 2_000_000
 
 Tokens = Callable[[list[str]], list[np.ndarray]]
 
 
-def bounded_join(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Inner join with a staged table of distinct keys, broadcast only if its counted size is small."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on)
+def bounded_join(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join with a staged table of distinct keys, broadcast only if its counted size is small."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
 def _compare(tokens: Tokens, num: int, den: int):
@@ -79,7 +79,7 @@ def _explode_diff(batches):
     for batch in batches:
         lists = [np.frombuffer(x, dtype=np.int64) for x in batch.column("diff").to_pylist()]
         take = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-        names = ["p", "x"]
+        names = ["p", "x", "linked"]
         yield pa.RecordBatch.from_arrays(
             [batch.column(c).take(take) for c in names]
             + [pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], names=[*names, "tok"])
@@ -97,10 +97,12 @@ def _residual_pairs(star: DataFrame, num: int, den: int) -> DataFrame:
     need = F.greatest(F.lit(1), F.ceil((F.col("s") + least) / (2.0 * both)))
     rows = rows.withColumn("take", (F.col("dist") - need + 1).cast("long")).where("take > 0")
     rows = stage(rows.select("p", "x", "n", "s", "dist", "linked", "take", "diff"))
-    tokens = rows.select("p", "x", "diff").mapInArrow(_explode_diff, "p long, x long, tok long")
-    counts = tokens.groupBy("p", "tok").agg(F.count("*").alias("df")).where("df > 1")
-    # the tokens that no other member has lead the order; only their number matters
-    common = join_summary(tokens, counts, ["p", "tok"])
+    tokens = rows.select("p", "x", "linked", "diff").mapInArrow(_explode_diff, "p long, x long, linked boolean, tok long")
+    counts = (tokens.groupBy("p", "tok").agg(F.count("*").alias("df"), F.min("linked").alias("all_linked"))
+              .where("df > 1 and not all_linked").select("p", "tok", "df"))
+    # tokens that no other member has, or linked members only, lead the order: no pair in
+    # question has them in common, and only their number matters
+    common = join_summary(tokens.select("p", "x", "tok"), counts, ["p", "tok"])
     member = Window.partitionBy("p", "x")  # one difference set
     common = (common.withColumn("rank", F.row_number().over(member.orderBy("df", "tok")))
               .withColumn("common", F.count("*").over(member)))

@@ -90,13 +90,29 @@ def char_sets(gram: int):
     return tokens
 
 
+def _folded_shingles(data: np.ndarray, begin: np.ndarray, end: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of the shingles of up to 8 characters, each character folded to one
+    byte, so that a shingle is one 64-bit word. Equal shingles stay equal, which is all
+    that finding candidates needs; lines are as long as ``gram`` at least."""
+    k = min(gram, 8)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+    before = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]  # characters before every byte
+    lo, n = before[begin], before[end] - before[begin] - k + 1
+    folded = np.zeros(len(points) + 8, np.uint8)
+    folded[:-8] = points ^ (points >> 8) ^ (points >> 16)
+    words = np.ndarray((len(points) + 1,), dtype="<u8", buffer=folded.tobytes(), strides=(1,))
+    own = np.repeat(np.arange(len(begin)), n)
+    tok = words[np.arange(len(own)) + np.repeat(lo - np.cumsum(n) + n, n)]
+    return T.mix(tok & np.uint64((1 << 8 * k) - 1) if k < 8 else tok), own
+
+
 def band_keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray, gram: int, bands: int, rows: int) -> np.ndarray:
-    """A key for each line and band, by one-permutation MinHash."""
+    """A key for each line (of ``gram`` characters at least) and band, by one-permutation MinHash."""
     bins = bands * rows
-    tok, own = _shingles(data, begin, end, gram)
-    tok = T.mix(tok)
+    tok, own = _folded_shingles(data, begin, end, gram)
     least = np.full(len(begin) * bins, _EMPTY)
-    np.minimum.at(least, own * bins + (tok % np.uint64(bins)).astype(np.int64), tok // np.uint64(bins))
+    bin_of = tok & np.uint64(bins - 1) if bins & (bins - 1) == 0 else tok % np.uint64(bins)
+    np.minimum.at(least, own * bins + bin_of.view(np.int64), tok >> np.uint64(8))
     least = least.reshape(-1, bins)
     for _ in range(bins):  # an empty bin takes the next filled one, marked by the distance
         empty = least == _EMPTY
@@ -133,14 +149,13 @@ def _band_batches(gram: int, bands: int, rows: int):
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.update(key[one].tolist())
-                long = one[end[one] - begin[one] >= gram]  # shorter lines equal only themselves
+                before = np.r_[0, np.cumsum((s.data & 0xC0) != 0x80)]
+                long = one[before[end[one]] - before[begin[one]] >= gram]  # shorter lines equal only themselves
                 if not len(long):
                     continue
                 bk = band_keys(s.data, begin[long], end[long], gram, bands, rows)
-                size = np.minimum(end[long] - begin[long], 1 << 30)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bk.ravel().view(np.int64)), pa.array(np.repeat(key[long], bands)),
-                     pa.array(np.repeat(size, bands).astype(np.int32))], names=["g", "id", "n"])
+                    [pa.array(bk.ravel().view(np.int64)), pa.array(np.repeat(key[long], bands))], names=["g", "id"])
     return run
 
 
@@ -167,10 +182,10 @@ def removed_lines(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int =
     lines = stage(texts.mapInArrow(_line_batches, "c long, doc_id long, rk long, pos int"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk", "pos")
     classes = stage(lines.groupBy("c").agg(F.min(place).alias("first"), F.count("*").alias("times")))
-    banded = texts.select("text").mapInArrow(_band_batches(gram, bands, rows), "g long, id long, n int")
-    # bands of one class alone are dropped before any row of theirs moves
-    shared = banded.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("g")
-    members = stage(join_summary(banded.select("g", "id"), shared, ["g"], "left_semi").distinct())
+    banded = stage(texts.select("text").mapInArrow(_band_batches(gram, bands, rows), "g long, id long"))
+    # bands that occur once are dropped before any row of theirs moves
+    again = stage(banded.groupBy("g").agg(F.count("*").alias("times")).where("times > 1").select("g"))
+    members = stage(bounded_join(banded, again, "g", "left_semi").distinct())
     # the most frequent class of a band is its pivot; the set size is not known yet, so 0 passes the size filter
     members = members.join(classes.select(F.col("c").alias("id"), (-F.col("times")).alias("score")), "id").withColumn(
         "n", F.lit(0).cast("long"))

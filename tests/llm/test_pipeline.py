@@ -1,8 +1,9 @@
+import random
 import sys
 from collections import Counter
 from pathlib import Path
 
-from helpers import documents, fixture_rows, words
+from helpers import documents, fixture_rows, prose, words
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -23,13 +24,19 @@ def rows_of(df):
 
 
 def fixture():
-    prose = [r for r in test_op08.lines_fixture()]
-    return fixture_rows() + [(1000 + i, t, lang, f"src{i % 3}", len(t)) for i, t, lang, *_ in prose]
+    return fixture_rows() + [(1000 + i, t, "xx", f"src{i % 3}", len(t)) for i, t, *_ in test_op08.lines_fixture()]
+
+
+def pipeline_rows():
+    """Enough rows in an unknown language for every source to fill blocks of the mix."""
+    rng = random.Random(11)
+    return fixture() + [(2000 + i, t, "xx", f"src{i % 3}", len(t)) for i in range(300)
+                        for t in [prose(rng, rng.randint(60, 300))]]
 
 
 def test_every_stage_equals_its_brute_force(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "mixing", "packing"]
-    raw = documents(spark, fixture()).select(*COLUMNS)
+    raw = documents(spark, pipeline_rows()).select(*COLUMNS)
     at = {}
     docs = raw
     for name, f in corpus_pipeline.STAGES:
@@ -65,15 +72,15 @@ def test_every_stage_equals_its_brute_force(spark, tmp_path):
 
     mixed, unmixed = rows_of(at["mixing"]), rows_of(at["ngram_jaccard_join"])
     assert not Counter(mixed) - Counter(unmixed)
-    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in at["packing"].collect()) == test_op07_pieces(mixed)
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in at["packing"].collect()) == pieces_of(mixed)
 
 
-def test_op07_pieces(rows=()):
+def pieces_of(rows):
     return sorted(test_op07.brute(rows, 2048))
 
 
 def test_run_and_registration(spark, tmp_path):
-    documents(spark, fixture()).write.parquet(str(tmp_path / "documents.parquet"))
+    documents(spark, pipeline_rows()).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.count() > 0 and "sequence_id" in got.columns
     names = corpus_pipeline.registered()
