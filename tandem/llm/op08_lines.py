@@ -44,7 +44,7 @@ SEEN = 2_000_000
 
 _NEWLINE = np.zeros(256, dtype=bool)
 _NEWLINE[10] = True
-_EMPTY = np.iinfo(np.uint64).max
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def _lines(s: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,52 +110,50 @@ def band_keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray, gram: int, b
     """A key for each line (of ``gram`` characters at least) and band, by one-permutation MinHash."""
     bins = bands * rows
     tok, own = _folded_shingles(data, begin, end, gram)
-    least = np.full(len(begin) * bins, _EMPTY)
+    least = np.full(len(begin) * bins, _EMPTY, np.uint32)  # four of them make a band: 32 bits are enough
     bin_of = tok & np.uint64(bins - 1) if bins & (bins - 1) == 0 else tok % np.uint64(bins)
-    np.minimum.at(least, own * bins + bin_of.view(np.int64), tok >> np.uint64(8))
+    np.minimum.at(least, own * bins + bin_of.view(np.int64), (tok >> np.uint64(32)).astype(np.uint32))
     least = least.reshape(-1, bins)
     for _ in range(bins):  # an empty bin takes the next filled one, marked by the distance
         empty = least == _EMPTY
         if not empty.any():
             break
         least = np.where(empty, np.roll(least, -1, axis=1), least)
-        least = np.where(empty & (least != _EMPTY), T.mix(least), least)
+        least = np.where(empty & (least != _EMPTY), least * np.uint32(0x9E3779B1) >> np.uint32(1), least)
     key = np.zeros((len(begin), bands), np.uint64)
     parts = least.reshape(len(begin), bands, rows)
     for r in range(rows):
-        key = T.mix(key ^ parts[:, :, r])
+        key = T.mix(key ^ parts[:, :, r].astype(np.uint64))
     return T.mix(key + np.arange(bands, dtype=np.uint64))
 
 
-def _line_batches(batches):
-    for batch in batches:
-        for s in T.slices(batch.column("text"), lower=True):
-            begin, end, text, number = _lines(s)
-            take = pa.array(text + s.lo)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_class_keys(s, begin, end).view(np.int64)), batch.column("doc_id").take(take),
-                 batch.column("rk").take(take), pa.array(number.astype(np.int32))], names=["c", "doc_id", "rk", "pos"])
+_LINES = "c long, doc_id long, rk long, pos int, g array<long>"
 
 
-def _band_batches(gram: int, bands: int, rows: int):
+def _line_batches(gram: int, bands: int, rows: int):
+    """Class and place of every line; its band keys where a task meets the class first."""
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for s in T.slices(batch.column("text"), limit=1 << 18, lower=True):
-                begin, end, _, _ = _lines(s)
+                begin, end, text, number = _lines(s)
                 key = _class_keys(s, begin, end).view(np.int64)
                 _, one = np.unique(key, return_index=True)
-                one = np.array([i for i in one.tolist() if int(key[i]) not in seen], dtype=np.int64)
+                one = np.array([i for i in np.sort(one).tolist() if int(key[i]) not in seen], dtype=np.int64)
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.update(key[one].tolist())
                 before = np.r_[0, np.cumsum((s.data & 0xC0) != 0x80)]
                 long = one[before[end[one]] - before[begin[one]] >= gram]  # shorter lines equal only themselves
-                if not len(long):
-                    continue
-                bk = band_keys(s.data, begin[long], end[long], gram, bands, rows)
+                bk = band_keys(s.data, begin[long], end[long], gram, bands, rows) if len(long) else np.zeros(0, np.uint64)
+                has = np.zeros(len(key), np.int32)
+                has[long] = bands
+                take = pa.array(text + s.lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bk.ravel().view(np.int64)), pa.array(np.repeat(key[long], bands))], names=["g", "id"])
+                    [pa.array(key), batch.column("doc_id").take(take), batch.column("rk").take(take),
+                     pa.array(number.astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(has)].astype(np.int32)), pa.array(bk.ravel().view(np.int64)))],
+                    names=["c", "doc_id", "rk", "pos", "g"])
     return run
 
 
@@ -179,10 +177,11 @@ def removed_lines(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int =
                   rows: int = ROWS, heavy: int = HEAVY) -> DataFrame:
     """rk (hash of doc_id and text) and the sorted numbers of its lines to remove; only rows that lose some."""
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk")).where("text is not null")
-    lines = stage(texts.mapInArrow(_line_batches, "c long, doc_id long, rk long, pos int"))
+    every = stage(texts.mapInArrow(_line_batches(gram, bands, rows), _LINES))
+    lines = every.drop("g")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk", "pos")
     classes = stage(lines.groupBy("c").agg(F.min(place).alias("first"), F.count("*").alias("times")))
-    banded = stage(texts.select("text").mapInArrow(_band_batches(gram, bands, rows), "g long, id long"))
+    banded = every.select(F.explode("g").alias("g"), F.col("c").alias("id"))
     # bands that occur once are dropped before any row of theirs moves
     again = stage(banded.groupBy("g").agg(F.count("*").alias("times")).where("times > 1").select("g"))
     members = stage(bounded_join(banded, again, "g", "left_semi").distinct())
