@@ -30,10 +30,7 @@ def month_key(date_col: Column) -> Column:
     return F.date_format(date_col, "yyyy-MM")
 
 
-def clamp(c: Column, lo: int, hi: int) -> Column:
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
-
-
-def try_double(c: Column) -> Column:
-    """Bad number -> NULL instead of an ANSI cast error."""
-    return c.try_cast("double")
+def number_of(c: Column) -> Column:
+    """Text or number as double; a bad number, "nan" included, is NULL (never an ANSI cast error or NaN)."""
+    d = c.cast("string").try_cast("double")
+    return F.when(~F.isnan(d), d)

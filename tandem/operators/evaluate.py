@@ -119,6 +119,8 @@ def edge_sweep(df: DataFrame, pred: str = "prediction", actual: str = "actual_to
     those T rows: no T-fold row explosion. Empty thresholds are skipped.
     """
     thresholds = thresholds or EDGE_THRESHOLDS
+    if any(t != int(t) or t < 1 for t in thresholds):
+        raise ValueError("thresholds are whole numbers from 1")
     top = max(thresholds)
     f = _flags(pred, actual, line)
     edge = F.abs(F.col(pred) - F.col(line))

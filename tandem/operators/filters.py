@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.names import EXCLUDE_FROM_FEATURES
+from tandem.functions.scalars import number_of
 
 
 def completed_filter(df: DataFrame, home_score: str = "score_home", away_score: str = "score_away",
@@ -31,17 +30,6 @@ def season_in(df: DataFrame, seasons: list[int], negate: bool = False, col: str
     return df.filter(~cond if negate else cond)
 
 
-def drop_sparse_rows(df: DataFrame, frac: float = 0.5) -> DataFrame:
-    """Keep rows with at least ``frac`` of their columns non-NULL."""
-    return df.dropna(thresh=math.ceil(frac * len(df.columns)))
-
-
-def select_by_pattern(df: DataFrame, markers: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Keep columns whose name contains any marker."""
-    cols = [c for c in df.columns if any(m in c for m in markers)]
-    return df.select(*(keep or []), *cols)
-
-
 def select_by_exclusion(df: DataFrame, exclude: list[str] | None = None,
                         target: str = "actual_total") -> tuple[list[str], str]:
     """Model feature columns = all columns minus the exclusion list."""
@@ -68,8 +56,8 @@ def validate_date(df: DataFrame, col: str, strict: bool = False) -> DataFrame:
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Bad numbers become NULL (try_cast; ANSI casts would throw)."""
-    return df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in cols})
+    """Bad numbers, "nan" included, become NULL (ANSI casts would throw)."""
+    return df.withColumns({c: number_of(F.col(c)) for c in cols})
 
 
 def align_schema(df: DataFrame, expected: list[str]) -> DataFrame:

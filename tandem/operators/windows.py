@@ -15,7 +15,7 @@ it is safe to broadcast.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,7 +70,8 @@ def hot_entities(df: DataFrame, entity: str, policy: SplitPolicy) -> dict | None
                                     F.max(day).alias("_d1"))
     total = counts.select(F.sum("_n")).scalar()
     cut = F.greatest(F.lit(policy.hot_rows).cast("long"), F.ceil(total / F.lit(policy.max_hot)).cast("long"))
-    rows = counts.filter(F.col("_n") > cut).select(entity, "_n", "_d0", "_d1").limit(policy.max_hot).collect()
+    # a NULL entity is no entity: its rows stay in one partition of their own
+    rows = counts.filter((F.col("_n") > cut) & F.col(entity).isNotNull()).select(entity, "_n", "_d0", "_d1").collect()
     spans = {}
     for key, n, d0, d1 in rows:
         days = (d1 - d0 + 1) if d0 is not None else 1
@@ -337,7 +338,7 @@ def asof_latest(left: DataFrame, right: DataFrame, entity: str, payload: list[st
                      *[F.col(c).alias(f"_o{i}") for i, (c, _) in enumerate(right_order[1:])])
     both = l.unionByName(r)
     order = [("_d", True), ("_kind", True)] + [(f"_o{i}", asc) for i, (_, asc) in enumerate(right_order[1:])]
-    policy = SplitPolicy(split.hot_rows, split.max_hot, "_d", split.force)
+    policy = replace(split, split_col="_d")
     hot = hot_entities(both, "_e", policy)
     marked = mark_hot(both, "_e", policy, hot)
     if hot is None or hot:

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.names import ROLLING_WINDOWS
-from tandem.functions.scalars import round1, season_of
+from tandem.functions.scalars import number_of, round1, season_of
 from tandem.operators.evaluate import games_played, season_record
 from tandem.operators.longform import team_games
 from tandem.operators.matchup import over_under_features, side_feature_columns_of
 from tandem.operators.windows import GAME_ORDER, SplitPolicy, asof_latest, latest_per_entity, trailing_features
 from tandem.sources.dims import map_feed_ids
 from tandem.sources.feeds import completed_scores
-from tandem.sources.store import GAME_KEY, upsert_latest
+from tandem.sources.store import GAME_DEFAULTS, GAME_KEY, upsert_latest
 
 
 # --------------------------------------------------------------------------- D1, D2, D3
@@ -34,16 +34,27 @@ def feed_delta(scoreboard: DataFrame, boxscore: DataFrame, dim: DataFrame,
     d = derive_season(completed_scores(scoreboard, boxscore, dim))
     q = F.lit(0).cast("long") if reference_mode else F.lit(None).cast("long")
     quarters = {f"{p}_{s}": q for s in ("away", "home") for p in ("q1", "q2", "q3", "q4", "ot")}
-    return d.withColumns({"game_id": F.col("game_id").cast("long"), **quarters})
+    return d.withColumns({"game_id": F.col("game_id").cast("long"), "regular": F.lit(True), "playoffs": F.lit(False),
+                          **quarters})
+
+
+def between_dates(df: DataFrame, start=None, end=None, col: str = "date") -> DataFrame:
+    """Rows from ``start`` to ``end`` (either may be open), pushed to the scan."""
+    if start is not None:
+        df = df.filter(F.col(col) >= F.lit(start).cast("date"))
+    if end is not None:
+        df = df.filter(F.col(col) <= F.lit(end).cast("date"))
+    return df
 
 
 def ingest(games: DataFrame, scoreboard: DataFrame, boxscore: DataFrame, dim: DataFrame,
-           reference_mode: bool = True) -> DataFrame:
-    """Feed delta upserted into the games table by (date, away, home).
-    Reference mode replaces whole rows (Q6); otherwise older non-NULL values
-    survive where the feed has none."""
-    delta = feed_delta(scoreboard, boxscore, dim, reference_mode)
-    return upsert_latest(games, delta, GAME_KEY, order_col="game_id", coalesce_old=not reference_mode)
+           reference_mode: bool = True, start=None, end=None) -> DataFrame:
+    """Feed delta of the given dates upserted into the games table by (date, away, home).
+    Reference mode replaces whole rows (Q6), columns the feed lacks take their
+    defaults; otherwise older non-NULL values survive where the feed has none."""
+    delta = feed_delta(between_dates(scoreboard, start, end), boxscore, dim, reference_mode)
+    return upsert_latest(games, delta, GAME_KEY, order_col="game_id", coalesce_old=not reference_mode,
+                         defaults=GAME_DEFAULTS)
 
 
 def backfill_report(scoreboard: DataFrame, boxscore: DataFrame, dim: DataFrame, start, end) -> DataFrame:
@@ -90,10 +101,11 @@ def team_snapshot(games: DataFrame, current_season: Column | int | None = None,
 def settle_predictions(predictions: DataFrame, games: DataFrame) -> DataFrame:
     """Every prediction row of a completed game gets ``actual_total`` and
     ``prediction_error = predicted - actual`` (a derived view over the
-    immutable log; rows of unplayed or unknown games keep NULLs)."""
+    immutable log; rows of unplayed or unknown games keep NULLs). Several games
+    under one key count as one, the newest (latest wins, S4): the log keeps its rows."""
     done = (games.filter(F.col("score_home").isNotNull() & F.col("score_away").isNotNull())
-            .select(F.col("date").alias("game_date"), "away", "home",
-                    (F.col("score_home") + F.col("score_away")).cast("double").alias("_actual")))
+            .groupBy(F.col("date").alias("game_date"), "away", "home")
+            .agg(F.max_by((F.col("score_home") + F.col("score_away")).cast("double"), "game_id").alias("_actual")))
     j = predictions.drop("actual_total", "prediction_error").join(done, ["game_date", "away", "home"], "left")
     return j.withColumns({"actual_total": F.col("_actual"),
                           "prediction_error": F.col("predicted_total") - F.col("_actual")}).drop("_actual")
@@ -114,9 +126,8 @@ def build_slate(scoreboard: DataFrame, dim: DataFrame, status_scheduled: int = 1
 
 def attach_lines(slate: DataFrame, lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Slate LEFT JOIN lines on (game_date, away, home); typed-in lines are
-    strings and non-numeric ones become NULL."""
-    l = lines.select("game_date", "away", "home",
-                     F.col(line_col).cast("string").try_cast("double").alias("vegas_total"))
+    strings and non-numeric ones ("nan" included) become NULL."""
+    l = lines.select("game_date", "away", "home", number_of(F.col(line_col)).alias("vegas_total"))
     return slate.join(l, ["game_date", "away", "home"], "left")
 
 
@@ -209,18 +220,20 @@ def recommend(df: DataFrame, pred: str = "predicted_total", line: str = "vegas_t
 
 # --------------------------------------------------------------------------- D4, D7
 def daily_update(spark, table_path: str, scoreboard: DataFrame, boxscore: DataFrame, dim: DataFrame,
-                 predictions: DataFrame) -> dict[str, DataFrame]:
-    """Ingest the feed into the stored table (D2 + S4 on touched
+                 predictions: DataFrame, reference_mode: bool = True, start=None, end=None) -> dict[str, DataFrame]:
+    """Ingest the feed of the given dates into the stored table (D2 + S4 on touched
     partitions), settle the prediction log against it (J4), refresh the team
-    snapshot (D5) and summarise the warehouse (A1), in that order."""
+    snapshot (D5) and summarise the warehouse with the whole log (A1), in that order."""
     from tandem.operators.evaluate import warehouse_stats
     from tandem.sources.store import GAME_KEY, upsert_into
 
-    upsert_into(spark, table_path, feed_delta(scoreboard, boxscore, dim), GAME_KEY, order_col="game_id")
+    delta = feed_delta(between_dates(scoreboard, start, end), boxscore, dim, reference_mode)
+    upsert_into(spark, table_path, delta, GAME_KEY, order_col="game_id", coalesce_old=not reference_mode,
+                defaults=GAME_DEFAULTS)
     games = spark.read.parquet(table_path)
     settled = settle_predictions(predictions, games)
     return {"games": games, "settled": settled, "snapshot": team_snapshot(games),
-            "stats": warehouse_stats(games, settled.filter(F.col("actual_total").isNotNull()))}
+            "stats": warehouse_stats(games, predictions)}
 
 
 def evaluate_job(scored: DataFrame, test_seasons: list[int], pred: str = "prediction",

@@ -11,9 +11,18 @@ from tandem.sources import store as S
 from tandem.sources.games import load_games
 
 
-@register("D4_daily_update")
+def _d4_sql():
+    from tandem.plans.queries_sources import PRED_SQL
+    return f"""
+WITH g AS ({QUERIES["D2_S4_ingest_feed"][1]}), n AS ({with_ctes(*PRED_SQL)} SELECT count(*) AS n FROM preds)
+SELECT CAST(count(*) AS BIGINT) AS total_games, min(date) AS earliest_game, max(date) AS latest_game,
+  string_agg(DISTINCT CAST(season AS VARCHAR), ',' ORDER BY CAST(season AS VARCHAR)) AS seasons,
+  CAST(count(DISTINCT home) AS BIGINT) AS teams, (SELECT CAST(n AS BIGINT) FROM n) AS total_predictions FROM g"""
+
+
+@register("D4_daily_update", _d4_sql())
 def q_daily(spark, sf):
-    """Ingest -> settle -> snapshot -> stats on a stored table (rows check)."""
+    """Ingest -> settle -> snapshot -> stats on a stored table."""
     from tandem.plans.queries_sources import _landing, _prediction_log
     games, dim, sb, bx, _ = _landing(spark, sf)
     path = S.scratch_path(spark, "daily-games")

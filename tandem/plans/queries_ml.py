@@ -1,13 +1,15 @@
 """ML queries (rows-only checks: fitted models have no SQL twin).
 
-Driver-sized settings: 12 features, small trees, a two-point grid. The full
-1024-point grid and 500-tree defaults are parameters of tandem.plans.ml.
+All 288 model features that have a value in the training rows. The number of
+trees and the grid are parameters (``ml.DEFAULT_GBT`` has 500 trees,
+``ml.FULL_GRID`` 512 points); the registered queries take few of both.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tandem.functions.names import model_feature_columns
 from tandem.operators import filters as P
 from tandem.operators.evaluate import error_metrics
 from tandem.plans import ml
@@ -16,13 +18,10 @@ from tandem.plans.pipeline import process_events
 from tandem.sources.games import load_games
 from tandem.sources.store import scratch_path
 
-ML_FEATURES = ["home_points_scored_roll_10", "away_points_scored_roll_10", "home_points_allowed_roll_10",
-               "away_points_allowed_roll_10", "expected_total_5", "expected_total_10", "expected_total_15",
-               "home_total_points_std_10", "away_total_points_std_10", "total_rest",
-               "home_season_total_avg", "away_season_total_avg"]
 SMALL_GBT = {"n_estimators": 5, "learning_rate": 0.1, "max_depth": 3, "subsample": 1.0,
              "colsample_bytree": "all", "min_child_weight": 1}
 TEST_SEASONS = [2000, 2001]
+GRID = {"n_estimators": [3, 6], "learning_rate": [0.1], "max_depth": [3]}
 
 
 def model_frame(spark, sf):
@@ -31,9 +30,10 @@ def model_frame(spark, sf):
     materialised table instead of re-running the feature pipeline."""
     from tandem.session import cut_lineage
     df = process_events(load_games(spark, sf)).filter(F.col(ml.TARGET).isNotNull())
-    df = ml.as_double(df.select("game_id", "season", "date", "total", "home", "away", ml.TARGET, *ML_FEATURES),
-                      ML_FEATURES + [ml.TARGET])
-    return cut_lineage(df)
+    cols = model_feature_columns(df.columns)
+    df = ml.as_double(df.select("game_id", "season", "date", *(c for c in ("home", "away", "total") if c not in cols),
+                                ml.TARGET, *cols), cols + [ml.TARGET])
+    return cut_lineage(df), cols
 
 
 @register("L3_L4_ridge_ts_cv")
@@ -41,20 +41,22 @@ def q_ridge(spark, sf):
     """Ridge baseline (impute, standardise, alpha = 1) scored on the 5
     expanding folds of the training seasons (Q14: test seasons excluded)."""
     from tandem.session import cut_lineage
-    train, _ = ml.holdout(model_frame(spark, sf), TEST_SEASONS)
+    frame, features = model_frame(spark, sf)
+    train, _ = ml.holdout(frame, TEST_SEASONS)
     data = cut_lineage(ml.with_folds(train))
 
     def make(t):
         st = t.agg(F.count(ml.TARGET).alias("n"), F.stddev_pop(ml.TARGET).alias("sd")).first()
-        return ml.ridge_pipeline(ML_FEATURES, 1.0, st["n"], st["sd"])
+        return ml.ridge_pipeline(ml.usable_features(t, features), 1.0, st["n"], st["sd"])
 
     rows = ml.fold_scores(data, make)
     return spark.createDataFrame(rows, "fold int, mae double")
 
 
 def _fit_gbt(spark, sf):
-    train, test = ml.holdout(model_frame(spark, sf), TEST_SEASONS)
-    cols = ml.usable_features(train, ML_FEATURES)
+    frame, features = model_frame(spark, sf)
+    train, test = ml.holdout(frame, TEST_SEASONS)
+    cols = ml.usable_features(train, features)
     return ml.gbt_pipeline(cols, SMALL_GBT).fit(train), cols, test
 
 
@@ -75,12 +77,21 @@ def q_imp(spark, sf):
 @register("L6_J7_grid_search")
 def q_grid(spark, sf):
     """Grid (J7 cross product) x 5 expanding folds, ranked by mean MAE (O2)."""
-    train, _ = ml.holdout(model_frame(spark, sf), TEST_SEASONS)
-    grid = {"n_estimators": [3, 6], "learning_rate": [0.1], "max_depth": [3]}
-    res = ml.grid_search(train, ML_FEATURES, grid)
+    frame, features = model_frame(spark, sf)
+    train, _ = ml.holdout(frame, TEST_SEASONS)
+    res = ml.grid_search(train, ml.usable_features(train, features), GRID)
     return res.orderBy("mean_mae").limit(5)
 
 
+@register("L6_train_job")
+def q_train(spark, sf):
+    """Grid, best parameters, refit on all training rows, hold-out metrics, save."""
+    frame, features = model_frame(spark, sf)
+    train, test = ml.holdout(frame, TEST_SEASONS)
+    best, metrics, _ = ml.train_job(train, test, ml.usable_features(train, features), GRID, scratch_path(spark, "train-model"))
+    return metrics.withColumns({k: F.lit(v) for k, v in best.items()})
+
+
 @register("S15_L10_model_scoring")
 def q_score(spark, sf):
     """Fit, save (S15), load, then score the slate in one transform (L10):

@@ -233,15 +233,16 @@ def q_rolling(spark, sf):
 
 
 LINES_SQL = ("lines AS (SELECT date AS game_date, away, home, CASE WHEN total IS NULL THEN 'n/a' "
-             "ELSE CAST(total AS VARCHAR) END AS line FROM games)")
+             "WHEN game_id % 41 = 0 THEN 'nan' ELSE CAST(total AS VARCHAR) END AS line FROM games)")
 
 
 def _lines(games):
     return games.select(F.col("date").alias("game_date"), "away", "home",
-                        F.coalesce(F.col("total").cast("string"), F.lit("n/a")).alias("line"))
+                        F.when(F.col("total").isNull(), "n/a").when(F.col("game_id") % 41 == 0, "nan")
+                        .otherwise(F.col("total").cast("string")).alias("line"))
 
 
-@register("P12_coerce_numeric", with_ctes(LINES_SQL) + "SELECT game_date, away, home, TRY_CAST(line AS DOUBLE) AS line FROM lines")
+@register("P12_coerce_numeric", with_ctes(LINES_SQL) + "SELECT game_date, away, home, TRY_CAST(nullif(line, 'nan') AS DOUBLE) AS line FROM lines")
 def q_coerce(spark, sf):
     return P.coerce_numeric(_lines(load_games(spark, sf)), ["line"])
 
@@ -299,11 +300,13 @@ def q_snapshot(spark, sf):
     return J.team_snapshot(load_games(spark, sf))
 
 
-@register("S14_team_stats_upsert", _snapshot_sql())
+@register("S14_team_stats_upsert", f"SELECT * REPLACE (CASE WHEN games_played % 2 = 0 THEN games_played + 1 "
+          f"ELSE games_played END AS games_played) FROM ({_snapshot_sql()})")
 def q_team_stats_upsert(spark, sf):
-    """The snapshot upserted onto itself by (team, date) is unchanged."""
+    """A delta that changes half of the teams replaces their rows by (team, date)."""
     snap = J.team_snapshot(load_games(spark, sf))
-    return S.upsert_latest(snap, snap, S.TEAM_STATS_KEY)
+    changed = snap.filter(F.col("games_played") % 2 == 0).withColumn("games_played", F.col("games_played") + 1)
+    return S.upsert_latest(snap, changed, S.TEAM_STATS_KEY)
 
 
 # --------------------------------------------------------------------------- J4, S12
@@ -327,7 +330,7 @@ def _prediction_log(spark, sf):
     return s.unionByName(s.filter(F.col("season") == latest))
 
 
-@register("J4_settle_predictions", with_ctes(*PRED_SQL, f"done AS (SELECT date AS game_date, away, home, CAST(score_home + score_away AS DOUBLE) AS actual_total FROM games WHERE {PLAYED})")
+@register("J4_settle_predictions", with_ctes(*PRED_SQL, f"done AS (SELECT date AS game_date, away, home, arg_max(CAST(score_home + score_away AS DOUBLE), game_id) AS actual_total FROM games WHERE {PLAYED} GROUP BY ALL)")
           + "SELECT p.game_date, p.away, p.home, round(p.predicted_total, 6) AS predicted_total, d.actual_total, "
             "round(p.predicted_total - d.actual_total, 6) AS prediction_error FROM preds p LEFT JOIN done d USING (game_date, away, home)")
 def q_settle(spark, sf):
@@ -360,7 +363,7 @@ def _slate(spark, sf):
 
 SLATE_SQL = [LINES_SQL,
              f"slate AS (SELECT {GID} AS game_id, g.date AS game_date, g.away, g.home, '7:30 pm ET' AS game_time, "
-             "CAST(1 AS INTEGER) AS game_status, TRY_CAST(l.line AS DOUBLE) AS vegas_total FROM games g "
+             "CAST(1 AS INTEGER) AS game_status, TRY_CAST(nullif(l.line, 'nan') AS DOUBLE) AS vegas_total FROM games g "
              f"LEFT JOIN lines l ON l.game_date = g.date AND l.away = g.away AND l.home = g.home WHERE NOT ({PLAYED}))"]
 
 

@@ -15,64 +15,85 @@ from tandem.streaming import streams as T
 EV_COLS = [f"value_{k}_{w}" for w in (3, 5, 10, 15) for k in ("roll", "std")]
 
 
+def _halves(df, time_col):
+    """Rows before and from the middle of their time range: two deliveries."""
+    lo, hi = df.agg(F.min(time_col), F.max(time_col)).first()
+    middle = F.lit(lo + (hi - lo) / 2)
+    return df.filter((F.col(time_col) < middle) | F.col(time_col).isNull()), df.filter(F.col(time_col) >= middle)
+
+
 @register("T1_stream_upsert", QUERIES["D2_S4_ingest_feed"][1])
 def q_t1(spark, sf):
-    """Box scores streamed from the landing folder, upserted batch by batch;
-    the final table equals the batch ingest (D2)."""
+    """Box scores streamed from the landing folder in two runs into one table,
+    upserted batch by batch; the final table equals the batch ingest (D2)."""
     from tandem.plans.queries_sources import _landing
+    from tandem.sources.feeds import BOXSCORE_SCHEMA
     games, dim, sb, _, paths = _landing(spark, sf)
-    table = scratch_path(spark, "t1-games")
+    table, folder = scratch_path(spark, "t1-games"), scratch_path(spark, "t1-land")
     write_games(games, table)
-    T.stream_upsert(spark, paths["boxscore"], sb, dim, table)
+    box = spark.read.schema(BOXSCORE_SCHEMA).json(paths["boxscore"])
+    odd = F.col("GAME_ID").cast("long") % 2 == 1
+    for part in (box.filter(odd), box.filter(~odd)):
+        part.write.mode("append").json(folder)
+        T.stream_upsert(spark, folder, sb, dim, table)
     return spark.read.parquet(table).select(*GAME_COLUMNS)
 
 
 @register("T2_stream_dedupe", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def q_t2(spark, sf):
-    """Every event delivered twice; the stream keeps one copy per event id."""
+    """Every event delivered twice, in two runs; the stream keeps one copy per event id."""
     ev = read_table(spark, sf, "events")
-    folder = scratch_path(spark, "t2-land")
-    T.land_in_slices(ev, folder, "ts", 3)
-    T.land_in_slices(ev, folder, "ts", 3)
-    out = T.stream_dedupe(spark, folder, ev.schema, ["event_id"], "ts")
+    folder, out = scratch_path(spark, "t2-land"), scratch_path(spark, "t2-out")
+    for part in _halves(ev, "ts"):
+        T.land_in_slices(part, folder, "ts", 2)
+        T.land_in_slices(part, folder, "ts", 2)
+        T.stream_dedupe(spark, folder, ev.schema, ["event_id"], "ts", delay="3650 days", out=out)
     return spark.read.parquet(out).select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 @register("T3_stream_trailing_features", QUERIES["W1_W2_events_trailing"][1])
 def q_t3(spark, sf):
-    """Per-user trailing means/stds from bounded streaming state; equal to the
-    batch operator on time-ordered input."""
+    """Per-user trailing means/stds from bounded streaming state, in two runs;
+    equal to the batch operator on time-ordered input."""
     ev = read_table(spark, sf, "events")
-    folder = scratch_path(spark, "t3-land")
-    T.land_in_slices(ev, folder, "ts", 4)
-    out = T.stream_trailing(spark, folder, ev.schema)
+    folder, out = scratch_path(spark, "t3-land"), scratch_path(spark, "t3-out")
+    for part in _halves(ev, "ts"):
+        T.land_in_slices(part, folder, "ts", 2)
+        T.stream_trailing(spark, folder, ev.schema, out=out)
     df = spark.read.parquet(out)
     return df.select("event_id", "user_id", *[F.round(c, 6).alias(c) for c in EV_COLS])
 
 
-@register("T4_stream_settle")
+@register("T4_stream_settle", QUERIES["J4_settle_predictions"][1])
 def q_t4(spark, sf):
-    """Predictions and final results as two streams joined with watermarks."""
+    """Predictions and final results as two streams joined with watermarks, in two
+    runs; with the rows still open it equals the batch settlement (J4)."""
     from tandem.plans.queries_sources import _prediction_log
     from tandem.sources.games import load_games
     preds = _prediction_log(spark, sf).select("game_date", "away", "home", "predicted_total")
-    games = load_games(spark, sf).filter(F.col("score_home").isNotNull())
-    pf, rf = scratch_path(spark, "t4-pred"), scratch_path(spark, "t4-res")
-    T.land_in_slices(preds, pf, "game_date", 3)
-    T.land_in_slices(games.select("date", "away", "home", "score_home", "score_away"), rf, "date", 3)
-    out = T.stream_settle(spark, pf, preds.schema, rf,
-                          games.select("date", "away", "home", "score_home", "score_away").schema)
-    return spark.read.parquet(out)
+    games = load_games(spark, sf).filter(F.col("score_home").isNotNull() & F.col("score_away").isNotNull())
+    # one result per event: the newest of those under one key
+    results = (games.groupBy("date", "away", "home").agg(F.max_by(F.struct("score_home", "score_away"), "game_id").alias("r"))
+               .select("date", "away", "home", "r.score_home", "r.score_away"))
+    pf, rf, out = (scratch_path(spark, f"t4-{x}") for x in ("pred", "res", "out"))
+    for p, r in zip(_halves(preds, "game_date"), _halves(results, "date")):
+        T.land_in_slices(p, pf, "game_date", 2)
+        T.land_in_slices(r, rf, "date", 2)
+        T.stream_settle(spark, pf, preds.schema, rf, results.schema, out=out)
+    seen = T.settled_view(spark, out, spark.read.schema(preds.schema).parquet(pf))
+    return seen.select("game_date", "away", "home", F.round("predicted_total", 6).alias("predicted_total"),
+                       "actual_total", F.round("prediction_error", 6).alias("prediction_error"))
 
 
 @register("T5_stream_period_perf", """
 SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type,
   CAST(count(*) AS BIGINT) AS events, round(sum(value), 6) AS value_sum FROM events GROUP BY 1, 2, 3""")
 def q_t5(spark, sf):
-    """Daily tumbling windows per event type, watermarked, merged per batch."""
+    """Daily tumbling windows per event type, watermarked, merged per batch, in two runs."""
     ev = read_table(spark, sf, "events")
-    folder = scratch_path(spark, "t5-land")
-    T.land_in_slices(ev, folder, "ts", 4)
-    table = T.stream_period_perf(spark, folder, ev.schema, group=["event_type"])
+    folder, table = scratch_path(spark, "t5-land"), scratch_path(spark, "t5-table")
+    for part in _halves(ev, "ts"):
+        T.land_in_slices(part, folder, "ts", 2)
+        T.stream_period_perf(spark, folder, ev.schema, group=["event_type"], table=table)
     return spark.read.parquet(table).select("window_start", "window_end", "event_type", "events",
                                             F.round("value_sum", 6).alias("value_sum"))

@@ -39,13 +39,17 @@ def get_spark(master: str | None = None, app: str = "tandem",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read.
-    Where it is unset (local tests) a private folder is created and set.
+    On a cluster this setting points at shared storage and is only read; it
+    must be set there, since other machines do not see a local folder. Where it
+    is unset in local mode (tests) a private folder is created and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tandem-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

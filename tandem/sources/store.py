@@ -10,10 +10,12 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.names import ALLOWED_GAME_COLUMNS
+from tandem.functions.scalars import number_of
 from tandem.operators.filters import project_allowlist
 from tandem.sources.games import GAMES_SCHEMA
 
@@ -54,7 +56,9 @@ def conform_games(raw: DataFrame) -> DataFrame:
             s = F.lower(F.trim(src.cast("string")))
             val = F.when(s.isin("1", "true", "t", "1.0"), F.lit(True)).when(s.isin("0", "false", "f", "0.0"), F.lit(False))
         elif t in ("bigint", "int"):
-            val = src.cast("string").try_cast("double").cast(t)
+            val = number_of(src).try_cast(t)
+        elif t == "double":
+            val = number_of(src)
         else:
             val = src.cast("string").try_cast(t)
         if f.name in GAME_DEFAULTS:
@@ -71,19 +75,22 @@ def write_games(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def upsert_latest(base: DataFrame, delta: DataFrame, key: list[str], order_col: str | None = None,
-                  coalesce_old: bool = False) -> DataFrame:
+                  coalesce_old: bool = False, defaults: dict | None = None) -> DataFrame:
     """Latest-wins by natural key.
 
     Reference mode (``coalesce_old=False``): the newer row replaces the whole
-    older row; columns it lacks take their defaults / NULL. ``coalesce_old``
-    keeps the older non-NULL value where the newer one is NULL. Within one
-    side, ties on the key are broken by ``order_col`` (higher wins).
+    older row; columns it lacks take their default in ``defaults``, else NULL.
+    ``coalesce_old`` keeps the older non-NULL value where the newer one is NULL.
+    Within one side, ties on the key are broken by ``order_col`` (higher wins),
+    without one by the remaining columns in order.
     """
     cols = base.columns
-    d = delta.select(*[F.col(c) if c in delta.columns else F.lit(None).cast(base.schema[c].dataType).alias(c)
+    given = {} if coalesce_old else defaults or {}
+    d = delta.select(*[F.col(c) if c in delta.columns else F.lit(given.get(c)).cast(base.schema[c].dataType).alias(c)
                        for c in cols])
     tagged = (base.withColumn("_src", F.lit(0)).unionByName(d.withColumn("_src", F.lit(1))))
-    order = [F.col("_src").desc()] + ([F.col(order_col).desc()] if order_col else [])
+    order = [F.col("_src").desc()] + [F.col(c).desc() for c in ([order_col] if order_col else
+                                                                [c for c in cols if c not in key])]
     w = Window.partitionBy(*key).orderBy(*order)
     if not coalesce_old:
         return tagged.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_src")
@@ -95,14 +102,16 @@ def upsert_latest(base: DataFrame, delta: DataFrame, key: list[str], order_col:
 
 
 def upsert_into(spark: SparkSession, path: str, delta: DataFrame, key: list[str],
-                partition_col: str = "season", order_col: str | None = None) -> DataFrame:
+                partition_col: str = "season", order_col: str | None = None, coalesce_old: bool = False,
+                defaults: dict | None = None) -> DataFrame:
     """S4 on a Parquet table: read the partitions the delta touches, merge,
     overwrite just those partitions (dynamic overwrite). Returns the merged
     partitions as written."""
     base = spark.read.parquet(path)
-    touched = delta.select(partition_col).distinct()
-    part = base.join(touched, partition_col, "left_semi")
-    merged = upsert_latest(part, delta, key, order_col).select(*base.columns)
+    # a delta touches few partitions: their values prune the scan
+    touched = [r[0] for r in delta.select(partition_col).distinct().collect()]
+    part = base.filter(F.col(partition_col).isin(touched))
+    merged = upsert_latest(part, delta, key, order_col, coalesce_old, defaults).select(*base.columns)
     tmp = scratch_path(spark, "upsert")
     merged.write.mode("overwrite").parquet(tmp)       # cut lineage: we overwrite what we read
     staged = spark.read.parquet(tmp)
@@ -140,15 +149,21 @@ def project_game_columns(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- S12-S14, S17
 def prediction_rows(df: DataFrame, model_version: str | Column = "v1.0", date_col: str = "date",
-                    pred: str = "prediction", line: str = "total") -> DataFrame:
-    """Validated prediction log rows. Invalid dates/entities rejected;
-    line coerced (bad -> NULL); model version sanitised to [a-zA-Z0-9._-], 50 chars."""
+                    pred: str = "prediction", line: str = "total", entities: DataFrame | None = None) -> DataFrame:
+    """Validated prediction log rows. Rows whose date is not YYYY-MM-DD or whose
+    entities are empty (with ``entities``, a one-column frame: not listed there) are
+    rejected; line coerced (bad -> NULL); model version sanitised to [a-zA-Z0-9._-], 50 chars."""
     mv = F.lit(model_version) if isinstance(model_version, str) else model_version
-    return (df.filter(F.col(pred).isNotNull() & F.col(date_col).isNotNull()
-                      & F.col("away").isNotNull() & F.col("home").isNotNull())
+    day = F.col(date_col).cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$")
+    ok = number_of(F.col(pred)).isNotNull() & day & (F.trim("away") != "") & (F.trim("home") != "")
+    if entities is not None:
+        for side in ("away", "home"):
+            known = entities.select(F.col(entities.columns[0]).alias(side)).distinct()
+            df = df.join(known, side, "left_semi")
+    return (df.filter(ok)
             .select(F.col(date_col).alias("game_date"), "away", "home",
-                    F.col(pred).cast("double").alias("predicted_total"),
-                    F.col(line).cast("string").try_cast("double").alias("vegas_total"),
+                    number_of(F.col(pred)).alias("predicted_total"),
+                    number_of(F.col(line)).alias("vegas_total"),
                     F.substring(F.regexp_replace(mv, r"[^a-zA-Z0-9._-]", ""), 1, 50).alias("model_version")))
 
 
@@ -168,8 +183,10 @@ def load_or_seed(spark: SparkSession, table_path: str, csv_path: str) -> DataFra
     The emptiness test is a one-row job."""
     try:
         t = spark.read.parquet(table_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # a damaged table is an error, not a reason to seed
+            raise
+    else:
         if not t.isEmpty():
             return t
-    except Exception:  # noqa: BLE001 - missing table means seed
-        pass
     return conform_games(read_games_csv(spark, csv_path))

@@ -1,18 +1,18 @@
 """Structured Streaming versions of ingest, dedupe, trailing features,
 settlement and periodic performance (T1-T5).
 
-The reference is a daily batch poll; these run the same operators on files
-landing in a folder. Every query uses a checkpoint under the shared
-checkpoint folder and ``trigger(availableNow=True)`` (process what is there,
-then stop), so a scheduler can run them like batch jobs and a restart resumes
-exactly where the last run stopped.
+The original is a daily batch poll; these run the same operators on files
+landing in a folder. Every query keeps its checkpoint beside its sink
+(``<sink>_checkpoint``, or a given folder) and uses ``trigger(availableNow=True)``
+(process what is there, then stop), so a scheduler runs them like batch jobs and a
+later run into the same sink resumes where the last one stopped. ``late``, a dict
+where given, gets the number of rows dropped behind the watermark.
 """
 
 from __future__ import annotations
 
 import os
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,51 +22,66 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tandem.sources.store import scratch_path
 
 
-def _run(writer, name: str) -> None:
+def _run(writer, name: str, late: dict | None = None) -> None:
     q = writer.trigger(availableNow=True).queryName(name).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    if late is not None:
+        late["rows"] = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+
+
+def _checkpoint(sink: str, given: str | None) -> str:
+    return given or sink.rstrip("/") + "_checkpoint"
 
 
 # --------------------------------------------------------------------------- landing helpers
 def land_in_slices(df: DataFrame, folder: str, time_col: str, slices: int) -> str:
     """Write ``df`` into ``folder`` as ``slices`` time-ordered appends (one file
-    each), so a file stream sees them oldest first."""
+    each), so a file stream sees them oldest first; rows without a time go first."""
     lo, hi = df.agg(F.min(time_col), F.max(time_col)).first()
-    span = (hi - lo) / slices
+    if lo is None:
+        slices = 1
+    span = (hi - lo) / slices if lo is not None else None
     for i in range(slices):
-        a, b = lo + span * i, (lo + span * (i + 1) if i < slices - 1 else None)
-        part = df.filter(F.col(time_col) >= F.lit(a)) if b is None else df.filter(
-            (F.col(time_col) >= F.lit(a)) & (F.col(time_col) < F.lit(b)))
+        part = df
+        if i:
+            part = part.filter(F.col(time_col) >= F.lit(lo + span * i))
+        if i < slices - 1:
+            before = F.col(time_col) < F.lit(lo + span * (i + 1))
+            part = part.filter(before if i else before | F.col(time_col).isNull())
+        elif i == 0:
+            part = df
         part.coalesce(1).write.mode("append").parquet(folder)
     return folder
 
 
 # --------------------------------------------------------------------------- T1
 def stream_upsert(spark: SparkSession, box_folder: str, scoreboard: DataFrame, dim: DataFrame,
-                  table_path: str, max_files: int = 4) -> str:
+                  table_path: str, max_files: int = 4, checkpoint: str | None = None) -> str:
     """Box scores arriving as JSON files -> completed events (joined to
     the scoreboard) -> latest-wins upsert into the Parquet games table, one
     micro-batch at a time. Idempotent: a batch id already applied is skipped
-    (a marker file per batch), so a retried batch does not apply twice."""
+    (a marker file per batch beside the checkpoint that counts them), so a retried
+    batch does not apply twice."""
     from tandem.plans.jobs import feed_delta
     from tandem.sources.feeds import BOXSCORE_SCHEMA, boxscore_rows
-    from tandem.sources.store import GAME_KEY, upsert_into
+    from tandem.sources.store import GAME_DEFAULTS, GAME_KEY, upsert_into
 
-    marks = table_path.rstrip("/") + "_batches"
+    ckpt = _checkpoint(table_path, checkpoint)
+    marks = ckpt + "_batches"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         mark = os.path.join(marks, f"batch={batch_id}")
         if _exists(spark, mark):
             return
-        delta = feed_delta(scoreboard, boxscore_rows(batch), dim)
+        delta = feed_delta(scoreboard, boxscore_rows(batch), dim).persist()
         if not delta.isEmpty():
-            upsert_into(spark, table_path, delta, GAME_KEY, order_col="game_id")
+            upsert_into(spark, table_path, delta, GAME_KEY, order_col="game_id", defaults=GAME_DEFAULTS)
+        delta.unpersist()
         spark.range(1).write.mode("overwrite").parquet(mark)
 
     stream = (spark.readStream.schema(BOXSCORE_SCHEMA).option("maxFilesPerTrigger", max_files).json(box_folder))
-    ckpt = scratch_path(spark, "ckpt-t1")
     _run(stream.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt), "t1_upsert")
     return table_path
 
@@ -79,7 +94,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 # --------------------------------------------------------------------------- T2
 def stream_dedupe(spark: SparkSession, folder: str, schema: T.StructType, key: list[str],
-                  time_col: str, delay: str = "7 days", out: str | None = None) -> str:
+                  time_col: str, delay: str = "7 days", out: str | None = None, checkpoint: str | None = None,
+                  late: dict | None = None) -> str:
     """Drop re-delivered rows by key within the watermark delay (state per
     key is dropped once the watermark passes it; later copies are late data)."""
     out = out or scratch_path(spark, "t2-out")
@@ -87,7 +103,7 @@ def stream_dedupe(spark: SparkSession, folder: str, schema: T.StructType, key: l
          .withColumn("_event_time", F.col(time_col).cast("timestamp"))
          .withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(key).drop("_event_time"))
     _run(s.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "ckpt-t2")), "t2_dedupe")
+         .option("checkpointLocation", _checkpoint(out, checkpoint)), "t2_dedupe", late)
     return out
 
 
@@ -122,7 +138,8 @@ def _trailing_state_fn(windows: list[int], lookback: int, value: str, entity: st
 
 
 def stream_trailing(spark: SparkSession, folder: str, schema: T.StructType, entity: str = "user_id",
-                    value: str = "value", windows: list[int] | None = None, out: str | None = None) -> str:
+                    value: str = "value", windows: list[int] | None = None, out: str | None = None,
+                    checkpoint: str | None = None) -> str:
     """Trailing means/stds per entity over the previous w events, kept in
     per-entity state of the last max(w) events (bounded). Equal to the batch
     W1/W2 operator when events arrive in order; an event not later than the
@@ -143,17 +160,18 @@ def stream_trailing(spark: SparkSession, folder: str, schema: T.StructType, enti
          .applyInPandasWithState(_trailing_state_fn(windows, lookback, value, entity), out_schema,
                                  state_schema, "append", GroupStateTimeout.NoTimeout))
     _run(s.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "ckpt-t3")), "t3_trailing")
+         .option("checkpointLocation", _checkpoint(out, checkpoint)), "t3_trailing")
     return out
 
 
 # --------------------------------------------------------------------------- T4
 def stream_settle(spark: SparkSession, pred_folder: str, pred_schema: T.StructType,
                   result_folder: str, result_schema: T.StructType, bound_days: int = 3,
-                  out: str | None = None) -> str:
+                  out: str | None = None, checkpoint: str | None = None, late: dict | None = None) -> str:
     """T4: stream-stream LEFT OUTER join of predictions to final results on
     (game_date, away, home) with watermarks on both sides and a time bound
-    (a result within ``bound_days`` after the prediction's event time)."""
+    (a result within ``bound_days`` after the prediction's event time). Rows the
+    join still holds open are shown by :func:`settled_view`."""
     out = out or scratch_path(spark, "t4-out")
     p = (spark.readStream.schema(pred_schema).parquet(pred_folder)
          .withColumn("p_ts", F.col("game_date").cast("timestamp"))
@@ -170,17 +188,27 @@ def stream_settle(spark: SparkSession, pred_folder: str, pred_schema: T.StructTy
         (F.col("r.score_home") + F.col("r.score_away")).cast("double").alias("actual_total"))
     j = j.withColumn("prediction_error", F.col("predicted_total") - F.col("actual_total"))
     _run(j.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "ckpt-t4")), "t4_settle")
+         .option("checkpointLocation", _checkpoint(out, checkpoint)), "t4_settle", late)
     return out
 
 
+def settled_view(spark: SparkSession, out: str, predictions: DataFrame) -> DataFrame:
+    """The sink of T4 plus every landed prediction it has not emitted yet (behind the
+    watermark, a result may still come), with NULL results: no prediction is missing."""
+    done = spark.read.parquet(out)
+    key = ["game_date", "away", "home"]
+    still = predictions.join(done.select(*key).distinct(), key, "left_anti")
+    return done.unionByName(still.select(*key, "predicted_total"), allowMissingColumns=True)
+
+
 # --------------------------------------------------------------------------- T5
 def stream_period_perf(spark: SparkSession, folder: str, schema: T.StructType, time_col: str = "ts",
                        period: str = "1 day", group: list[str] | None = None, delay: str = "1 day",
-                       table: str | None = None) -> str:
+                       table: str | None = None, checkpoint: str | None = None) -> str:
     """T5: tumbling-window aggregates with a watermark, emitted in update mode
-    and merged per micro-batch into a Parquet table (latest value per window
-    and group wins), so the table is final whatever the trigger cadence."""
+    and merged per micro-batch into a Parquet table partitioned by the window's
+    day (latest value per window and group wins): only the days a batch touches
+    are read and overwritten, and the table is final whatever the trigger cadence."""
     from tandem.sources.store import upsert_latest
 
     group = group or []
@@ -188,15 +216,20 @@ def stream_period_perf(spark: SparkSession, folder: str, schema: T.StructType, t
     keys = ["window_start", "window_end", *group]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
-        if _exists(spark, table):
-            cur = spark.read.parquet(table)
-            merged = upsert_latest(cur, rows, keys, order_col="_batch")
-            tmp = scratch_path(spark, "t5-stage")
-            merged.write.parquet(tmp)
-            spark.read.parquet(tmp).write.mode("overwrite").parquet(table)
+        rows = batch.withColumn("_batch", F.lit(batch_id).cast("long")).withColumn("window_day", F.to_date("window_start"))
+        rows = rows.persist()
+        days = [r[0] for r in rows.select("window_day").distinct().collect()]  # bounded by the batch's days
+        if days and _exists(spark, table):
+            cur = spark.read.schema(rows.schema).parquet(table).filter(F.col("window_day").isin(days))
+            tmp = scratch_path(spark, "t5-stage")  # we overwrite what we read
+            upsert_latest(cur, rows, keys, order_col="_batch").write.parquet(tmp)
+            merged = spark.read.parquet(tmp)
         else:
-            rows.write.parquet(table)
+            merged = rows
+        if days:
+            (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("window_day").parquet(table))
+        rows.unpersist()
 
     ntz = isinstance(schema[time_col].dataType, T.TimestampNTZType)
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -208,9 +241,9 @@ def stream_period_perf(spark: SparkSession, folder: str, schema: T.StructType, t
                  F.col("window.end").cast("timestamp_ntz" if ntz else "timestamp").alias("window_end"),
                  *group, "events", "value_sum"))
     _run(s.writeStream.outputMode("update").foreachBatch(merge)
-         .option("checkpointLocation", scratch_path(spark, "ckpt-t5")), "t5_period")
+         .option("checkpointLocation", _checkpoint(table, checkpoint)), "t5_period")
     return table
 
 
 __all__ = ["land_in_slices", "stream_upsert", "stream_dedupe", "stream_trailing", "stream_settle",
-           "stream_period_perf", "np"]
+           "settled_view", "stream_period_perf"]
