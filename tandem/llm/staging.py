@@ -1,36 +1,51 @@
 """Written intermediate tables in the shared folder of ``spark.checkpoint.dir``.
 
 A staged table cuts lineage (a lost executor costs a re-read, not a recompute)
-and fixes what a later stage relies on, such as row numbers. The tables of one
-application lie in one folder, which belongs to that application:
-``drop_staged`` removes it once its results are written.
+and fixes what a later stage relies on, such as row numbers. Tables lie in a folder
+of their application, in the scope that was set when they were written:
+``drop_staged`` removes a scope, or all, once the results are written.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.session import checkpoint_dir
 
+_scope: ContextVar[str] = ContextVar("scope", default="query")
+
 
 def _folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/tandem-staged-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def staging_scope(name: str) -> Iterator[None]:
+    """Tables staged inside belong to this scope."""
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back."""
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{_scope.get()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Remove every table this application has staged."""
+def drop_staged(spark: SparkSession, scope: str | None = None) -> None:
+    """Remove the tables this application has staged, in one scope or all."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path = jvm.org.apache.hadoop.fs.Path(_folder(spark) + (f"/{scope}" if scope else ""))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
