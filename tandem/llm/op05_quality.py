@@ -36,7 +36,7 @@ from tandem.llm import textops as T
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 #: Entries of a worker's cache of encoded words; a memory bound only.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
