@@ -1,14 +1,15 @@
 """ML queries (rows-only checks: fitted models have no SQL twin).
 
-The registered queries take 12 of the 288 model features, few trees and a small
-grid: with every feature a query takes minutes even on small tables. All of these
-are parameters of tandem.plans.ml.
+All 288 model features, written once as Parquet and read column-wise by every fit.
+The number of trees and the grid are parameters (``ml.DEFAULT_GBT`` has 500 trees,
+``ml.FULL_GRID`` 512 points); the registered queries take few of both.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tandem.functions.names import model_feature_columns
 from tandem.operators import filters as P
 from tandem.operators.evaluate import error_metrics
 from tandem.plans import ml
@@ -17,42 +18,40 @@ from tandem.plans.pipeline import process_events
 from tandem.sources.games import load_games
 from tandem.sources.store import scratch_path
 
-ML_FEATURES = ["home_points_scored_roll_10", "away_points_scored_roll_10", "home_points_allowed_roll_10",
-               "away_points_allowed_roll_10", "expected_total_5", "expected_total_10", "expected_total_15",
-               "home_total_points_std_10", "away_total_points_std_10", "total_rest",
-               "home_season_total_avg", "away_season_total_avg"]
 SMALL_GBT = {"n_estimators": 5, "learning_rate": 0.1, "max_depth": 3, "subsample": 1.0,
              "colsample_bytree": "all", "min_child_weight": 1}
 TEST_SEASONS = [2000, 2001]
 GRID = {"n_estimators": [3, 6], "learning_rate": [0.1], "max_depth": [3]}
 
 
+def _written(df):
+    """The rows as Parquet in the shared folder: fits read the columns they need, and
+    the feature pipeline does not run again."""
+    path = scratch_path(df.sparkSession, "model-frame")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def model_frame(spark, sf):
-    """D6 rows with a known target, features as doubles, checkpointed to the
-    shared checkpoint folder: every fit, fold and metric reads this one
-    materialised table instead of re-running the feature pipeline."""
-    from tandem.session import cut_lineage
+    """D6 rows with a known target and every model feature as a double; the names."""
     df = process_events(load_games(spark, sf)).filter(F.col(ml.TARGET).isNotNull())
-    cols = ML_FEATURES
-    df = ml.as_double(df.select("game_id", "season", "date", *(c for c in ("home", "away", "total") if c not in cols),
-                                ml.TARGET, *cols), cols + [ml.TARGET])
-    return cut_lineage(df), cols
+    cols = model_feature_columns(df.columns)
+    keys = [c for c in ("game_id", "season", "date", "home", "away", "total") if c not in cols]
+    return _written(ml.as_double(df.select(*keys, ml.TARGET, *cols), cols + [ml.TARGET])), cols
 
 
 @register("L3_L4_ridge_ts_cv")
 def q_ridge(spark, sf):
     """Ridge baseline (impute, standardise, alpha = 1) scored on the 5
     expanding folds of the training seasons (Q14: test seasons excluded)."""
-    from tandem.session import cut_lineage
     frame, features = model_frame(spark, sf)
     train, _ = ml.holdout(frame, TEST_SEASONS)
-    data = cut_lineage(ml.with_folds(train))
 
     def make(t):
         st = t.agg(F.count(ml.TARGET).alias("n"), F.stddev_pop(ml.TARGET).alias("sd")).first()
-        return ml.ridge_pipeline(ml.usable_features(t, features), 1.0, st["n"], st["sd"])
+        return ml.Pipeline(stages=ml.ridge_stages(1.0, st["n"], st["sd"]))
 
-    rows = ml.fold_scores(data, make)
+    rows = ml.fold_scores(_written(ml.with_folds(train)), features, make)
     return spark.createDataFrame(rows, "fold int, mae double")
 
 
@@ -82,7 +81,7 @@ def q_grid(spark, sf):
     """Grid (J7 cross product) x 5 expanding folds, ranked by mean MAE (O2)."""
     frame, features = model_frame(spark, sf)
     train, _ = ml.holdout(frame, TEST_SEASONS)
-    res = ml.grid_search(train, ml.usable_features(train, features), GRID)
+    res = ml.grid_search(_written(ml.with_folds(train)), features, GRID)
     return res.orderBy("mean_mae").limit(5)
 
 
@@ -91,7 +90,8 @@ def q_train(spark, sf):
     """Grid, best parameters, refit on all training rows, hold-out metrics, save."""
     frame, features = model_frame(spark, sf)
     train, test = ml.holdout(frame, TEST_SEASONS)
-    best, metrics, _ = ml.train_job(train, test, ml.usable_features(train, features), GRID, scratch_path(spark, "train-model"))
+    best, metrics, _ = ml.train_job(_written(ml.with_folds(train)), test, ml.usable_features(train, features), GRID,
+                                    scratch_path(spark, "train-model"))
     return metrics.withColumns({k: F.lit(v) for k, v in best.items()})
 
 

@@ -20,6 +20,30 @@ def test_pipeline_has_288_model_features(spark):
     assert len(model_feature_columns(cols)) == 288
 
 
+def test_fold_means_and_vectors_match_brute_force(spark):
+    from tandem.plans.ml import TARGET, fold_means, fold_vectors
+    rng = np.random.default_rng(11)
+    fold = np.repeat([None, 0, 1, 2], 10)
+    x = rng.normal(size=(40, 2))
+    x[rng.random((40, 2)) < 0.3] = np.nan
+    x[:10, 1] = np.nan  # no value before fold 0
+    rows = [(None if f is None else int(f), *(None if np.isnan(v) else float(v) for v in r), float(i))
+            for i, (f, r) in enumerate(zip(fold, x))]
+    df = spark.createDataFrame(rows, f"fold int, a double, b double, {TARGET} double").repartition(3)
+    means = fold_means(df, ["a", "b"])
+    assert sorted(means) == [0, 1, 2]
+    for f in means:
+        before = x[:10 * (f + 1)]
+        expect = [0.0 if np.isnan(c).all() else np.nanmean(c) for c in before.T]
+        assert np.allclose(means[f], expect)
+    for f, train, val in fold_vectors(df, ["a", "b"]):
+        for part, span in ((train, slice(0, 10 * (f + 1))), (val, slice(10 * (f + 1), 10 * (f + 2)))):
+            got = {r[TARGET]: r["features"].toArray() for r in part.collect()}
+            assert sorted(got) == [float(i) for i in range(40)[span]]
+            for i, v in got.items():
+                assert np.allclose(v, np.where(np.isnan(x[int(i)]), means[f], x[int(i)]))
+
+
 def test_ridge_matches_closed_form(spark):
     from tandem.plans.ml import ridge_pipeline
     rng = np.random.default_rng(7)
