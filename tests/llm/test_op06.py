@@ -1,11 +1,13 @@
 import random
 from collections import Counter
+from fractions import Fraction
 
 from helpers import documents, fixture_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tandem.llm.op06_mixing import keep_mixed, mix, period_for, schedule, shares
+from tandem.llm import op06_mixing
+from tandem.llm.op06_mixing import Ideal, keep_mixed, mix, period_for, schedule, shares
 
 
 @settings(max_examples=200, deadline=None)
@@ -61,3 +63,55 @@ def test_defaults_and_edges(spark):
     assert mix(documents(spark, [])).collect() == []
     assert {r.in_mix for r in mix(docs, {"nowhere": 1.0}).collect()} == {False}
     assert {r.in_mix for r in mix(docs, {}).collect()} == {False}
+
+
+def ideal_after(t, weights, blocks):
+    """Blocks of each source after t slots of the ideal mix, drained source by source."""
+    had, left = dict.fromkeys(blocks, Fraction(0)), Fraction(t)
+    while left > 0:
+        flow = {s: Fraction(weights[s]) for s in blocks if had[s] < blocks[s]}
+        step = min(left / sum(flow.values()), *((blocks[s] - had[s]) / w for s, w in flow.items()))
+        for s, w in flow.items():
+            had[s] += step * w
+        left -= step * sum(flow.values())
+    return had
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.text(max_size=2), st.tuples(st.integers(1, 40), st.floats(1e-6, 1e6)), min_size=1, max_size=8))
+def test_sources_that_run_dry_go_out(sources):
+    blocks, weights = {s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}
+    ideal, had, total = Ideal(weights, blocks), Counter(), sum(blocks.values())
+    for slot, i, k in ideal.walk([0] * len(blocks), 0, total):
+        s = ideal.names[i]
+        assert had[s] == k
+        had[s] += 1
+        assert all(abs(had[x] - y) < 1 for x, y in ideal_after(slot + 1, weights, blocks).items())
+    assert had == blocks
+
+
+def test_mixing_keeps_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(op06_mixing, "STRETCH", 100)  # several stretches
+    rows = [(i, f"t{i}", None, "hot" if i % 3 == 0 else f"s{i % 19}", 2) for i in range(2985)]
+    rows += [(3000, "one", None, "tiny", 3)] + [(4000 + i, f"n{i}", None, None, 2) for i in range(14)]
+    docs = documents(spark, rows)
+    kept = keep_mixed(docs).collect()
+    assert Counter(r.doc_id for r in kept) == Counter(r[0] for r in rows)
+    out = sorted(mix(docs).collect(), key=lambda r: r.mix_position)
+    assert [r.mix_position for r in out] == list(range(len(rows))) and all(r.in_mix for r in out)
+    assert [r.source for r in kept] == [r.source for r in out]
+    blocks = []
+    for r in out:
+        if not blocks or r.mix_slot != blocks[-1][0]:
+            blocks.append((r.mix_slot, r.mix_source, r.mix_block))
+    counts = Counter(r.mix_source for r in out)
+    assert [b[0] for b in blocks] == list(range(sum(-(-n // 8) for n in counts.values())))
+    had = Counter()
+    for _, s, k in blocks:
+        assert had[s] == k
+        had[s] += 1
+    # given weights: rows beyond the mix have a slot all the same
+    out = mix(docs, {"hot": 0.5, "s1": 0.25, "": 0.25}).collect()
+    assert all((r.mix_slot is not None) == (r.mix_source in ("hot", "s1", "")) for r in out)
+    assert 0 < sum(r.in_mix for r in out) < 100
+    assert keep_mixed(docs, {"hot": 0.5, "s1": 0.25, "": 0.25}).count() == counts["hot"] + counts["s1"] + counts[""]
