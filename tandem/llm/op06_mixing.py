@@ -196,8 +196,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     docs = docs.withColumn("mix_source", F.coalesce("source", F.lit("")))
     counts = {r["mix_source"]: r["n"] for r in docs.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
     targets = weights if weights is not None else {s: n ** temper for s, n in counts.items()}
-    slots = shares(targets, period_for(len(targets))) if any(w > 0 for w in targets.values()) else {}
-    ideal = Ideal(slots, counts, block)
+    ideal = Ideal(targets, counts, block)
     parts, end = stretches(ideal)
     total = sum(ideal.blocks)
     if whole or (whole is None and weights is None):

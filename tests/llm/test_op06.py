@@ -115,3 +115,27 @@ def test_mixing_keeps_all_rows(spark, monkeypatch):
     assert all((r.mix_slot is not None) == (r.mix_source in ("hot", "s1", "")) for r in out)
     assert 0 < sum(r.in_mix for r in out) < 100
     assert keep_mixed(docs, {"hot": 0.5, "s1": 0.25, "": 0.25}).count() == counts["hot"] + counts["s1"] + counts[""]
+
+
+def test_given_weights_hold_over_the_whole_length():
+    weights = {"a": Fraction(1, 3), "b": Fraction(1, 7), "tiny": Fraction(1, 100000)}
+    weights["rest"] = 1 - sum(weights.values())
+    ideal = Ideal(weights, {s: 10**9 for s in weights})
+    had = [0] * 4
+    for slot, i, _ in ideal.walk(had, 0, 250_000):
+        if slot % 7 == 0 or ideal.names[i] == "tiny":
+            assert all(abs(h - slot * weights[s]) < 1 for h, s in zip(had, ideal.names))
+    assert had[ideal.names.index("tiny")] in (2, 3)
+
+
+def test_mix_holds_weights_that_divide_no_period(spark):
+    weights = {"a": 1 / 3, "b": 1 / 7, "tiny": 1e-5}
+    weights["rest"] = 1 - sum(weights.values())
+    sources = ["a"] * 3000 + ["b"] * 1200 + ["tiny"] * 3 + ["rest"] * 4500
+    out = mix(documents(spark, [(i, f"t{i}", None, s, 2) for i, s in enumerate(sources)]), weights, block=1)
+    mixed = sorted((r for r in out.collect() if r.in_mix), key=lambda r: r.mix_position)
+    assert len(mixed) >= 8390
+    had = Counter()
+    for n, r in enumerate(mixed, 1):
+        had[r.mix_source] += 1
+        assert all(abs(had[s] - n * w) < 1 for s, w in weights.items())
