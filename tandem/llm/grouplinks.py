@@ -22,7 +22,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import textops as T
@@ -30,15 +30,24 @@ from tandem.llm.staging import join_summary, stage
 
 #: Groups of more members take the pivot route (both routes find all links).
 HEAVY = 16
-#: Keys sent whole to every executor, at most (16 bytes each); more are joined.
+#: Keys, or entries of the lists that keys carry, sent whole to every executor, at most; more are joined.
 BROADCAST_KEYS = 2_000_000
 
 Tokens = Callable[[list[str]], list[np.ndarray]]
 
 
-def bounded_join(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Join with a staged table of distinct keys, broadcast only if its counted size is small."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+def bounded_join(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner", items: Column | None = None) -> DataFrame:
+    """Join with a staged table of distinct keys, broadcast only if its counted size is small.
+
+    ``items`` is the number of entries in the lists of a row of ``keys`` (inner joins). Where
+    these are too many, only the keys are broadcast, and the rows that meet one are joined by shuffle.
+    """
+    size = keys.agg(F.count("*").alias("n"), F.sum(F.lit(1) if items is None else items).alias("items")).first()
+    if max(size["n"], size["items"] or 0) <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), on, how)
+    if items is not None and size["n"] <= BROADCAST_KEYS:
+        rows = rows.join(F.broadcast(keys.select(on)), on, "left_semi")
+    return rows.join(keys, on, how)
 
 
 def _compare(tokens: Tokens, num: int, den: int):

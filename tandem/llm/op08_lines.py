@@ -192,7 +192,7 @@ def removed_lines(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int =
     def texts_of(ids: DataFrame) -> DataFrame:
         at = stage(ids.join(classes.select(F.col("c").alias("id"), "first.rk", "first.pos"), "id").groupBy("rk")
                    .agg(F.collect_list(F.struct("id", "pos")).alias("found")))
-        found = bounded_join(texts.select("rk", "text"), at, "rk").select("text", "found")
+        found = bounded_join(texts.select("rk", "text"), at, "rk", items=F.size("found")).select("text", "found")
         return found.mapInArrow(_picked_lines, "id long, text string").dropDuplicates(["id"])
 
     found = stage(links(members, texts_of, char_sets(gram), num, den, heavy=heavy))

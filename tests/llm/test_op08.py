@@ -6,6 +6,7 @@ import pyarrow as pa
 from helpers import documents, fixture_rows, prose, words
 from pyspark.sql import functions as F
 
+from tandem.llm import grouplinks
 from tandem.llm.op08_lines import band_keys, char_sets, dedup_lines, line_report
 
 OUTER = " \t\n\r\x0b\x0c"
@@ -123,3 +124,17 @@ def test_signatures_agree_like_jaccard():
         agree += (keys[0] == keys[1]).mean()
         total += len(a & b) / len(a | b)
     assert abs(agree - total) / 60 < 0.03
+
+
+def test_broadcast_lists_are_bounded_by_their_entries(spark, monkeypatch):
+    docs = documents(spark, lines_fixture())
+    want = sorted(map(tuple, line_report(docs).collect()))
+    limit, sent, broadcast = 90, [], F.broadcast
+
+    def spy(df):
+        sent.append(df.agg(F.sum(F.size("found"))).first()[0] if "found" in df.columns else df.count())
+        return broadcast(df)
+    monkeypatch.setattr(grouplinks, "BROADCAST_KEYS", limit)  # 80 documents, more lines
+    monkeypatch.setattr(grouplinks.F, "broadcast", spy)
+    assert sorted(map(tuple, line_report(docs).collect())) == want
+    assert sent and max(x or 0 for x in sent) <= limit
