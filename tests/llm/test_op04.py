@@ -79,6 +79,19 @@ def test_one_of_each(spark):
     assert one_of_each(documents(spark, [])).collect() == []
 
 
+def test_one_of_each_with_null_and_tied_ids(spark):
+    words_of = [f"w{i}" for i in range(100)]
+    def copy(n):
+        return " ".join([*words_of, f"end{n}"])
+    other = " ".join(f"o{i}" for i in range(100))
+    rows = [(None, copy(n), "en", "s", 0) for n in range(3)]               # near copies, no ids
+    rows += [(1, other + f" x{n}", "en", "s", 0) for n in range(2)]        # near copies, one id
+    rows += [(2, other + " x2", "en", "s", 0), (None, other + " x3", "en", "s", 0)]
+    rows += [(None, None, "en", "s", None), (None, "", "en", "s", 0)]      # no words: both stay
+    kept = sorted((r.doc_id is None, (r.text or "")[:1]) for r in one_of_each(documents(spark, rows)).collect())
+    assert kept == [(False, "o"), (True, ""), (True, ""), (True, "w")]
+
+
 def test_components_of_long_paths(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 40)] + [(200, 200), (301, 300), (300, 302)]
