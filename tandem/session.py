@@ -37,7 +37,7 @@ def get_spark(master: str | None = None, app: str = "tandem",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``, the same at every call.
 
     On a cluster this setting points at shared storage and is only read; it
     must be set there, since other machines do not see a local folder. Where it
@@ -52,11 +52,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tandem-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+    return path.rstrip("/")
 
 
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    path = checkpoint_dir(df.sparkSession)
+    if context.getCheckpointDir() is None:  # each call would name a new folder
+        context.setCheckpointDir(path)
     return df.checkpoint(eager=eager)
