@@ -16,6 +16,8 @@ from tandem.llm.op07_packing import pack
 from tandem.llm.op08_lines import line_report
 from tandem.llm.op09_simhash import edited, with_near_counts
 from tandem.llm.op10_toxicity import score as score_toxicity
+from tandem.llm.op11_fim import digest as fim_digest
+from tandem.llm.op11_fim import fill_in_middle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,3 +124,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_line_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
+
+
+@register("op11_fim", sql=r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS unit, ('0x' || h[1:8])::BIGINT AS h1,
+             ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(unit) AS n, least(h1 % (len(unit) + 1), h2 % (len(unit) + 1)) AS a,
+             greatest(h1 % (len(unit) + 1), h2 % (len(unit) + 1)) AS b,
+             t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM u),
+x AS (SELECT *, array_to_string(unit[1:a], '') AS p, array_to_string(unit[a + 1:b], '') AS m,
+             array_to_string(unit[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(p) END::BIGINT AS prefix_chars,
+       CASE WHEN NOT plain THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE WHEN plain THEN t WHEN h4 % 100 < 50 THEN '<S>' || s || '<P>' || p || '<M>' || m
+                   ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digest(fill_in_middle(_table(spark, sf_dir, "documents")))
