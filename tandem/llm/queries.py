@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tandem.llm.op01_url_filter import judge_urls
 from tandem.llm.op02_substring import remove_repeats
@@ -18,6 +19,9 @@ from tandem.llm.op09_simhash import edited, with_near_counts
 from tandem.llm.op10_toxicity import score as score_toxicity
 from tandem.llm.op11_fim import digest as fim_digest
 from tandem.llm.op11_fim import fill_in_middle
+from tandem.llm.op12_whitening import whiten
+from tandem.llm.op13_pii import personal_data
+from tandem.llm.op13_pii import report as pii_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,3 +147,14 @@ SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 T
 FROM x""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_digest(fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+@register("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@register("op13_pii")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(personal_data(_table(spark, sf_dir, "documents")))
