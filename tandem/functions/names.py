@@ -51,6 +51,13 @@ WIN_PAYOUT = 100
 RISK = 110
 BREAK_EVEN_PCT = 52.4
 EDGE_THRESHOLDS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+
+# Confidence of a pick by its least absolute edge; below that it is small.
+CONFIDENCE_TIERS = [(5, "HIGH"), (3, "MODERATE")]
+
+# Serving defaults of an entity's rest days and game number.
+DEFAULT_REST = 2
+DEFAULT_GAME_NUM = 40
 # ---------------------------------------------------------------------------
 
 SEASON_STATS = {  # output name -> per-row stat whose season-to-date mean it is

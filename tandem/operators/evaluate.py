@@ -62,7 +62,7 @@ def fold_mae(df: DataFrame, pred: str = "prediction", actual: str = "actual_tota
 
 # --------------------------------------------------------------------------- betting
 
-def _flags(pred: str, actual: str, line: str) -> dict[str, Column]:
+def pick_flags(pred: str, actual: str, line: str) -> dict[str, Column]:
     p, y, l = F.col(pred), F.col(actual), F.col(line)
     says_over = null_false(p > l) == 1
     went_over = null_false(y > l) == 1
@@ -88,7 +88,7 @@ def bet_outcomes(df: DataFrame, pred: str = "prediction", actual: str = "actual_
     again. ``void``: rows with a NULL line/actual are dropped and pushes are
     neither wins nor losses.
     """
-    f = _flags(pred, actual, line)
+    f = pick_flags(pred, actual, line)
     d = df
     if push_policy == "void":
         d = d.filter(F.col(line).isNotNull() & F.col(actual).isNotNull())
@@ -122,7 +122,7 @@ def edge_sweep(df: DataFrame, pred: str = "prediction", actual: str = "actual_to
     if any(t != int(t) or t < 1 for t in thresholds):
         raise ValueError("thresholds are whole numbers from 1")
     top = max(thresholds)
-    f = _flags(pred, actual, line)
+    f = pick_flags(pred, actual, line)
     edge = F.abs(F.col(pred) - F.col(line))
     per = (df.filter(edge >= min(thresholds))
            .groupBy(F.least(F.floor(edge).cast("int"), F.lit(top)).alias("min_edge"))
@@ -147,7 +147,7 @@ def side_breakdown(df: DataFrame, pred: str = "prediction", actual: str = "actua
                    line: str = "total") -> DataFrame:
     """Bets, wins and win rate of OVER picks and of UNDER picks (both rows
     always present)."""
-    f = _flags(pred, actual, line)
+    f = pick_flags(pred, actual, line)
     row = df.agg(
         F.count_if(f["says_over"]).alias("over_bets"),
         F.count_if(f["says_over"] & f["went_over"]).alias("over_wins"),
@@ -164,7 +164,7 @@ def monthly_performance(df: DataFrame, pred: str = "prediction", actual: str = "
                         line: str = "total", date_col: str = "date") -> DataFrame:
     """Per calendar month: bets, wins, win rate, profit (pushes are
     whatever side the pick lands on, as in the reference)."""
-    f = _flags(pred, actual, line)
+    f = pick_flags(pred, actual, line)
     out = (df.groupBy(month_key(F.col(date_col)).alias("month"))
            .agg(F.count(F.lit(1)).alias("bets"), F.count_if(f["correct"]).alias("wins")))
     return out.withColumns({

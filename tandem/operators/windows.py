@@ -4,18 +4,18 @@ All trailing features look back at most ``max(windows)`` rows of the same
 entity, ordered by ``date, is_home desc, game_id`` (home row first on a tie).
 
 Skew: a window partitioned by entity puts all rows of one entity in one task.
-When one entity holds a large share of the rows, its rows are split into day
-buckets. Each bucket is evaluated in its own partition together with a
-*halo*: the ``lookback`` rows that precede the bucket in the entity's order
-(taken from the last ``lookback`` rows of earlier buckets). Season-to-date
+When one entity holds a large share of the rows (the NULL entity too, and even if
+they all share a day), its rows are numbered in their order and cut into buckets of
+equally many rows. Each bucket is evaluated in its own partition together with a
+*halo*: the ``lookback`` rows that precede it, which the row numbers name. Season-to-date
 values, which are unbounded, are completed with per-bucket prefix sums. The
-list of split entities is bounded by construction (see :func:`mark_hot`), so
+list of split entities is bounded by construction (see :func:`hot_entities`), so
 it is safe to broadcast.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,109 +40,133 @@ def order_by(order: list[tuple[str, bool]], reverse: bool = False) -> list[Colum
 
 @dataclass(frozen=True)
 class SplitPolicy:
-    """When and how to split an entity's rows into date buckets.
+    """When and how to split an entity's rows into buckets.
 
     An entity is *hot* when it has more than ``max(hot_rows, total/max_hot)``
     rows; hence fewer than ``max_hot`` entities can be hot and the hot list
-    has a proven size bound. A hot entity's buckets span a whole number of
-    days chosen from its own density so that a bucket holds about
-    ``bucket_rows`` rows (at least one day; rows of one day are never split).
-    ``force`` splits every entity into one-day buckets (tests: every bucket
-    boundary exercised).
+    has a proven size bound. A hot entity's rows, in its order, are cut every
+    ``bucket_rows`` rows, within a day too. ``force`` splits every entity every
+    ``force_rows`` rows (tests: bucket boundaries everywhere).
     """
     hot_rows: int = 5_000_000
     max_hot: int = 4096
-    split_col: str = "date"
     force: bool = False
     bucket_rows: int = 1_000_000
+    force_rows: int = 7
 
+    @property
+    def size(self) -> int:
+        return max(1, self.force_rows if self.force else self.bucket_rows)
 
-def hot_entities(df: DataFrame, entity: str, policy: SplitPolicy) -> dict | None:
-    """Hot entities -> bucket span in days; ``None`` means all (``force``).
 
-    One aggregation job (map-side partial counts and date range per entity,
-    the total as a scalar subquery). At most ``max_hot`` keys can pass the
-    cut, so fetching them to the driver is bounded by construction."""
+def _entity_key(entity: str) -> Column:
+    """The entity as a string that is never NULL, so that joins meet the NULL entity as well."""
+    return F.coalesce(F.concat(F.lit("="), F.col(entity).cast("string")), F.lit("null"))
+
+
+def hot_entities(df: DataFrame, entity: str, policy: SplitPolicy) -> dict[str, int] | None:
+    """Keys of the hot entities -> number of their buckets; ``None`` means all (``force``).
+
+    One aggregation job (map-side partial counts, the total as a scalar subquery). Fewer than
+    ``max_hot`` keys can pass the cut, so fetching them to the driver is bounded by construction."""
     if policy.force:
         return None
-    day = F.unix_date(F.col(policy.split_col).cast("date"))
-    counts = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"), F.min(day).alias("_d0"),
-                                    F.max(day).alias("_d1"))
+    counts = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.select(F.sum("_n")).scalar()
     cut = F.greatest(F.lit(policy.hot_rows).cast("long"), F.ceil(total / F.lit(policy.max_hot)).cast("long"))
-    # a NULL entity is no entity: its rows stay in one partition of their own
-    rows = counts.filter((F.col("_n") > cut) & F.col(entity).isNotNull()).select(entity, "_n", "_d0", "_d1").collect()
-    spans = {}
-    for key, n, d0, d1 in rows:
-        days = (d1 - d0 + 1) if d0 is not None else 1
-        spans[key] = max(1, int(policy.bucket_rows * days // max(n, 1)))
-    return spans
-
-
-def mark_hot(df: DataFrame, entity: str, policy: SplitPolicy, hot: dict | None = None) -> DataFrame:
-    """Add ``_hot`` (bool) and ``_bucket`` (long: day number // span for hot
-    entities, one constant bucket otherwise)."""
-    day = F.unix_date(F.col(policy.split_col).cast("date")).cast("long")
-    if hot is None and not policy.force:
-        hot = hot_entities(df, entity, policy)
-    if policy.force:
-        flag, span = F.lit(True), F.lit(1).cast("long")
-    elif hot:
-        spans = F.create_map(*[x for k, v in hot.items() for x in (F.lit(k), F.lit(v))])
-        span = spans[F.col(entity)].cast("long")
-        flag = span.isNotNull()
+    rows = counts.filter(F.col("_n") > cut).select(_entity_key(entity), "_n").collect()
+    return {key: -(-n // policy.size) for key, n in rows}
+
+
+def _ranked(rows: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
+    """Add ``_rank``: the row's exact 0-based position among its entity's rows.
+
+    Rows are range-partitioned by (entity, order), so an entity of any size spans many tasks;
+    they are written once (their numbers must not change), and one row for each entity and
+    partition is summed up to offsets."""
+    from tandem.session import cut_lineage
+
+    by = [F.col("_ek"), *order_by(order)]
+    placed = cut_lineage(rows.repartitionByRange(*by).sortWithinPartitions(*by)
+                         .withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    spans = placed.groupBy("_ek", part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_ek").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("_ek", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    return (placed.withColumn("_part", part).join(spans, ["_ek", "_part"])
+            .withColumn("_rank", F.col("_at") + F.col("_base")).drop("_at", "_part", "_base"))
+
+
+def mark_hot(df: DataFrame, entity: str, order: list[tuple[str, bool]], policy: SplitPolicy) -> tuple[DataFrame, bool]:
+    """(rows with ``_hot`` and ``_bucket``, whether any entity is hot). Where one is, also ``_ek``, the
+    entity's key, and ``_rank``, the position of a hot row: bucket b holds the positions from b * size."""
+    hot = hot_entities(df, entity, policy)
+    plain = {"_hot": F.lit(False), "_bucket": F.lit(_NO_BUCKET)}
+    if hot is not None and not hot:
+        flagged = df.withColumn("_hot", F.lit(False))
+        # always _NO_BUCKET; it rests on a column because a partition key that is folded too early makes
+        # the optimizer lose columns of an explode over constants below (Spark 4.1)
+        day = F.unix_date(F.col(order[0][0]).cast("date")).cast("long")
+        return flagged.withColumn("_bucket", F.when(F.col("_hot"), F.floor(day / F.lit(1))).otherwise(F.lit(_NO_BUCKET))), False
+    keyed = df.withColumn("_ek", _entity_key(entity))
+    if hot is None:
+        rows, rest = keyed, None
     else:
-        flag, span = F.lit(False), F.lit(1).cast("long")
-    return (df.withColumn("_hot", flag)
-            .withColumn("_bucket", F.when(F.col("_hot"), F.floor(day / span)).otherwise(F.lit(_NO_BUCKET))))
-
-
-def with_halo(marked: DataFrame, entity: str, order: list[tuple[str, bool]], lookback: int,
-              source: Column | None = None) -> DataFrame:
-    """Rows flagged ``_halo=False`` plus, per hot bucket, the ``lookback``
-    preceding rows of the same entity flagged ``_halo=True``. ``source``
-    restricts which rows may serve as halo rows (e.g. only feature rows in an
-    as-of join)."""
+        listed = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in hot], "_ek string"))
+        rows, rest = keyed.join(listed, "_ek", "left_semi"), keyed.join(listed, "_ek", "left_anti")
+    marked = _ranked(rows, order).withColumns(
+        {"_hot": F.lit(True), "_bucket": F.floor(F.col("_rank") / F.lit(policy.size))})
+    if rest is not None:
+        marked = marked.unionByName(rest.withColumns(plain).withColumn("_rank", F.lit(None).cast("long")))
+    return marked, True
+
+
+def with_halo(marked: DataFrame, lookback: int, policy: SplitPolicy, ahead: bool = False) -> DataFrame:
+    """Rows flagged ``_halo=False`` plus, for each hot bucket, the ``lookback`` rows before it (``ahead``:
+    after it) flagged ``_halo=True``. Row numbers tell the buckets a row is a halo of: no join, no window."""
     base = marked.withColumn("_halo", F.lit(False))
     if lookback <= 0:
         return base
-    hot = marked.filter(F.col("_hot"))
-    src = hot if source is None else hot.filter(source)
-    # last `lookback` source rows of each bucket (WindowGroupLimit: partial limit before the shuffle)
-    tails = (src.withColumn("_tr", F.row_number().over(
-                Window.partitionBy(entity, "_bucket").orderBy(*order_by(order, reverse=True))))
-             .filter(F.col("_tr") <= lookback).drop("_tr"))
-    # position of each tail row among the entity's tails (<= lookback rows per bucket)
-    tails = tails.withColumn("_seq", F.row_number().over(Window.partitionBy(entity).orderBy(*order_by(order))))
-    # for every bucket of a hot entity (with or without source rows): number
-    # of tail rows in earlier buckets = position of the last source row before it
-    per_bucket = tails.groupBy(entity, "_bucket").agg(F.count(F.lit(1)).alias("_nt"))
-    before = Window.partitionBy(entity).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (hot.select(entity, "_bucket").distinct().join(per_bucket, [entity, "_bucket"], "left")
-               .select(entity, "_bucket", F.coalesce(F.sum("_nt").over(before), F.lit(0)).alias("_target"))
-               .filter(F.col("_target") > 0))
-    # the halo of bucket b = tail rows with _seq in (target(b) - lookback, target(b)]
-    halo = (tails.withColumn("_target", F.explode(F.sequence(F.col("_seq"), F.col("_seq") + lookback - 1)))
-            .drop("_bucket")
-            .join(buckets, [entity, "_target"])
-            .drop("_seq", "_target")
-            .withColumn("_halo", F.lit(True)))
+    size = F.lit(policy.size)
+    if ahead:
+        first, last = F.greatest(F.floor((F.col("_rank") - lookback) / size), F.lit(0)), F.col("_bucket") - 1
+    else:
+        first, last = F.col("_bucket") + 1, F.floor((F.col("_rank") + lookback) / size)
+    halo = (marked.filter(F.col("_hot") & (first <= last))
+            .withColumn("_bucket", F.explode(F.sequence(first, last))).withColumn("_halo", F.lit(True)))
     return base.unionByName(halo)
 
 
-def _season_prefix(marked: DataFrame, entity: str, season: str, stats: list[str]) -> DataFrame:
+def with_last_source(marked: DataFrame, source: Column) -> DataFrame:
+    """Rows flagged ``_halo=False`` plus, for each hot bucket, the last row before it for which ``source``
+    holds, however far back, flagged ``_halo=True``. Per bucket one row, found by partial aggregation."""
+    cols = marked.columns
+    found = F.max_by(F.struct(*cols), F.when(source, F.col("_rank")))
+    last = marked.filter(F.col("_hot")).groupBy("_ek", "_bucket").agg(found.alias("_row"))
+    before = Window.partitionBy("_ek").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    halo = (last.select("_bucket", F.last("_row", ignorenulls=True).over(before).alias("_row"))
+            .filter(F.col("_row").isNotNull())
+            .select(*[F.col("_bucket") if c == "_bucket" else F.col(f"_row.{c}").alias(c) for c in cols]))
+    return marked.withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_halo", F.lit(True)))
+
+
+def _season_key(season: str) -> Column:
+    return F.coalesce(F.col(season).cast("string"), F.lit("null"))
+
+
+def _season_prefix(marked: DataFrame, season: str, stats: list[str]) -> DataFrame:
     """Per (entity, bucket): map season -> sums over the entity's earlier buckets
     of that season (hot entities only; one row per bucket)."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for s in stats:
         aggs += [F.sum(s).alias(f"s_{s}"), F.count(s).alias(f"c_{s}")]
-    per_bucket = marked.filter(F.col("_hot")).groupBy(entity, "_bucket", season).agg(*aggs)
-    wp = Window.partitionBy(entity, season).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = marked.filter(F.col("_hot")).groupBy("_ek", "_bucket", _season_key(season).alias("_sk")).agg(*aggs)
+    wp = Window.partitionBy("_ek", "_sk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     names = ["n"] + [f"{k}_{s}" for s in stats for k in ("s", "c")]
-    prefix = per_bucket.select(entity, "_bucket", season,
+    prefix = per_bucket.select("_ek", "_bucket", "_sk",
                                *[F.coalesce(F.sum(n).over(wp), F.lit(0)).alias(n) for n in names])
-    return (prefix.groupBy(entity, "_bucket")
-            .agg(F.map_from_entries(F.collect_list(F.struct(season, F.struct(*names)))).alias("_pre")))
+    return (prefix.groupBy("_ek", "_bucket")
+            .agg(F.map_from_entries(F.collect_list(F.struct("_sk", F.struct(*names)))).alias("_pre")))
 
 
 def season_phase_of(game_num: Column) -> Column:
@@ -153,17 +177,27 @@ def season_phase_of(game_num: Column) -> Column:
     return phase
 
 
+def season_counters(stats: list[str]) -> list[str]:
+    """Names of the season-to-date counters of a row (rows, sums and counts before it)."""
+    return ["season_rows"] + [f"season_{k}_{s}" for s in stats for k in ("sum", "count")]
+
+
 def trailing_features(long: DataFrame, entity: str = "team", order: list[tuple[str, bool]] | None = None,
                       stats: list[str] | None = None, windows: list[int] | None = None,
                       std_stats: list[str] | None = None, date_col: str = "date",
                       season_col: str | None = "season", rest: bool = True, pace: bool = True,
                       trend: bool = True, rest_default: int = 3,
-                      split: SplitPolicy = SplitPolicy(), inclusive: bool = False) -> DataFrame:
+                      split: SplitPolicy = SplitPolicy(), inclusive: bool = False,
+                      season_stats: dict[str, str] | None = None, counters: bool = False,
+                      base: str | None = None) -> DataFrame:
     """W1-W9 for every row of ``long``: leak-free trailing means/stds over the
     previous w rows, pace and trend projections, rest days, season-to-date.
 
     ``stats``/``windows``/``std_stats`` narrow the output; ``season_col=None``
-    skips the season features, ``rest=False`` the rest features.
+    skips the season features, ``rest=False`` the rest features. ``season_stats``
+    maps season-to-date means to their stat (default: those of the games table).
+    ``counters`` adds the :func:`season_counters` they are made of; ``base`` names a struct of such
+    counters to add, for rows whose season began before the first row of ``long``.
     """
     order = order or GAME_ORDER
     stats = ROLLING_STATS if stats is None else stats
@@ -171,10 +205,8 @@ def trailing_features(long: DataFrame, entity: str = "team", order: list[tuple[s
     std_stats = VOLATILITY_STATS if std_stats is None else std_stats
     lookback = max(windows + [1 if rest else 0])
 
-    hot = hot_entities(long, entity, split)
-    any_hot = hot is None or len(hot) > 0
-    marked = mark_hot(long, entity, split, hot)
-    full = with_halo(marked, entity, order, lookback) if any_hot else marked.withColumn("_halo", F.lit(False))
+    marked, any_hot = mark_hot(long, entity, order, split)
+    full = with_halo(marked, lookback, split) if any_hot else marked.withColumn("_halo", F.lit(False))
     wt = Window.partitionBy(entity, "_bucket").orderBy(*order_by(order))
     cols: dict[str, Column] = {}
     for w in windows:
@@ -188,31 +220,39 @@ def trailing_features(long: DataFrame, entity: str = "team", order: list[tuple[s
     if rest:
         prev = F.lag(date_col).over(wt)
         cols["days_rest"] = F.coalesce(F.datediff(F.col(date_col), prev), F.lit(rest_default))
-    season_stats = {k: v for k, v in SEASON_STATS.items() if v in long.columns} if season_col else {}
+    if season_stats is None:
+        season_stats = {k: v for k, v in SEASON_STATS.items() if v in long.columns}
+    pre_stats = sorted(set(season_stats.values()))
     if season_col:
         ws = Window.partitionBy(entity, "_bucket", season_col, "_halo").orderBy(*order_by(order))
         before = ws.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         cols["_rn"] = F.row_number().over(ws)
-        for s in set(season_stats.values()):
+        for s in pre_stats:
             cols[f"_rs_{s}"] = F.sum(s).over(before)
             cols[f"_rc_{s}"] = F.count(s).over(before)
     out = full.withColumns(cols).filter(~F.col("_halo"))
 
     if season_col:
-        pre_stats = sorted(set(season_stats.values()))
+        own = lambda name: F.coalesce(F.col(base)[name], F.lit(0)) if base else F.lit(0)
         if any_hot:
-            pre = _season_prefix(marked, entity, season_col, pre_stats)
-            out = out.join(pre, [entity, "_bucket"], "left")
-            p = F.col("_pre")[F.col(season_col)]
+            out = out.join(_season_prefix(marked, season_col, pre_stats), ["_ek", "_bucket"], "left")
+            earlier = F.col("_pre")[_season_key(season_col)]
+            pre = lambda name: F.coalesce(earlier[name], F.lit(0))
         else:
-            p = F.lit(None).cast("struct<" + ",".join(
-                ["n:bigint"] + [f"{k}_{s}:bigint" for s in pre_stats for k in ("s", "c")]) + ">")
-        derived = {"game_num": (F.coalesce(p["n"], F.lit(0)) + F.col("_rn")).cast("int")}
-        for name, s in season_stats.items():
-            num = F.coalesce(p[f"s_{s}"], F.lit(0)) + F.coalesce(F.col(f"_rs_{s}"), F.lit(0))
-            den = F.coalesce(p[f"c_{s}"], F.lit(0)) + F.col(f"_rc_{s}")
-            derived[name] = F.when(den > 0, num.cast("double") / den)
+            pre = lambda name: F.lit(0)
+        rows = pre("n") + F.col("_rn") + own("season_rows")
+        derived = {"game_num": rows.cast("int")}
+        for s in pre_stats:
+            derived[f"_sum_{s}"] = pre(f"s_{s}") + F.coalesce(F.col(f"_rs_{s}"), F.lit(0)) + own(f"season_sum_{s}")
+            derived[f"_count_{s}"] = pre(f"c_{s}") + F.col(f"_rc_{s}") + own(f"season_count_{s}")
         out = out.withColumns(derived)
+        means = {name: F.when(F.col(f"_count_{s}") > 0, F.col(f"_sum_{s}").cast("double") / F.col(f"_count_{s}"))
+                 for name, s in season_stats.items()}
+        if counters:
+            means["season_rows"] = (F.col("game_num") - 1).cast("long")
+            for s in pre_stats:
+                means[f"season_sum_{s}"], means[f"season_count_{s}"] = F.col(f"_sum_{s}"), F.col(f"_count_{s}")
+        out = out.withColumns(means)
         out = out.withColumn("season_phase", season_phase_of(F.col("game_num")))
 
     post: dict[str, Column] = {}
@@ -271,13 +311,12 @@ def global_position(df: DataFrame, order: list[tuple[str, bool]], keep: list[str
     partition). The tagged frame is checkpointed to the shared checkpoint
     folder so both uses see one materialisation.
     """
-    from tandem.session import checkpoint_dir
+    from tandem.session import cut_lineage
 
-    checkpoint_dir(df.sparkSession)
     tagged = (df.select(*keep).orderBy(*order_by(order))
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = tagged.checkpoint(eager=True)
+    tagged = cut_lineage(tagged)
     per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_m0"))
     offsets = per_part.select(
         "_pid", "_m0",
@@ -321,7 +360,7 @@ def asof_latest(left: DataFrame, right: DataFrame, entity: str, payload: list[st
     (on equal dates the left row sorts before the right rows when strict,
     after them when inclusive) and ``last(payload, ignorenulls)`` over the
     preceding rows picks the as-of match. One shuffle by entity; hot entities
-    are split into day buckets and each bucket gets a one-row halo of the
+    are split into buckets and each bucket gets a one-row halo, the
     latest right row before it, so the result is identical.
     """
     right_order = right_order or GAME_ORDER
@@ -338,13 +377,8 @@ def asof_latest(left: DataFrame, right: DataFrame, entity: str, payload: list[st
                      *[F.col(c).alias(f"_o{i}") for i, (c, _) in enumerate(right_order[1:])])
     both = l.unionByName(r)
     order = [("_d", True), ("_kind", True)] + [(f"_o{i}", asc) for i, (_, asc) in enumerate(right_order[1:])]
-    policy = replace(split, split_col="_d")
-    hot = hot_entities(both, "_e", policy)
-    marked = mark_hot(both, "_e", policy, hot)
-    if hot is None or hot:
-        full = with_halo(marked, "_e", order, 1, source=F.col("_p").isNotNull())
-    else:
-        full = marked.withColumn("_halo", F.lit(False))
+    marked, any_hot = mark_hot(both, "_e", order, split)
+    full = with_last_source(marked, F.col("_p").isNotNull()) if any_hot else marked.withColumn("_halo", F.lit(False))
     w = Window.partitionBy("_e", "_bucket").orderBy(*order_by(order)).rowsBetween(Window.unboundedPreceding, -1)
     out = (full.withColumn("asof", F.last("_p", ignorenulls=True).over(w))
            .filter(~F.col("_halo") & F.col("_left").isNotNull()))

@@ -6,18 +6,21 @@ ranges are parameters, never the wall clock.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.functions.names import ROLLING_WINDOWS
+from tandem.functions.names import CONFIDENCE_TIERS, DEFAULT_GAME_NUM, DEFAULT_REST, ROLLING_WINDOWS
 from tandem.functions.scalars import number_of, round1, season_of
-from tandem.operators.evaluate import games_played, season_record
+from tandem.operators.incremental import FeatureSpec, FeatureState
 from tandem.operators.longform import team_games
 from tandem.operators.matchup import over_under_features, side_feature_columns_of
-from tandem.operators.windows import GAME_ORDER, SplitPolicy, asof_latest, latest_per_entity, trailing_features
+from tandem.operators.windows import (GAME_ORDER, SplitPolicy, asof_latest, mark_hot, order_by, trailing_features,
+                                      with_halo)
 from tandem.sources.dims import map_feed_ids
 from tandem.sources.feeds import completed_scores
-from tandem.sources.store import GAME_DEFAULTS, GAME_KEY, upsert_latest
+from tandem.sources.store import (GAME_DEFAULTS, GAME_KEY, log_predictions, scratch_path, upsert_into, upsert_latest,
+                                  upsert_schedule)
+from tandem.sources.versions import VersionedTable
 
 
 # --------------------------------------------------------------------------- D1, D2, D3
@@ -58,15 +61,51 @@ def ingest(games: DataFrame, scoreboard: DataFrame, boxscore: DataFrame, dim: Da
 
 
 def backfill_report(scoreboard: DataFrame, boxscore: DataFrame, dim: DataFrame, start, end) -> DataFrame:
-    """D3: one row per calendar day in [start, end] with the number of completed
-    events the feed delivered; days without data stay visible with 0."""
-    spine = (scoreboard.sparkSession.range(1)
-             .select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date")))
+    """D3 (counts only): one row per calendar day in [start, end] with the number of completed
+    events the feed holds; days without data stay visible with 0."""
+    spine = _days(scoreboard.sparkSession, start, end)
     got = (completed_scores(scoreboard, boxscore, dim).groupBy("date")
            .agg(F.count(F.lit(1)).alias("games_added")))
     return spine.join(got, "date", "left").select("date", F.coalesce("games_added", F.lit(0)).alias("games_added"))
 
 
+def _days(spark: SparkSession, start, end) -> DataFrame:
+    return spark.range(1).select(
+        F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"))
+
+
+def backfill(spark: SparkSession, table_path: str, ledger_path: str, scoreboard: DataFrame, boxscore: DataFrame,
+             dim: DataFrame, start, end, reference_mode: bool = True) -> DataFrame:
+    """D3: ingest every day of [start, end] that has not been ingested yet, in one upsert.
+
+    The ledger, a versioned table by month, lists the days that are done: those whose events in the
+    feed are all final and have a box score. Days in it are neither read from the feed nor written
+    again, so partitions without pending days keep their files; a day that the feed delivered in part
+    is ingested as far as it goes and taken again by the next run. The ledger is committed after the
+    games: a run killed in between repeats its days, which changes nothing (S4).
+
+    Returns a row per day: games_added by this run, and ``pending`` (false: done before)."""
+    ledger = VersionedTable(spark, ledger_path, "month")
+    days = _days(spark, start, end)
+    done = ledger.read().select("date") if ledger.current() else days.limit(0)
+    pending = days.join(done, "date", "left_anti")
+    feed = between_dates(scoreboard, start, end).join(pending, "date", "left_semi")
+    delta = feed_delta(feed, boxscore, dim, reference_mode).persist()  # merged, and counted by day
+    try:
+        upsert_into(spark, table_path, delta, GAME_KEY, order_col="game_id", coalesce_old=not reference_mode,
+                    defaults=GAME_DEFAULTS)
+        added = delta.groupBy("date").agg(F.count(F.lit(1)).alias("games_added"))
+        planned = feed.groupBy("date").agg(F.count(F.lit(1)).alias("planned"))
+        complete = planned.join(added, "date").filter(F.col("games_added") >= F.col("planned"))
+        ledger.commit(complete.select("date", "games_added", F.date_format("date", "yyyy-MM").alias("month")), replaced=[])
+        report = (days.join(pending.withColumn("pending", F.lit(True)), "date", "left").join(added, "date", "left")
+                  .select("date", F.coalesce("games_added", F.lit(0)).alias("games_added"),
+                          F.coalesce("pending", F.lit(False)).alias("pending")))
+        return spark.createDataFrame(report.collect(), report.schema)  # one row a day
+    finally:
+        delta.unpersist()
+
+
 # --------------------------------------------------------------------------- D5
 def team_snapshot(games: DataFrame, current_season: Column | int | None = None,
                   windows: list[int] | None = None, split: SplitPolicy = SplitPolicy()) -> DataFrame:
@@ -77,24 +116,77 @@ def team_snapshot(games: DataFrame, current_season: Column | int | None = None,
     do not exist, Q4)."""
     windows = windows or ROLLING_WINDOWS
     long = team_games(games)
-    feats = trailing_features(long, stats=["points_scored", "points_allowed", "total_points", "win"],
-                              windows=windows, std_stats=[], season_col=None, rest=False, pace=False,
-                              trend=False, split=split)
+    season = long.select(F.max("season")).scalar() if current_season is None else current_season
+    now = F.coalesce(F.col("season") == season, F.lit(False))
+    feats = trailing_features(long, stats=SNAPSHOT_STATS, windows=windows, std_stats=[], season_col=None, rest=False,
+                              pace=False, trend=False, split=split)
+    cols = {}
+    for w in windows:
+        for out, stat in (("avg_points_scored", "points_scored"), ("avg_points_allowed", "points_allowed"),
+                          ("avg_total_points", "total_points"), ("win_rate", "win"), ("avg_pace", "total_points")):
+            cols[f"{out}_{w}"] = F.col(f"{stat}_roll_{w}")
+    # newest row, games played and season record in one aggregation over the partitioning of the windows
+    row = F.struct("date", "season", *[c.alias(n) for n, c in cols.items()])
+    newest = F.struct("date", (-F.col("is_home")).alias("h"), "game_id")
+    here = lambda c: F.when(now, F.col(c))
+    out = feats.groupBy("team").agg(
+        F.max_by(row, newest).alias("_r"), F.count(F.lit(1)).alias("games_played"),
+        F.count_if(now).alias("_games"), F.sum(here("win")).alias("_wins"),
+        F.avg(here("points_scored")).alias("season_avg_scored"), F.avg(here("points_allowed")).alias("season_avg_allowed"))
+    wins = F.coalesce("_wins", F.lit(0).cast("long"))
+    return out.select("team", "_r.*", "games_played", wins.alias("season_wins"), "season_avg_scored", "season_avg_allowed",
+                      (F.col("_games") - wins).alias("season_losses"))
+
+
+SNAPSHOT_STATS = ["points_scored", "points_allowed", "total_points", "win"]
+
+
+def snapshot_state(spark: SparkSession, path: str, windows: list[int] | None = None, buckets: int = 64) -> FeatureState:
+    """The stored state that the team snapshot is refreshed from."""
+    spec = FeatureSpec(stats=SNAPSHOT_STATS, windows=windows or ROLLING_WINDOWS, rest=False,
+                       season_stats={"season_avg_scored": "points_scored", "season_avg_allowed": "points_allowed",
+                                     "season_win_share": "win"})
+    return FeatureState(spark, path, spec, buckets)
+
+
+def refresh_state(state: FeatureState, delta_games: DataFrame, games: DataFrame) -> DataFrame:
+    """D5, incremental: bring the state up to date with a delta that is already in ``games``.
+
+    Rows after their entity's newest row only extend it. Corrections and rows of earlier dates make
+    their entities start again from their history; all other entities cost nothing. Returns the entities touched."""
+    long = team_games(delta_games)
+    _, late = state.advance(long.select(*state.spec.columns))
+    again = late.select("team").distinct()
+    if not again.isEmpty():
+        state.rebuild(team_games(games), again)
+    return long.select("team").distinct()
+
+
+def snapshot_from_state(state: FeatureState, current_season: int | None = None,
+                        entities: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`team_snapshot` from the state. The current season is the latest one that any
+    entity has, so a snapshot is right for every entity also after a refresh of few."""
+    windows = state.spec.windows
+    rows = state.newest(entities)
+    if current_season is None:
+        season = state.rows().select(F.max("season")).scalar()
+    else:
+        season = F.lit(current_season)
+    now = F.coalesce(F.col("season") == season, F.lit(False))
+    # counters before the newest row, and the row itself
+    played = F.col("season_rows") + 1
+    total = lambda s: F.col(f"season_sum_{s}") + F.coalesce(F.col(s), F.lit(0))
+    mean = lambda s: F.when(now, F.try_divide(total(s), F.col(f"season_count_{s}") + F.col(s).isNotNull().cast("int")))
     cols = {}
     for w in windows:
-        cols[f"avg_points_scored_{w}"] = F.col(f"points_scored_roll_{w}")
-        cols[f"avg_points_allowed_{w}"] = F.col(f"points_allowed_roll_{w}")
-        cols[f"avg_total_points_{w}"] = F.col(f"total_points_roll_{w}")
-        cols[f"win_rate_{w}"] = F.col(f"win_roll_{w}")
-        cols[f"avg_pace_{w}"] = F.col(f"total_points_roll_{w}")
-    latest = latest_per_entity(feats.select("team", "date", "is_home", "game_id", "season",
-                                            *[c.alias(n) for n, c in cols.items()]))
-    rec = season_record(long, current_season)
-    out = (latest.drop("is_home", "game_id")
-           .join(games_played(long), "team")
-           .join(rec, "team", "left"))
-    return out.withColumns({"season_wins": F.coalesce("season_wins", F.lit(0).cast("long")),
-                            "season_losses": F.coalesce("season_losses", F.lit(0).cast("long"))})
+        for out, stat in (("avg_points_scored", "points_scored"), ("avg_points_allowed", "points_allowed"),
+                          ("avg_total_points", "total_points"), ("win_rate", "win"), ("avg_pace", "total_points")):
+            cols[f"{out}_{w}"] = F.col(f"{stat}_roll_{w}")
+    return rows.select(
+        "team", "date", "season", *[c.alias(n) for n, c in cols.items()], F.col("entity_rows").alias("games_played"),
+        F.when(now, total("win")).otherwise(F.lit(0)).alias("season_wins"),
+        mean("points_scored").alias("season_avg_scored"), mean("points_allowed").alias("season_avg_allowed"),
+        F.when(now, played - total("win")).otherwise(F.lit(0)).alias("season_losses"))
 
 
 # --------------------------------------------------------------------------- J4
@@ -111,11 +203,38 @@ def settle_predictions(predictions: DataFrame, games: DataFrame) -> DataFrame:
                           "prediction_error": F.col("predicted_total") - F.col("_actual")}).drop("_actual")
 
 
+def settle_into(spark: SparkSession, log_path: str, games: DataFrame, start=None, end=None) -> dict:
+    """J4 on the stored log (a versioned table by month): predictions for completed games of the given
+    dates get their result, others stay as they are. Only the months of these dates are rewritten.
+
+    Returns, observed during that write, ``games_settled`` (keys of completed games) and
+    ``predictions_updated`` (log rows that got a result)."""
+    log = VersionedTable(spark, log_path, "game_month")
+    played = between_dates(games.filter(F.col("score_home").isNotNull() & F.col("score_away").isNotNull()), start, end)
+    done, settled = Observation(), Observation()
+    results = (played.groupBy(F.col("date").alias("game_date"), "away", "home")
+               .agg(F.max_by((F.col("score_home") + F.col("score_away")).cast("double"), "game_id").alias("_actual"))
+               .observe(done, F.count(F.lit(1)).alias("games_settled")))
+    months = [name.split("=", 1)[1] for name in log.current().folders]  # as many as the log has months
+    months = [m for m in months if (start is None or m >= str(start)[:7]) and (end is None or m <= str(end)[:7])]
+    rows = log.read().filter(log.partitions_of(months))
+    actual = F.coalesce("_actual", "actual_total")
+    merged = (rows.join(results, ["game_date", "away", "home"], "left")
+              .withColumns({"actual_total": actual, "prediction_error": F.col("predicted_total") - actual})
+              .observe(settled, F.count_if(F.col("_actual").isNotNull()).alias("predictions_updated")))
+    log.commit(merged.select(*rows.columns), months)
+    return {**done.get, **settled.get}
+
+
 # --------------------------------------------------------------------------- D8, J9, D9
-def build_slate(scoreboard: DataFrame, dim: DataFrame, status_scheduled: int = 1) -> DataFrame:
-    """Scheduled events with both feed ids resolved to codes (unresolved
-    rows dropped), time default 'TBD', status default scheduled."""
-    s = scoreboard.filter(F.coalesce(F.col("game_status"), F.lit(status_scheduled)) == status_scheduled)
+def build_slate(scoreboard: DataFrame, dim: DataFrame, status_scheduled: int = 1, date=None,
+                all_statuses: bool = False) -> DataFrame:
+    """Events with both feed ids resolved to codes (unresolved rows dropped), time default
+    'TBD', status default scheduled. ``date`` takes one day's events; ``all_statuses`` also those that
+    are under way or final (the original lists a day's events whatever their status)."""
+    s = between_dates(scoreboard, date, date)
+    if not all_statuses:
+        s = s.filter(F.coalesce(F.col("game_status"), F.lit(status_scheduled)) == status_scheduled)
     s = map_feed_ids(s, "away_team_id", dim, "away")
     s = map_feed_ids(s, "home_team_id", dim, "home")
     return s.filter(F.col("away").isNotNull() & F.col("home").isNotNull()).select(
@@ -141,16 +260,29 @@ def record_slate(scored: DataFrame, model_version: str = "v1.0") -> tuple[DataFr
     return sched, preds
 
 
+def record_slate_into(spark: SparkSession, schedule_path: str, log_path: str, scored: DataFrame,
+                      model_version: str = "v1.0", entities: DataFrame | None = None) -> dict:
+    """D9 with its writes: schedule upserted (S13), predictions logged (S12); returns the counts."""
+    sched, preds = record_slate(scored, model_version)
+    upserted, rejected = upsert_schedule(spark, schedule_path, sched, entities)
+    if entities is not None:
+        from tandem.sources.store import validated
+        preds, _ = validated(preds, entities=entities, strict_line=False)
+    seen = Observation()
+    log_predictions(spark, log_path, preds.observe(seen, F.count(F.lit(1)).alias("n")))
+    return {"scheduled": upserted["from_delta"], "logged": seen.get["n"], "rejected": rejected.count()}
+
+
 # --------------------------------------------------------------------------- L9, L11, L12
 def serve_features(slate: DataFrame, feats: DataFrame, windows: list[int] | None = None,
-                   post_game: bool = False, line_col: str = "vegas_total",
+                   post_game: bool = False, line_col: str | None = None,
                    split: SplitPolicy = SplitPolicy(), start_month: int = 10) -> DataFrame:
     """Feature row of each unplayed matchup from each side's latest
     feature row before the event date (J3 as-of, both sides in one pass).
 
     Reference mode: the latest row's own (pre-game) features, rest default 2
-    and game number default 40 when missing, line features NULL (Q5); a side
-    without history drops the matchup.
+    and game number default 40 when missing, line features NULL unless ``line_col``
+    names the slate's line (Q5); a side without history drops the matchup.
 
     ``post_game`` (fixed mode, Q3): ``feats`` must be computed with
     ``inclusive=True`` (windows end at the latest game); rest is measured from
@@ -159,23 +291,26 @@ def serve_features(slate: DataFrame, feats: DataFrame, windows: list[int] | None
     scheduled event opens a new season.
     """
     windows = windows or ROLLING_WINDOWS
-    cols = side_feature_columns_of(feats)
-    sides = slate.select(F.explode(F.array(
-        F.struct(F.col("game_id"), F.col("game_date"), F.col("home").alias("team"), F.lit(1).alias("is_home")),
-        F.struct(F.col("game_id"), F.col("game_date"), F.col("away").alias("team"), F.lit(0).alias("is_home"))
-    )).alias("s")).select("s.*")
     # as-of on narrow keys (the feature windows are pruned from this branch),
     # then fetch the matched feature rows by their unique (game_id, is_home):
     # the matched side is small (two rows per slate event), the wide feature
     # rows are not shuffled for the as-of
     keys = feats.select("team", "date", "is_home", "game_id")
-    m = asof_latest(sides, keys, "team", ["game_id", "is_home"], left_date="game_date",
+    m = asof_latest(_slate_sides(slate), keys, "team", ["game_id", "is_home"], left_date="game_date",
                     right_order=GAME_ORDER, split=split)
     m = m.filter(F.col("asof").isNotNull()).select(
-        "game_id", "game_date", "is_home", F.col("asof.game_id").alias("_fg"), F.col("asof.is_home").alias("_fh"))
+        "game_id", "game_date", F.col("is_home").alias("side"), F.col("asof.game_id").alias("_fg"),
+        F.col("asof.is_home").alias("_fh"))
+    return _served(slate, feats, m, windows, post_game, line_col, start_month)
+
+
+def _served(slate: DataFrame, feats: DataFrame, match: DataFrame, windows: list[int], post_game: bool,
+            line_col: str | None, start_month: int) -> DataFrame:
+    """Slate rows with both sides' features; ``match`` names the feature row of each (game_id, side)."""
+    cols = side_feature_columns_of(feats)
     payload = cols + (["date", "season"] if post_game else [])
     rows = feats.select(F.col("game_id").alias("_fg"), F.col("is_home").alias("_fh"), F.struct(*payload).alias("asof"))
-    m = m.join(rows, ["_fg", "_fh"])
+    m = match.join(rows, ["_fg", "_fh"])
     if post_game:
         from tandem.operators.windows import season_phase_of
         a = lambda c: F.col(f"asof.{c}")
@@ -188,19 +323,67 @@ def serve_features(slate: DataFrame, feats: DataFrame, windows: list[int] | None
         for c in ("season_ppg", "season_papg", "season_total_avg", "season_win_pct"):
             fixed[c] = F.when(same, a(c))
         m = m.withColumn("asof", F.struct(*[fixed[c].alias(c) for c in cols]))
-    side = lambda flag: F.first(F.when(F.col("is_home") == flag, F.col("asof")), ignorenulls=True)
+    side = lambda flag: F.first(F.when(F.col("side") == flag, F.col("asof")), ignorenulls=True)
     paired = m.groupBy("game_id").agg(side(1).alias("_h"), side(0).alias("_a"))
     paired = paired.filter(F.col("_h").isNotNull() & F.col("_a").isNotNull())
     flat = paired.select("game_id", *[F.col(f"_h.{c}").alias(f"home_{c}") for c in cols],
                          *[F.col(f"_a.{c}").alias(f"away_{c}") for c in cols])
     flat = flat.withColumns({
-        "home_days_rest": F.coalesce("home_days_rest", F.lit(2)), "away_days_rest": F.coalesce("away_days_rest", F.lit(2)),
+        "home_days_rest": F.coalesce("home_days_rest", F.lit(DEFAULT_REST)),
+        "away_days_rest": F.coalesce("away_days_rest", F.lit(DEFAULT_REST)),
         "home_is_b2b": F.coalesce("home_is_b2b", F.lit(0)), "away_is_b2b": F.coalesce("away_is_b2b", F.lit(0)),
-        "home_game_num": F.coalesce("home_game_num", F.lit(40)), "away_game_num": F.coalesce("away_game_num", F.lit(40)),
+        "home_game_num": F.coalesce("home_game_num", F.lit(DEFAULT_GAME_NUM)),
+        "away_game_num": F.coalesce("away_game_num", F.lit(DEFAULT_GAME_NUM)),
     })
+    line = F.lit(None).cast("double") if line_col is None else F.col(line_col).cast("double")
     out = slate.join(flat, "game_id")
-    mu = over_under_features(out.withColumn("_noline", F.lit(None).cast("double")), windows, line="_noline")
-    return mu.drop("_noline")
+    return over_under_features(out.withColumn("_line", line), windows, line="_line").drop("_line")
+
+
+def serve_from_history(slate: DataFrame, long: DataFrame, windows: list[int] | None = None, post_game: bool = False,
+                       line_col: str | None = None, split: SplitPolicy = SplitPolicy(), start_month: int = 10) -> DataFrame:
+    """L9 without the features of the whole history: :func:`serve_features` of a slate in two phases.
+
+    1. On narrow rows (entity, order, season and the four stats of season-to-date means): the as-of match
+       of each side, the season features, and which rows lie within the last 15 before a match.
+    2. Only those rows, at most 16 a match, are fetched whole, and their windows computed.
+
+    ``line_col`` (Q5): None serves with the line unknown, as the original does; a column of the slate
+    gives the features that depend on the line their value where it is known at serve time."""
+    windows = windows or ROLLING_WINDOWS
+    spark = slate.sparkSession
+    keys = ["team", "date", "is_home", "game_id", "season"]
+    narrow = long.select(*keys, *SNAPSHOT_STATS)
+    sides = _slate_sides(slate)
+    match = asof_latest(sides, narrow, "team", ["game_id", "is_home"], left_date="game_date", right_order=GAME_ORDER, split=split)
+    match = match.filter(F.col("asof").isNotNull()).select(
+        "game_id", "game_date", F.col("is_home").alias("side"), F.col("asof.game_id").alias("_fg"),
+        F.col("asof.is_home").alias("_fh"))
+    path = scratch_path(spark, "slate-match")  # two rows a slate event; read by both phases
+    match.write.parquet(path)
+    match = spark.read.schema(match.schema).parquet(path)
+    matched = match.select(F.col("_fg").alias("game_id"), F.col("_fh").alias("is_home"), F.lit(True).alias("_hit")).distinct()
+
+    season = trailing_features(narrow, stats=[], std_stats=[], windows=[], rest=False, pace=False, trend=False, split=split,
+                               inclusive=post_game)
+    flagged = season.join(matched, ["game_id", "is_home"], "left")
+    marked, any_hot = mark_hot(flagged, "team", GAME_ORDER, split)
+    reach = max(windows)
+    full = with_halo(marked, reach, split, ahead=True) if any_hot else marked.withColumn("_halo", F.lit(False))
+    ahead = Window.partitionBy("team", "_bucket").orderBy(*order_by(GAME_ORDER)).rowsBetween(0, reach)
+    needed = full.withColumn("_near", F.max("_hit").over(ahead)).filter(F.col("_near") & ~F.col("_halo"))
+    season_cols = ["game_num", "season_ppg", "season_papg", "season_total_avg", "season_win_pct", "season_phase"]
+    rows = long.join(needed.select("game_id", "is_home", "_hit", *season_cols), ["game_id", "is_home"])
+    feats = trailing_features(rows.withColumnRenamed("_hit", "matched"), windows=windows, season_col=None, split=split,
+                              inclusive=post_game).filter("matched").drop("matched")
+    return _served(slate, feats, match, windows, post_game, line_col, start_month)
+
+
+def _slate_sides(slate: DataFrame) -> DataFrame:
+    return slate.select(F.explode(F.array(
+        F.struct(F.col("game_id"), F.col("game_date"), F.col("home").alias("team"), F.lit(1).alias("is_home")),
+        F.struct(F.col("game_id"), F.col("game_date"), F.col("away").alias("team"), F.lit(0).alias("is_home"))
+    )).alias("s")).select("s.*")
 
 
 def recommend(df: DataFrame, pred: str = "predicted_total", line: str = "vegas_total") -> DataFrame:
@@ -210,40 +393,85 @@ def recommend(df: DataFrame, pred: str = "predicted_total", line: str = "vegas_t
     p, l = F.col(pred), F.col(line)
     edge = round1(p - l)
     rec = F.when(l.isNull(), F.lit(None).cast("string")).when(p > l, F.lit("OVER")).otherwise(F.lit("UNDER"))
-    tier = (F.when(l.isNull(), F.lit(None).cast("string")).when(F.abs(edge) >= 5, F.lit("HIGH"))
-            .when(F.abs(edge) >= 3, F.lit("MODERATE")).otherwise(F.lit("SMALL")))
+    tier = F.when(l.isNull(), F.lit(None).cast("string"))
+    for least, name in CONFIDENCE_TIERS:
+        tier = tier.when(F.abs(edge) >= least, F.lit(name))
+    tier = tier.otherwise(F.lit("SMALL"))
     return df.withColumns({"edge": F.when(l.isNotNull(), edge), "recommendation": rec, "confidence": tier,
                            pred: round1(p)})
 
 
-
-
 # --------------------------------------------------------------------------- D4, D7
 def daily_update(spark, table_path: str, scoreboard: DataFrame, boxscore: DataFrame, dim: DataFrame,
-                 predictions: DataFrame, reference_mode: bool = True, start=None, end=None) -> dict[str, DataFrame]:
+                 predictions: DataFrame | None = None, reference_mode: bool = True, start=None, end=None,
+                 log_path: str | None = None) -> dict:
     """Ingest the feed of the given dates into the stored table (D2 + S4 on touched
-    partitions), settle the prediction log against it (J4), refresh the team
-    snapshot (D5) and summarise the warehouse with the whole log (A1), in that order."""
+    partitions), settle the predictions of these dates against it (J4), refresh the team
+    snapshot (D5) and summarise the warehouse with the whole log (A1), in that order.
+
+    With ``log_path`` the stored log is settled in place; ``predictions`` (a frame) is settled as a
+    view. ``counts`` holds games_added, games_settled and predictions_updated, as observed."""
     from tandem.operators.evaluate import warehouse_stats
-    from tandem.sources.store import GAME_KEY, upsert_into
 
     delta = feed_delta(between_dates(scoreboard, start, end), boxscore, dim, reference_mode)
-    upsert_into(spark, table_path, delta, GAME_KEY, order_col="game_id", coalesce_old=not reference_mode,
-                defaults=GAME_DEFAULTS)
-    games = spark.read.parquet(table_path)
-    settled = settle_predictions(predictions, games)
+    added = upsert_into(spark, table_path, delta, GAME_KEY, order_col="game_id", coalesce_old=not reference_mode,
+                        defaults=GAME_DEFAULTS)
+    games = VersionedTable(spark, table_path).read()
+    counts = {"games_added": added["from_delta"]}
+    if log_path is not None:
+        counts.update(settle_into(spark, log_path, games, start, end))
+        settled = VersionedTable(spark, log_path, "game_month").read()
+    else:
+        settled = settle_predictions(predictions, games)
     return {"games": games, "settled": settled, "snapshot": team_snapshot(games),
-            "stats": warehouse_stats(games, predictions)}
+            "stats": warehouse_stats(games, settled), "counts": counts}
 
 
 def evaluate_job(scored: DataFrame, test_seasons: list[int], pred: str = "prediction",
-                 actual: str = "actual_total", line: str = "total") -> DataFrame:
-    """On the held-out seasons, error metrics (A5, A6) and betting results
-    (A8-A10) in one aggregation pass; the per-threshold, per-side and monthly
-    breakdowns (A11-A13) are separate aggregates over the same persisted frame."""
-    from tandem.operators.evaluate import bet_outcomes
-    test = scored.filter(F.col("season").isin(test_seasons))
+                 actual: str = "actual_total", line: str = "total", date_col: str = "date") -> DataFrame:
+    """Error metrics (A5, A6), betting results (A8-A10) and the breakdowns by minimum edge (A11), side
+    (A12) and month (A13) of the held-out seasons, from one scan and one shuffle.
+
+    Rows are aggregated once over the grouping sets (), (side), (month), (edge level), partially in each
+    task; what leaves it is as many rows as there are months, plus a dozen. A row's edge level is
+    min(10, floor(|edge|)), and a minimum edge adds up the levels from it on (J8). Output: ``part`` (all, edge,
+    side, month), ``key``, bets, wins, pushes, losses, win_rate, profit, roi_pct, and mae, rmse for ``all``.
+    Losses follow the original: without pushes in ``all``, bets - wins elsewhere."""
+    from tandem.functions.names import EDGE_THRESHOLDS, RISK, WIN_PAYOUT
+    from tandem.functions.scalars import month_key, safe_ratio
+    from tandem.operators.evaluate import pick_flags
+
+    f = pick_flags(pred, actual, line)
     p, y = F.col(pred), F.col(actual)
-    mae = test.select(F.avg(F.abs(p - y))).scalar()
-    rmse = test.select(F.sqrt(F.avg((p - y) * (p - y)))).scalar()
-    return bet_outcomes(test, pred, actual, line).withColumns({"mae": mae, "rmse": rmse})
+    edge = F.abs(p - F.col(line))
+    top = max(EDGE_THRESHOLDS)
+    rows = scored.filter(F.col("season").isin(test_seasons)).select(
+        F.when(f["says_over"], "OVER").otherwise("UNDER").alias("side"), month_key(F.col(date_col)).alias("month"),
+        F.when(edge >= min(EDGE_THRESHOLDS), F.least(F.floor(edge).cast("int"), F.lit(top))).alias("level"),
+        f["correct"].alias("correct"), f["push"].alias("push"), F.abs(p - y).alias("err"))
+    sums = [F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("bets"), F.count_if("correct").alias("wins"),
+            F.count_if("push").alias("pushes"), F.avg("err").alias("mae"), F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse")]
+    each = rows.groupingSets([[], ["side"], ["month"], ["level"]], "side", "month", "level").agg(*sums)
+    # ids of (side, month, level): 7 = none of them, 3 = side, 5 = month, 6 = level
+    part = (F.when(F.col("gid") == 7, "all").when(F.col("gid") == 3, "side").when(F.col("gid") == 5, "month").otherwise("edge"))
+    each = each.withColumn("part", part).filter((F.col("part") != "edge") | F.col("level").isNotNull())
+    # every edge level counts for the thresholds up to it: ten rows become fifty-five at most
+    each = each.withColumn("at", F.when(F.col("part") == "edge", F.sequence(F.lit(min(EDGE_THRESHOLDS)), F.col("level")))
+                           .otherwise(F.array(F.lit(0)))).withColumn("at", F.explode("at"))
+    key = F.coalesce("side", "month", F.when(F.col("part") == "edge", F.col("at").cast("string")))
+    sides = scored.sparkSession.range(3).select(
+        F.when(F.col("id") == 2, "all").otherwise("side").alias("part"),
+        F.when(F.col("id") == 0, "OVER").when(F.col("id") == 1, "UNDER").alias("key"))
+    none = [F.lit(0).cast("long").alias(c) for c in ("bets", "wins", "pushes")] + [F.lit(None).cast("double").alias(c) for c in ("mae", "rmse")]
+    out = (each.select("part", key.alias("key"), "bets", "wins", "pushes", "mae", "rmse")
+           .unionByName(sides.select("*", *none))  # shown with no bets too
+           .groupBy("part", "key").agg(*[F.sum(c).alias(c) for c in ("bets", "wins", "pushes")],
+                                       F.max("mae").alias("mae"), F.max("rmse").alias("rmse")))
+    whole = F.col("part") == "all"
+    out = out.withColumn("losses", F.col("bets") - F.col("wins") - F.when(whole, F.col("pushes")).otherwise(0))
+    profit, staked = F.col("wins") * WIN_PAYOUT - F.col("losses") * RISK, (F.col("wins") + F.col("losses")) * RISK
+    return out.withColumns({
+        "win_rate": F.coalesce(safe_ratio(F.col("wins") * 100, F.col("wins") + F.col("losses")), F.lit(0.0)),
+        "profit": profit, "roi_pct": F.coalesce(safe_ratio(profit * 100, staked), F.lit(0.0)),
+        "mae": F.when(whole, F.col("mae")), "rmse": F.when(whole, F.col("rmse"))}).select(
+        "part", "key", "bets", "wins", "pushes", "losses", "win_rate", "profit", "roi_pct", "mae", "rmse")

@@ -128,8 +128,7 @@ def q_events_trailing(spark, sf):
     from tandem.sources.tables import read_table
     ev = read_table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
     f = trailing_features(ev, entity="user_id", order=EVENT_ORDER, stats=["value"], std_stats=["value"],
-                          season_col=None, rest=False, pace=False, trend=False, date_col="ts",
-                          split=SplitPolicy(split_col="ts"))
+                          season_col=None, rest=False, pace=False, trend=False, date_col="ts")
     return f.select("event_id", "user_id", *[F.round(c, 6).alias(c) for c in EV_COLS])
 
 
@@ -268,6 +267,44 @@ def q_skew(spark, sf):
     return rounded(f, KEY + SKEW_COLS)
 
 
+def _odd_sql(games: str) -> str:
+    from tandem.plans.oracle import GAMES_CTES, LONG_CTES
+    f = ("f AS (SELECT game_id, is_home, team, " + feature_select(windows=(3, 10, 15),
+         stats=["points_scored"], std_stats=["total_points"], pace=False, trend=False) + " FROM long)")
+    return ("WITH " + GAMES_CTES.strip() + ",\n" + games + ",\n" + LONG_CTES.replace("FROM games", "FROM gs").strip() + ",\n" + f + "\n"
+            + project(KEY + SKEW_COLS, "f"))
+
+
+def _odd_features(games):
+    policy = SplitPolicy(hot_rows=1000, bucket_rows=500)
+    f = trailing_features(team_games(games), stats=["points_scored"], windows=[3, 10, 15], std_stats=["total_points"],
+                          pace=False, trend=False, split=policy)
+    return rounded(f, KEY + SKEW_COLS)
+
+
+@register("W1_W9_hot_day", _odd_sql(
+    "gs AS (SELECT * REPLACE (CASE WHEN game_id % 3 <> 0 AND away <> 't0' THEN 't0' ELSE home END AS home, "
+    "CASE WHEN game_id % 3 <> 0 AND away <> 't0' THEN DATE '1997-11-02' ELSE date END AS date, "
+    "CASE WHEN game_id % 3 <> 0 AND away <> 't0' THEN 1998 ELSE season END AS season) FROM games)"))
+def q_hot_day(spark, sf):
+    """One entity holds a third of all rows on one single day: its buckets lie within the day."""
+    moved = ((F.col("game_id") % 3) != 0) & (F.col("away") != "t0")
+    g = load_games(spark, sf)
+    return _odd_features(g.withColumns({
+        "home": F.when(moved, "t0").otherwise(F.col("home")), "season": F.when(moved, 1998).otherwise(F.col("season")),
+        "date": F.when(moved, F.lit("1997-11-02").cast("date")).otherwise(F.col("date"))}))
+
+
+@register("W1_W9_null_entity", _odd_sql(
+    "gs AS (SELECT * REPLACE (CASE WHEN game_id % 3 = 0 THEN home END AS home, "
+    "CASE WHEN game_id % 11 = 0 THEN NULL ELSE season END AS season) FROM games)"))
+def q_null_entity(spark, sf):
+    """A third of all rows have no entity (one group, as in SQL), and some no season."""
+    g = load_games(spark, sf)
+    return _odd_features(g.withColumns({"home": F.when(F.col("game_id") % 3 == 0, F.col("home")),
+                                        "season": F.when(F.col("game_id") % 11 != 0, F.col("season"))}))
+
+
 def _completed_sql():
     body = with_ctes(*processed_ctes())
     played = "gp AS (SELECT * FROM games WHERE score_home IS NOT NULL AND score_away IS NOT NULL)"

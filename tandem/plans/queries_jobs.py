@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from tandem.plans import jobs as J
@@ -25,15 +27,43 @@ def q_daily(spark, sf):
     """Ingest -> settle -> snapshot -> stats on a stored table."""
     from tandem.plans.queries_sources import _landing, _prediction_log
     games, dim, sb, bx, _ = _landing(spark, sf)
-    path = S.scratch_path(spark, "daily-games")
-    S.write_games(games, path)
-    out = J.daily_update(spark, path, sb, bx, dim, _prediction_log(spark, sf))
+    table = S.create_table(spark, S.scratch_path(spark, "daily-games"), games)
+    out = J.daily_update(spark, table.path, sb, bx, dim, _prediction_log(spark, sf))
     st = out["stats"]
     return st.select("total_games", "earliest_game", "latest_game",
                      F.array_join(F.transform("seasons", lambda x: x.cast("string")), ",").alias("seasons"),
                      "teams", "total_predictions")
 
 
+def _d4_dates_sql():
+    from tandem.plans.queries_sources import PLAYED, PRED_SQL
+    window = "BETWEEN (SELECT max(date) - INTERVAL 60 DAY FROM games) AND (SELECT max(date) - INTERVAL 10 DAY FROM games)"
+    return with_ctes(*PRED_SQL, f"done AS (SELECT DISTINCT date AS game_date, away, home FROM games WHERE {PLAYED} AND date {window})") + """
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM done) AS games_added, (SELECT CAST(count(*) AS BIGINT) FROM done) AS games_settled,
+  (SELECT CAST(count(*) AS BIGINT) FROM preds JOIN done USING (game_date, away, home)) AS predictions_updated,
+  (SELECT CAST(count(*) AS BIGINT) FROM preds) AS total_predictions,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT team FROM long)) AS teams"""
+
+
+@register("D4_daily_update_dates", _d4_dates_sql())
+def q_daily_dates(spark, sf):
+    """The daily job over a range of dates on stored tables: what it added, settled and updated, observed
+    while writing, then checked against the log as it lies there."""
+    from tandem.plans.queries_sources import _landing, _prediction_log
+    games, dim, sb, bx, _ = _landing(spark, sf)
+    hi = games.agg(F.max("date")).first()[0]
+    table = S.create_table(spark, S.scratch_path(spark, "daily-games"), games)
+    log = S.scratch_path(spark, "daily-log")
+    S.log_predictions(spark, log, _prediction_log(spark, sf))
+    out = J.daily_update(spark, table.path, sb, bx, dim, start=hi - timedelta(days=60), end=hi - timedelta(days=10), log_path=log)
+    counts = {k: F.lit(v).cast("long").alias(k) for k, v in out["counts"].items()}
+    in_log = F.count_if(F.col("actual_total").isNotNull() & F.col("prediction_error").isNotNull())
+    return out["settled"].agg(in_log.alias("predictions_updated"), F.count(F.lit(1)).alias("total_predictions")).select(
+        counts["games_added"], counts["games_settled"],
+        F.when(F.col("predictions_updated") == counts["predictions_updated"], F.col("predictions_updated")).alias("predictions_updated"),
+        "total_predictions", out["snapshot"].select(F.count(F.lit(1))).scalar().alias("teams"))
+
+
 def _d7_sql():
     from tandem.plans.queries_eval import SCORED
     return with_ctes(*SCORED, """
@@ -50,11 +80,45 @@ SELECT round(mae, 6) AS mae, round(rmse, 6) AS rmse, bets, wins, pushes, bets -
 def q_eval_job(spark, sf):
     """Held-out seasons 2000-2001 scored with the matchup estimate."""
     from tandem.plans.queries_eval import scored_frame
-    out = J.evaluate_job(scored_frame(spark, sf), [2000, 2001])
+    out = J.evaluate_job(scored_frame(spark, sf), [2000, 2001]).filter(F.col("part") == "all")
     return out.select(F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"), "bets", "wins", "pushes",
                       "losses", F.round("roi_pct", 6).alias("roi_pct"))
 
 
+def _d7_parts_sql():
+    from tandem.plans.queries_eval import SCORED
+    correct = "coalesce(prediction > total, false) = coalesce(actual_total > total, false)"
+    agg = (f"CAST(count(*) AS BIGINT) AS bets, CAST(count(*) FILTER (WHERE {correct}) AS BIGINT) AS wins, "
+           "CAST(count(*) FILTER (WHERE coalesce(actual_total = total, false)) AS BIGINT) AS pushes")
+    side = "CASE WHEN coalesce(prediction > total, false) THEN 'OVER' ELSE 'UNDER' END"
+    return with_ctes(*SCORED, "t AS (SELECT * FROM scored WHERE season IN (2000, 2001))", "k AS (SELECT range AS e FROM range(1, 11))", f"""
+parts AS (
+  SELECT 'all' AS part, NULL AS key, {agg}, bets - wins - pushes AS losses, avg(abs(prediction - actual_total)) AS mae,
+    sqrt(avg((prediction - actual_total) * (prediction - actual_total))) AS rmse FROM t
+  UNION ALL SELECT 'side', {side}, {agg}, bets - wins, NULL, NULL FROM t GROUP BY 2
+  UNION ALL SELECT 'month', strftime(date, '%Y-%m'), {agg}, bets - wins, NULL, NULL FROM t GROUP BY 2
+  UNION ALL SELECT 'edge', CAST(e AS VARCHAR), {agg}, bets - wins, NULL, NULL FROM k JOIN t ON abs(prediction - total) >= e GROUP BY 2)""") + """
+SELECT part, key, bets, wins, pushes, losses, round(coalesce(wins * 100.0 / nullif(wins + losses, 0), 0), 6) AS win_rate,
+  wins * 100 - losses * 110 AS profit,
+  round(coalesce((wins * 100 - losses * 110) * 100.0 / nullif((wins + losses) * 110, 0), 0), 6) AS roi_pct,
+  round(mae, 6) AS mae, round(rmse, 6) AS rmse FROM parts"""
+
+
+@register("D7_evaluate_breakdowns", _d7_parts_sql())
+def q_eval_parts(spark, sf):
+    """The whole evaluation in one pass: totals, minimum edges, sides and months."""
+    from tandem.plans.queries_eval import scored_frame
+    out = J.evaluate_job(scored_frame(spark, sf), [2000, 2001])
+    return out.withColumns({c: F.round(c, 6) for c in ("win_rate", "roi_pct", "mae", "rmse")})
+
+
+@register("S17_load_stored", with_ctes() + "SELECT * FROM games")
+def q_stored(spark, sf):
+    """A stored table with rows is loaded; the CSV, which does not exist here, is not read."""
+    table = S.create_table(spark, S.scratch_path(spark, "stored-games"), load_games(spark, sf))
+    return S.load_or_seed(spark, table.path, S.scratch_path(spark, "no-csv")).select(*GAME_COLUMNS)
+
+
 @register("S17_load_or_seed", QUERIES["S1_S2_csv_conform"][1])
 def q_seed(spark, sf):
     """No stored table yet -> seed from the CSV export (S1 + S2)."""

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from tandem.functions.names import ALLOWED_GAME_COLUMNS
 from tandem.operators import filters as P
 from tandem.operators.evaluate import slate_summary
+from tandem.operators.longform import team_games
 from tandem.plans import jobs as J
 from tandem.plans.catalog import register
 from tandem.plans.oracle import FEAT_CTE, GAME_COLUMNS, TEAM_ORDER, matchup_select, side_columns, with_ctes
 from tandem.plans.pipeline import team_features
 from tandem.sources import store as S
 from tandem.sources.dims import entity_dimension, full_names, map_codes, validate_entity
-from tandem.sources.feeds import (BOXSCORE_SCHEMA, SCOREBOARD_SCHEMA, SEASON_LOG_SCHEMA, boxscore_rows,
-                                  completed_scores, landing_from_games, scoreboard_rows, season_finder)
+from tandem.sources.feeds import (SEASON_LOG_SCHEMA, checked_boxscore, checked_scoreboard, completed_scores,
+                                  landing_from_games, read_boxscore, read_scoreboard, season_finder)
 from tandem.sources.games import load_games
 from tandem.sources.tables import read_table
 
@@ -28,8 +29,8 @@ def _landing(spark, sf, feeds=("scoreboard", "boxscore", "season_log")):
     games = load_games(spark, sf)
     paths = landing_from_games(games, S.scratch_path(spark, "landing"), feeds)
     dim = entity_dimension(read_table(spark, sf, "customer"))
-    sb = scoreboard_rows(spark.read.schema(SCOREBOARD_SCHEMA).json(paths["scoreboard"])) if "scoreboard" in paths else None
-    bx = boxscore_rows(spark.read.schema(BOXSCORE_SCHEMA).json(paths["boxscore"])) if "boxscore" in paths else None
+    sb = read_scoreboard(spark, paths["scoreboard"]) if "scoreboard" in paths else None
+    bx = read_boxscore(spark, paths["boxscore"]) if "boxscore" in paths else None
     return games, dim, sb, bx, paths
 
 
@@ -79,12 +80,111 @@ def q_ingest_coalesce(spark, sf):
 @register("S3_S4_upsert_parquet", _ingest_sql(False))
 def q_upsert_parquet(spark, sf):
     """S3 write partitioned by season, then S4 against the stored table: only
-    touched seasons are read, merged and overwritten (dynamic partitions)."""
+    touched seasons are read, merged and committed as its next version."""
     games, dim, sb, bx, _ = _landing(spark, sf)
-    path = S.scratch_path(spark, "games")
-    S.write_games(games, path)
-    S.upsert_into(spark, path, J.feed_delta(sb, bx, dim), S.GAME_KEY, order_col="game_id")
-    return spark.read.parquet(path).select(*GAME_COLUMNS)
+    table = S.create_table(spark, S.scratch_path(spark, "games"), games)
+    S.upsert_into(spark, table.path, J.feed_delta(sb, bx, dim), S.GAME_KEY, order_col="game_id")
+    return table.read().select(*GAME_COLUMNS)
+
+
+def _null_season_sql():
+    cols = ", ".join(GAME_COLUMNS)
+    q0 = ", ".join(f"CAST(0 AS BIGINT) AS {p}_{s}" for s in ("away", "home") for p in ("q1", "q2", "q3", "q4", "ot"))
+    base = "base AS (SELECT * REPLACE (CASE WHEN game_id % 5 < 2 THEN NULL ELSE season END AS season) FROM games)"
+    delta = (f"d AS (SELECT game_id, CASE WHEN game_id % 7 = 0 THEN NULL ELSE season END AS season, date, away, home, score_away, "
+             f"score_home, {q0}, CAST(NULL AS DOUBLE) AS total FROM games WHERE {PLAYED} AND game_id % 3 = 0 AND season > 1994)")
+    u = f"u AS (SELECT {cols}, 0 AS src FROM base UNION ALL SELECT {cols}, 1 AS src FROM d)"
+    r = "r AS (SELECT *, row_number() OVER (PARTITION BY date, away, home ORDER BY src DESC, game_id DESC) AS rn FROM u)"
+    # keys that the delta does not have keep all their stored rows' latest as well only where their partition was merged:
+    # the stored table holds one row per key, so that is the same
+    return with_ctes("games1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date, away, home ORDER BY game_id DESC) AS k "
+                     "FROM games) WHERE k = 1)", base.replace("FROM games)", "FROM games1)"), delta, u, r) + f"SELECT {cols} FROM r WHERE rn = 1"
+
+
+@register("S4_upsert_null_season", _null_season_sql())
+def q_upsert_null(spark, sf):
+    """Stored rows and delta rows without a season: those whose key the delta lacks survive, the others
+    are replaced wherever they stand."""
+    games, dim, sb, bx, _ = _landing(spark, sf)
+    gid = F.col("game_id")
+    stored = S.upsert_latest(games.limit(0), games, S.GAME_KEY, order_col="game_id")
+    table = S.create_table(spark, S.scratch_path(spark, "games"),
+                           stored.withColumn("season", F.when(gid % 5 >= 2, F.col("season"))))
+    delta = J.feed_delta(sb, bx, dim).filter((gid % 3 == 0) & (F.col("season") > 1994))
+    S.upsert_into(spark, table.path, delta.withColumn("season", F.when(gid % 7 != 0, F.col("season"))), S.GAME_KEY,
+                  order_col="game_id")
+    return table.read().select(*GAME_COLUMNS)
+
+
+# --------------------------------------------------------------------------- quarantine
+CSV_FAULT = ("CASE WHEN game_id % 50 IN (0, 1) THEN 'fields do not fit the header' WHEN game_id % 50 = 2 THEN 'no date' "
+             "WHEN game_id % 50 = 3 THEN 'no entity' END")
+
+
+@register("S1_csv_quarantine", with_ctes() + f"SELECT game_id, season, total, {CSV_FAULT} AS reason FROM games "
+          f"WHERE {CSV_FAULT} IS NULL UNION ALL SELECT game_id, NULL, NULL, {CSV_FAULT} FROM games WHERE {CSV_FAULT} IS NOT NULL")
+def q_csv_quarantine(spark, sf):
+    """A CSV export with lines cut short or with fields too many, dates that are none and missing entities:
+    good rows conformed, bad ones in the quarantine table with their reason."""
+    games = load_games(spark, sf)
+    gid = F.col("game_id") % 50
+    path, bad_path = S.scratch_path(spark, "csv"), S.scratch_path(spark, "quarantine")
+    text = games.select(*[F.col(c).cast("string").alias(c) for c in GAME_COLUMNS])
+    text = text.withColumns({"date": F.when(gid == 2, "someday").otherwise(F.col("date")),
+                             "home": F.when(gid != 3, F.col("home"))})
+    text.filter(gid > 1).write.option("header", True).csv(path)
+    cut = F.concat_ws(",", "game_id", "season", "date")
+    long = F.concat(F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in GAME_COLUMNS]), F.lit(",1,2"))
+    # one column named like the header line: whole lines as they are
+    (text.filter(gid < 2).select(F.when(gid == 0, cut).otherwise(long).alias(",".join(GAME_COLUMNS)))
+     .write.mode("append").option("header", True).option("sep", "\x01").option("quote", "").csv(path))
+    good, bad = S.read_games_csv_checked(spark, path)
+    S.quarantine(bad, bad_path, "games.csv")
+    rejected = spark.read.parquet(bad_path).select(F.split("raw", ",")[0].cast("long").alias("game_id"), "reason")
+    return good.select("game_id", "season", "total", F.lit(None).cast("string").alias("reason")).unionByName(
+        rejected, allowMissingColumns=True)
+
+
+@register("S9_S10_feed_quarantine", with_ctes() + f"""
+SELECT 'scoreboard' AS feed, {GID} AS game_id, NULL AS reason FROM games
+UNION ALL SELECT 'boxscore', {GID}, NULL FROM games WHERE {PLAYED}
+UNION ALL SELECT 'scoreboard', {GID}, CASE game_id % 30 WHEN 0 THEN 'unparsable' WHEN 1 THEN 'no date' ELSE 'event without id' END
+  FROM games WHERE game_id % 30 < 3
+UNION ALL SELECT 'boxscore', {GID}, CASE game_id % 30 WHEN 0 THEN 'unparsable' WHEN 1 THEN 'no id' ELSE 'side without points or name' END
+  FROM games WHERE game_id % 30 < 3""")
+def q_feed_quarantine(spark, sf):
+    """Feed folders with broken documents among the good ones."""
+    games, _, _, _, paths = _landing(spark, sf, feeds=("scoreboard", "boxscore"))
+    bad_path = S.scratch_path(spark, "quarantine")
+    gid = F.lpad(F.col("game_id").cast("string"), 10, "0")
+    kind = F.col("game_id") % 30
+    doc = lambda pattern: F.format_string(pattern, gid)
+    broken = games.filter(kind < 3)
+    broken.select(F.when(kind == 0, doc('{"date": "1996-01-01", "GameHeader": [{"GAME_ID": "%s"'))
+                  .when(kind == 1, doc('{"date": "soon", "GameHeader": [{"GAME_ID": "%s"}]}'))
+                  .otherwise(doc('{"date": "1996-01-01", "GameHeader": [{"GAME_STATUS_TEXT": "%s"}]}'))
+                  ).write.mode("append").text(paths["scoreboard"])
+    broken.select(F.when(kind == 0, doc('{"GAME_ID": "%s", "TeamStats": ['))
+                  .when(kind == 1, doc('{"TeamStats": [{"TEAM_ID": 1, "TEAM_ABBREVIATION": "%s"}]}'))
+                  .otherwise(doc('{"GAME_ID": "%s", "TeamStats": [{"TEAM_ID": 1}, {"TEAM_ID": 2}]}'))
+                  ).write.mode("append").text(paths["boxscore"])
+    out = []
+    for name, read in (("scoreboard", checked_scoreboard), ("boxscore", checked_boxscore)):
+        good, bad = read(spark, paths[name])
+        S.quarantine(bad, bad_path, name)
+        out.append(good.select(F.lit(name).alias("feed"), "game_id", F.lit(None).cast("string").alias("reason")))
+    rejected = spark.read.parquet(bad_path).select(
+        F.col("source").alias("feed"), F.regexp_extract("raw", r"([0-9]{10})", 1).alias("game_id"), "reason")
+    return out[0].unionByName(out[1]).unionByName(rejected)
+
+
+@register("S9_read_scoreboard_date", with_ctes() + f"""
+SELECT {GID} AS game_id, date, CASE WHEN {PLAYED} THEN 'Final' ELSE '7:30 pm ET' END AS game_time FROM games
+WHERE date = (SELECT max(date) FROM games)""")
+def q_scoreboard_date(spark, sf):
+    """The scoreboard of one day."""
+    games, _, _, _, paths = _landing(spark, sf, feeds=("scoreboard",))
+    return read_scoreboard(spark, paths["scoreboard"], games.agg(F.max("date")).first()[0]).select("game_id", "date", "game_time")
 
 
 # --------------------------------------------------------------------------- S5-S8
@@ -274,6 +374,26 @@ def q_backfill(spark, sf):
     return J.backfill_report(sb, bx, dim, lo, hi)
 
 
+MIDDLE = "(SELECT min(date) + CAST(date_diff('day', min(date), max(date)) // 2 AS INTEGER) FROM games)"
+
+
+@register("D3_backfill", with_ctes("""
+spine AS (SELECT CAST(generate_series AS DATE) AS date FROM generate_series((SELECT min(date) FROM games), (SELECT max(date) FROM games), INTERVAL 1 DAY)),
+c AS (SELECT date, count(*) AS planned, count(*) FILTER (WHERE """ + PLAYED + """) AS n FROM games GROUP BY date),
+d AS (SELECT s.date, coalesce(n, 0) AS n, coalesce(n > 0 AND n >= planned, false) AS complete FROM spine s LEFT JOIN c ON c.date = s.date)""")
+          + f"""
+SELECT 1 AS run, date, CAST(n AS BIGINT) AS games_added, true AS pending FROM d WHERE date <= {MIDDLE}
+UNION ALL SELECT 2, date, CAST(CASE WHEN complete AND date <= {MIDDLE} THEN 0 ELSE n END AS BIGINT), NOT (complete AND date <= {MIDDLE}) FROM d""")
+def q_backfill_runs(spark, sf):
+    """The first half of the days backfilled, then all days: the second run takes what is still open."""
+    games, dim, sb, bx, _ = _landing(spark, sf)
+    lo, hi = games.agg(F.min("date"), F.max("date")).first()
+    table = S.create_table(spark, S.scratch_path(spark, "backfill"), games.filter(F.col("score_home").isNull()))
+    ledger = S.scratch_path(spark, "ledger")
+    runs = [J.backfill(spark, table.path, ledger, sb, bx, dim, lo, end) for end in (lo + (hi - lo) // 2, hi)]
+    return runs[0].withColumn("run", F.lit(1)).unionByName(runs[1].withColumn("run", F.lit(2)))
+
+
 SNAP_W = [3, 5, 10, 15]
 
 
@@ -300,6 +420,27 @@ def q_snapshot(spark, sf):
     return J.team_snapshot(load_games(spark, sf))
 
 
+@register("D5_incremental_snapshot", _snapshot_sql())
+def q_snapshot_incremental(spark, sf):
+    """The snapshot after two refreshes of stored state: the first delta holds later events, the second
+    later ones and corrections of old ones. It equals the snapshot of the whole table."""
+    games = load_games(spark, sf)
+    gid = F.col("game_id")
+    lo, hi = games.agg(F.min("date"), F.max("date")).first()
+    cuts = [lo + (hi - lo) * k / 4 for k in (2, 3)]
+    wrong = (gid % 40 == 7) & (F.col("date") < F.lit(cuts[0]))  # rows whose first delivery was wrong
+    first = games.withColumn("score_home", F.when(wrong, F.lit(1).cast("long")).otherwise(F.col("score_home")))
+    table = S.create_table(spark, S.scratch_path(spark, "inc-games"), first.filter(F.col("date") < F.lit(cuts[0])))
+    state = J.snapshot_state(spark, S.scratch_path(spark, "inc-state"))
+    state.rebuild(team_games(table.read()))
+    deltas = [games.filter((F.col("date") >= F.lit(cuts[0])) & (F.col("date") < F.lit(cuts[1]))),
+              games.filter((F.col("date") >= F.lit(cuts[1])) | wrong)]
+    for delta in deltas:
+        S.upsert_into(spark, table.path, delta, ["game_id"])
+        J.refresh_state(state, delta, table.read())
+    return J.snapshot_from_state(state)
+
+
 @register("S14_team_stats_upsert", f"SELECT * REPLACE (CASE WHEN games_played % 2 = 0 THEN games_played + 1 "
           f"ELSE games_played END AS games_played) FROM ({_snapshot_sql()})")
 def q_team_stats_upsert(spark, sf):
@@ -373,6 +514,15 @@ def q_slate(spark, sf):
     return _slate(spark, sf)[1]
 
 
+@register("D8_slate_of_date", with_ctes() + f"""
+SELECT {GID} AS game_id, date AS game_date, away, home, CASE WHEN {PLAYED} THEN 'Final' ELSE '7:30 pm ET' END AS game_time,
+  CAST(CASE WHEN {PLAYED} THEN 3 ELSE 1 END AS INTEGER) AS game_status FROM games WHERE date = (SELECT max(date) FROM games)""")
+def q_slate_day(spark, sf):
+    """One day's events, whatever their status, as the original lists them."""
+    games, dim, sb, _, _ = _landing(spark, sf, feeds=("scoreboard",))
+    return J.build_slate(sb, dim, date=games.agg(F.max("date")).first()[0], all_statuses=True)
+
+
 @register("S13_scheduled_upsert", with_ctes(*SLATE_SQL, """
 u AS (SELECT game_date, away, home, game_time AS scheduled_time, vegas_total, 0 AS src FROM slate
       UNION ALL SELECT game_date, away, home, game_time, vegas_total + 0.5, 1 FROM slate WHERE vegas_total IS NOT NULL)""",
@@ -391,7 +541,7 @@ SERVE_OUT = ["game_id", "home_points_scored_roll_10", "away_total_points_std_5",
              "home_early_season", "line_vs_expected_10"]
 
 
-def _serve_sql():
+def _serve_sql(known_line=False):
     cols = side_columns()
     pick = lambda side, team: (
         f"{side} AS (SELECT s.game_id, " + ", ".join(f"f.{c}" for c in cols)
@@ -403,9 +553,9 @@ def _serve_sql():
     fix = ("pair1 AS (SELECT * REPLACE (coalesce(home_days_rest, 2) AS home_days_rest, coalesce(away_days_rest, 2) AS away_days_rest, "
            "coalesce(home_game_num, 40) AS home_game_num, coalesce(away_game_num, 40) AS away_game_num, "
            "coalesce(home_is_b2b, 0) AS home_is_b2b, coalesce(away_is_b2b, 0) AS away_is_b2b) FROM pair0)")
-    mu = matchup_select(line="CAST(NULL AS DOUBLE)", target=False)
+    mu = matchup_select(line="vegas_total" if known_line else "CAST(NULL AS DOUBLE)", target=False)
     return [*SLATE_SQL, FEAT_CTE, pick("hs", "home"), pick("aws", "away"), pair, fix,
-            "pair AS (SELECT * EXCLUDE (vegas_total) FROM pair1)",
+            "pair AS (SELECT * FROM pair1)" if known_line else "pair AS (SELECT * EXCLUDE (vegas_total) FROM pair1)",
             f"served AS (SELECT *, {mu} FROM pair)"]
 
 
@@ -424,6 +574,28 @@ def q_serve(spark, sf):
     return s.select(*[F.round(c, 6).alias(c) if ("std" in c or "volatility" in c) else F.col(c) for c in SERVE_OUT])
 
 
+@register("L9_serve_two_phase", with_ctes(*_serve_sql()) + "SELECT "
+          + ", ".join(f"round({c}, 6) AS {c}" if ("std" in c or "volatility" in c) else c for c in SERVE_OUT) + " FROM served")
+def q_serve_two_phase(spark, sf):
+    """The slate's features from the matched rows and their 15 predecessors alone, forced splits included."""
+    from tandem.operators.windows import SplitPolicy
+    games, slate = _slate(spark, sf)
+    s = J.serve_from_history(slate, team_games(games), split=SplitPolicy(force=True))
+    return s.select(*[F.round(c, 6).alias(c) if ("std" in c or "volatility" in c) else F.col(c) for c in SERVE_OUT])
+
+
+LINE_OUT = SERVE_OUT + ["line_vs_expected_3", "home_over_tendency_5", "away_over_tendency_15", "vegas_total"]
+
+
+@register("L9_line_known", with_ctes(*_serve_sql(known_line=True)) + "SELECT "
+          + ", ".join(f"round({c}, 6) AS {c}" if ("std" in c or "volatility" in c) else c for c in LINE_OUT) + " FROM served")
+def q_serve_line(spark, sf):
+    """Q5 mended: features that depend on the line, where the slate knows it."""
+    games, slate = _slate(spark, sf)
+    s = J.serve_from_history(slate, team_games(games), line_col="vegas_total")
+    return s.select(*[F.round(c, 6).alias(c) if ("std" in c or "volatility" in c) else F.col(c) for c in LINE_OUT])
+
+
 REC_SQL = ("rec AS (SELECT game_id, round_even(expected_total_10, 1) AS predicted_total, vegas_total, "
            "CASE WHEN vegas_total IS NOT NULL THEN round_even(expected_total_10 - vegas_total, 1) END AS edge, "
            "CASE WHEN vegas_total IS NULL THEN NULL WHEN expected_total_10 > vegas_total THEN 'OVER' ELSE 'UNDER' END AS recommendation, "
@@ -435,8 +607,7 @@ REC_SQL = ("rec AS (SELECT game_id, round_even(expected_total_10, 1) AS predicte
 
 def _recommended(spark, sf):
     games, slate = _slate(spark, sf)
-    s = J.serve_features(slate.drop("vegas_total"), team_features(games)).join(
-        slate.select("game_id", "vegas_total"), "game_id")
+    s = J.serve_from_history(slate, team_games(games))
     s = s.filter(F.col("expected_total_10").isNotNull()).withColumn("predicted_total", F.col("expected_total_10"))
     return J.recommend(s)
 
@@ -466,6 +637,44 @@ def q_record(spark, sf):
     return preds
 
 
+@register("D9_record_slate_writes", with_ctes(*_serve_sql(), REC_SQL, """
+ok AS (SELECT * FROM rec WHERE vegas_total IS NOT NULL AND vegas_total <> 0),
+one AS (SELECT *, row_number() OVER (PARTITION BY game_date, away, home ORDER BY game_time DESC, vegas_total DESC) AS rn FROM ok)""") + """
+SELECT 'schedule' AS kind, game_date, away, home, game_time AS scheduled_time, vegas_total, CAST(NULL AS DOUBLE) AS predicted_total
+FROM one WHERE rn = 1 UNION ALL SELECT 'log', game_date, away, home, NULL, vegas_total, predicted_total FROM ok""")
+def q_record_writes(spark, sf):
+    """D9 with its writes, read back: the schedule upserted, the predictions logged."""
+    from tandem.sources.versions import VersionedTable
+    scored = _recommended(spark, sf)
+    dim = entity_dimension(read_table(spark, sf, "customer"))
+    paths = [S.scratch_path(spark, x) for x in ("schedule", "prediction-log")]
+    J.record_slate_into(spark, *paths, scored, entities=dim.select("code"))
+    sched, log = (VersionedTable(spark, p, "game_month").read() for p in paths)
+    keys = ["game_date", "away", "home"]
+    return sched.select(F.lit("schedule").alias("kind"), *keys, "scheduled_time", "vegas_total").unionByName(
+        log.select(F.lit("log").alias("kind"), *keys, "vegas_total", "predicted_total"), allowMissingColumns=True)
+
+
+VALID_SQL = """
+x AS (SELECT game_id, CASE WHEN game_id % 4 = 1 THEN strftime(date, '%d.%m.%Y') ELSE strftime(date, '%Y-%m-%d') END AS game_date,
+  CASE WHEN game_id % 4 = 2 THEN 'nobody' ELSE away END AS away, CASE WHEN game_id % 9 = 5 THEN upper(home) ELSE home END AS home,
+  CASE WHEN game_id % 4 = 3 THEN 'pick' ELSE CAST(total AS VARCHAR) END AS vegas_total FROM games)"""
+
+
+@register("S12_S13_validation", with_ctes(VALID_SQL) + """
+SELECT game_id, CASE game_id % 4 WHEN 1 THEN 'invalid date' WHEN 2 THEN 'invalid away entity' WHEN 3 THEN 'invalid line' END AS reason FROM x""")
+def q_validation(spark, sf):
+    """Schedule rows with dates, entities and lines that do not pass, and why."""
+    gid = F.col("game_id") % 4
+    rows = load_games(spark, sf).select(
+        "game_id", F.when(gid == 1, F.date_format("date", "dd.MM.yyyy")).otherwise(F.date_format("date", "yyyy-MM-dd")).alias("game_date"),
+        F.when(gid == 2, "nobody").otherwise(F.col("away")).alias("away"),
+        F.when(F.col("game_id") % 9 == 5, F.upper("home")).otherwise(F.col("home")).alias("home"),
+        F.when(gid == 3, "pick").otherwise(F.col("total").cast("string")).alias("vegas_total"))
+    good, bad = S.validated(rows, entities=entity_dimension(read_table(spark, sf, "customer")).select("code"))
+    return good.select("game_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("game_id", "reason"))
+
+
 @register("P13_align_schema", with_ctes(*_serve_sql()) + """
 SELECT game_id, home_points_scored_roll_3, away_days_rest, CAST(NULL AS DOUBLE) AS line_vs_expected_3,
   CAST(NULL AS DOUBLE) AS not_a_feature FROM served""")

@@ -1,26 +1,20 @@
 """Streaming queries (T1-T5). Each lands data derived from the driver's
 tables in a scratch folder under the shared checkpoint folder, runs the
-stream with availableNow and returns the sink's contents as a DataFrame."""
+stream with availableNow after each landing and returns the sink's contents."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tandem.functions.names import ROLLING_WINDOWS
+from tandem.operators.incremental import FeatureSpec
 from tandem.plans.catalog import QUERIES, register
 from tandem.plans.oracle import GAME_COLUMNS
-from tandem.sources.store import scratch_path, write_games
+from tandem.sources.store import create_table, scratch_path
 from tandem.sources.tables import read_table
+from tandem.sources.versions import VersionedTable
 from tandem.streaming import streams as T
 
-EV_COLS = [f"value_{k}_{w}" for w in (3, 5, 10, 15) for k in ("roll", "std")]
-
-
-def _halves(df, time_col):
-    """Rows before and from the middle of their time range: two deliveries."""
-    lo, hi = df.agg(F.min(time_col), F.max(time_col)).first()
-    middle = F.lit(lo + (hi - lo) / 2)
-    return df.filter((F.col(time_col) < middle) | F.col(time_col).isNull()), df.filter(F.col(time_col) >= middle)
-
 
 @register("T1_stream_upsert", QUERIES["D2_S4_ingest_feed"][1])
 def q_t1(spark, sf):
@@ -29,39 +23,68 @@ def q_t1(spark, sf):
     from tandem.plans.queries_sources import _landing
     from tandem.sources.feeds import BOXSCORE_SCHEMA
     games, dim, sb, _, paths = _landing(spark, sf)
-    table, folder = scratch_path(spark, "t1-games"), scratch_path(spark, "t1-land")
-    write_games(games, table)
+    table, folder = create_table(spark, scratch_path(spark, "t1-games"), games), scratch_path(spark, "t1-land")
     box = spark.read.schema(BOXSCORE_SCHEMA).json(paths["boxscore"])
     odd = F.col("GAME_ID").cast("long") % 2 == 1
     for part in (box.filter(odd), box.filter(~odd)):
         part.write.mode("append").json(folder)
-        T.stream_upsert(spark, folder, sb, dim, table)
-    return spark.read.parquet(table).select(*GAME_COLUMNS)
+        T.stream_upsert(spark, folder, sb, dim, table.path)
+    return table.read().select(*GAME_COLUMNS)
 
 
-@register("T2_stream_dedupe", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
-def q_t2(spark, sf):
-    """Every event delivered twice, in two runs; the stream keeps one copy per event id."""
+def dedupe_run(spark, sf, delay="7 days", seen=None):
+    """Events in four landings, oldest first; each landing holds the one before once more, and the last one
+    the first again, long after its state has gone."""
     ev = read_table(spark, sf, "events")
     folder, out = scratch_path(spark, "t2-land"), scratch_path(spark, "t2-out")
-    for part in _halves(ev, "ts"):
-        T.land_in_slices(part, folder, "ts", 2)
-        T.land_in_slices(part, folder, "ts", 2)
-        T.stream_dedupe(spark, folder, ev.schema, ["event_id"], "ts", delay="3650 days", out=out)
+    parts = T.time_slices(ev, "ts", 4)
+    for i, part in enumerate(parts):
+        T.land(part, folder, "ts")
+        for again in ([parts[i - 1]] if i else []) + ([parts[0]] if i == 3 else []):
+            T.land(again, folder, "ts")
+        T.stream_dedupe(spark, folder, ev.schema, ["event_id"], "ts", delay=delay, out=out, seen=seen)
     return spark.read.parquet(out).select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
-@register("T3_stream_trailing_features", QUERIES["W1_W2_events_trailing"][1])
+@register("T2_stream_dedupe", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def q_t2(spark, sf):
+    """Every event delivered twice or three times, in four runs; the stream keeps one copy per event id with a
+    delay of a week."""
+    return dedupe_run(spark, sf)
+
+
+EVENT_SPEC = FeatureSpec(entity="user_id", order=[("ts", True), ("event_id", True)], stats=["value"], std_stats=["value"],
+                         date_col="ts", season_col="week", season_stats={"week_value_avg": "value"})
+EV_COLS = [f"value_{k}_{w}" for w in ROLLING_WINDOWS for k in ("roll", "std")] + ["week_value_avg"]
+_FRAME = "PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING"
+_WEEK = "PARTITION BY user_id, week ORDER BY ts, event_id"
+
+
+def with_week(rows):
+    return rows.withColumn("week", F.to_date(F.date_trunc("week", "ts")))
+
+
+T3_SQL = ("WITH w AS (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS week FROM events), e AS (SELECT event_id, user_id, "
+          + ", ".join([f"{fn}(value) OVER ({_FRAME.format(w=w)}) AS value_{k}_{w}" for w in ROLLING_WINDOWS
+                       for k, fn in (("roll", "avg"), ("std", "stddev_samp"))])
+          + f", avg(value) OVER ({_WEEK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS week_value_avg, "
+            f"CAST(row_number() OVER ({_WEEK}) AS INTEGER) AS game_num, "
+            "CAST(coalesce(date_diff('day', CAST(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DATE), "
+            "CAST(ts AS DATE)), 3) AS INTEGER) AS days_rest FROM w) "
+            "SELECT event_id, user_id, days_rest, game_num, " + ", ".join(f"round({c}, 6) AS {c}" for c in EV_COLS) + " FROM e")
+
+
+@register("T3_stream_trailing_features", T3_SQL)
 def q_t3(spark, sf):
-    """Per-user trailing means/stds from bounded streaming state, in two runs;
-    equal to the batch operator on time-ordered input."""
+    """Per-user trailing means and deviations, rest days and counters within the week, in three runs with the
+    state between them; equal to the batch operators, and no row is late."""
     ev = read_table(spark, sf, "events")
     folder, out = scratch_path(spark, "t3-land"), scratch_path(spark, "t3-out")
-    for part in _halves(ev, "ts"):
-        T.land_in_slices(part, folder, "ts", 2)
-        T.stream_trailing(spark, folder, ev.schema, out=out)
+    for part in T.time_slices(ev, "ts", 3):
+        T.land(part, folder, "ts")
+        T.stream_trailing(spark, folder, ev.schema, EVENT_SPEC, out=out, keep=["event_id", "user_id"], derive=with_week)
     df = spark.read.parquet(out)
-    return df.select("event_id", "user_id", *[F.round(c, 6).alias(c) for c in EV_COLS])
+    return df.select("event_id", "user_id", "days_rest", "game_num", *[F.round(c, 6).alias(c) for c in EV_COLS])
 
 
 @register("T4_stream_settle", QUERIES["J4_settle_predictions"][1])
@@ -76,9 +99,9 @@ def q_t4(spark, sf):
     results = (games.groupBy("date", "away", "home").agg(F.max_by(F.struct("score_home", "score_away"), "game_id").alias("r"))
                .select("date", "away", "home", "r.score_home", "r.score_away"))
     pf, rf, out = (scratch_path(spark, f"t4-{x}") for x in ("pred", "res", "out"))
-    for p, r in zip(_halves(preds, "game_date"), _halves(results, "date")):
-        T.land_in_slices(p, pf, "game_date", 2)
-        T.land_in_slices(r, rf, "date", 2)
+    for p, r in zip(T.time_slices(preds, "game_date", 2), T.time_slices(results, "date", 2)):
+        T.land(p, pf, "game_date")
+        T.land(r, rf, "date")
         T.stream_settle(spark, pf, preds.schema, rf, results.schema, out=out)
     seen = T.settled_view(spark, out, spark.read.schema(preds.schema).parquet(pf))
     return seen.select("game_date", "away", "home", F.round("predicted_total", 6).alias("predicted_total"),
@@ -92,8 +115,8 @@ def q_t5(spark, sf):
     """Daily tumbling windows per event type, watermarked, merged per batch, in two runs."""
     ev = read_table(spark, sf, "events")
     folder, table = scratch_path(spark, "t5-land"), scratch_path(spark, "t5-table")
-    for part in _halves(ev, "ts"):
-        T.land_in_slices(part, folder, "ts", 2)
+    for part in T.time_slices(ev, "ts", 2):
+        T.land(part, folder, "ts")
         T.stream_period_perf(spark, folder, ev.schema, group=["event_type"], table=table)
-    return spark.read.parquet(table).select("window_start", "window_end", "event_type", "events",
-                                            F.round("value_sum", 6).alias("value_sum"))
+    stored = VersionedTable(spark, table, "window_day").read()
+    return stored.select("window_start", "window_end", "event_type", "events", F.round("value_sum", 6).alias("value_sum"))

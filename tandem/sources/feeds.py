@@ -46,6 +46,40 @@ SEASON_LOG_SCHEMA = T.StructType([
 ])
 
 FINAL = 3
+CORRUPT = "_corrupt_record"
+
+
+def _documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Landed JSON documents; what does not parse, or does not fit the schema, keeps its text."""
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return (spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path))
+
+
+def _split(raw: DataFrame, reason) -> tuple[DataFrame, DataFrame]:
+    """(good documents, bad ones as ``raw`` and ``reason``)."""
+    tagged = raw.withColumn("reason", F.when(F.col(CORRUPT).isNotNull(), "unparsable").otherwise(reason))
+    body = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*[c for c in raw.columns if c != CORRUPT])))
+    return (tagged.filter(F.col("reason").isNull()).drop("reason", CORRUPT),
+            tagged.filter(F.col("reason").isNotNull()).select(body.alias("raw"), "reason"))
+
+
+def checked_scoreboard(spark: SparkSession, path: str, date=None) -> tuple[DataFrame, DataFrame]:
+    """S9 with a quarantine: (event rows, bad documents). Bad are documents that do not parse, whose date is
+    no date, or that hold an event without an id; one without a GameHeader is no error (no events that day)."""
+    no_id = F.exists("GameHeader", lambda g: g["GAME_ID"].isNull())
+    good, bad = _split(_documents(spark, path, SCOREBOARD_SCHEMA),
+                       F.when(F.col("date").try_cast("date").isNull(), "no date").when(no_id, "event without id"))
+    return scoreboard_rows(good, date), bad
+
+
+def checked_boxscore(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S10 with a quarantine: (box score rows, bad documents). Bad are documents that do not parse, lack the
+    event's id, or name sides without points; fewer than two sides is an event not played yet."""
+    sides = F.coalesce(F.size("TeamStats"), F.lit(0)) >= 2
+    no_points = F.exists("TeamStats", lambda t: t["PTS"].isNull() | t["TEAM_ABBREVIATION"].isNull())
+    good, bad = _split(_documents(spark, path, BOXSCORE_SCHEMA),
+                       F.when(F.col("GAME_ID").isNull(), "no id").when(sides & no_points, "side without points or name"))
+    return boxscore_rows(good), bad
 
 
 def scoreboard_rows(raw: DataFrame, date=None) -> DataFrame:

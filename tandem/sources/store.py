@@ -1,8 +1,8 @@
 """Tables at rest: Parquet layout, latest-wins upserts, scans.
 
 Upsert = union of base and delta tagged with an ingest sequence, keep the
-newest row per natural key (row_number = 1, a WindowGroupLimit), write back
-only the touched partitions (dynamic partition overwrite).
+newest row per natural key (row_number = 1, a WindowGroupLimit), and commit
+only the touched partitions as the next version of the table (see ``versions``).
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ import os
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.names import ALLOWED_GAME_COLUMNS
 from tandem.functions.scalars import number_of
 from tandem.operators.filters import project_allowlist
 from tandem.sources.games import GAMES_SCHEMA
+from tandem.sources.versions import VersionedTable
 
 GAME_KEY = ["date", "away", "home"]
 SCHEDULE_KEY = ["game_date", "away", "home"]
@@ -43,6 +44,37 @@ def read_games_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
+CORRUPT = "_corrupt"
+
+
+def read_games_csv_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S1 with a quarantine: (conformed good rows, bad rows as ``raw`` and ``reason``).
+
+    Bad are lines that do not fit the header (too few or too many fields), rows whose
+    date is no date, and rows without an entity on a side; numbers that do not parse are
+    NULL or their default as in :func:`conform_games`."""
+    from pyspark.sql import types as T
+    header = spark.read.option("header", True).csv(path).schema
+    schema = T.StructType([*header.fields, T.StructField(CORRUPT, T.StringType())])
+    # all columns are parsed, else a line with missing fields would pass where none is asked for
+    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+           .option("columnPruning", False).schema(schema).csv(path))
+    have = set(header.names)
+    text = lambda c: F.trim(F.col(c)) if c in have else F.lit(None).cast("string")
+    reason = (F.when(F.col(CORRUPT).isNotNull(), "fields do not fit the header")
+              .when(text("date").try_cast("date").isNull(), "no date")
+              .when((F.coalesce(text("away"), F.lit("")) == "") | (F.coalesce(text("home"), F.lit("")) == ""), "no entity"))
+    tagged = raw.withColumn("_reason", reason)
+    bad = tagged.filter(F.col("_reason").isNotNull()).select(
+        F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*header.names))).alias("raw"), F.col("_reason").alias("reason"))
+    return conform_games(tagged.filter(F.col("_reason").isNull()).drop("_reason", CORRUPT)), bad
+
+
+def quarantine(bad: DataFrame, path: str, source: str) -> None:
+    """Append bad rows (raw, reason) of a source to the quarantine table."""
+    bad.select(F.lit(source).alias("source"), "raw", "reason").write.mode("append").parquet(path)
+
+
 def conform_games(raw: DataFrame) -> DataFrame:
     """Cast every column to the games schema; unparsable or missing values
     take the column default (quarters 0, regular true, playoffs false, ids 0)
@@ -75,14 +107,15 @@ def write_games(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def upsert_latest(base: DataFrame, delta: DataFrame, key: list[str], order_col: str | None = None,
-                  coalesce_old: bool = False, defaults: dict | None = None) -> DataFrame:
+                  coalesce_old: bool = False, defaults: dict | None = None, source: str | None = None) -> DataFrame:
     """Latest-wins by natural key.
 
     Reference mode (``coalesce_old=False``): the newer row replaces the whole
     older row; columns it lacks take their default in ``defaults``, else NULL.
     ``coalesce_old`` keeps the older non-NULL value where the newer one is NULL.
     Within one side, ties on the key are broken by ``order_col`` (higher wins),
-    without one by the remaining columns in order.
+    without one by the remaining columns in order. ``source`` names a column that
+    tells where the newest row of the key is from: 0 base, 1 delta.
     """
     cols = base.columns
     given = {} if coalesce_old else defaults or {}
@@ -92,31 +125,57 @@ def upsert_latest(base: DataFrame, delta: DataFrame, key: list[str], order_col:
     order = [F.col("_src").desc()] + [F.col(c).desc() for c in ([order_col] if order_col else
                                                                 [c for c in cols if c not in key])]
     w = Window.partitionBy(*key).orderBy(*order)
+    origin = [F.col("_src").alias(source)] if source else []
     if not coalesce_old:
-        return tagged.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_src")
+        return tagged.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).select(*cols, *origin)
     # newest non-null value per column: first(ignorenulls) over the ordered key group
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     merged = tagged.select(*key, *[F.first(c, ignorenulls=True).over(full).alias(c) for c in cols if c not in key],
-                           F.row_number().over(w).alias("_rn"))
-    return merged.filter(F.col("_rn") == 1).select(*cols)
+                           "_src", F.row_number().over(w).alias("_rn"))
+    return merged.filter(F.col("_rn") == 1).select(*cols, *origin)
+
+
+def create_table(spark: SparkSession, path: str, rows: DataFrame, partition_col: str = "season") -> VersionedTable:
+    """S3 as a versioned table: the rows are its first version."""
+    table = VersionedTable(spark, path, partition_col)
+    table.commit(rows)
+    return table
 
 
 def upsert_into(spark: SparkSession, path: str, delta: DataFrame, key: list[str],
                 partition_col: str = "season", order_col: str | None = None, coalesce_old: bool = False,
-                defaults: dict | None = None) -> DataFrame:
-    """S4 on a Parquet table: read the partitions the delta touches, merge,
-    overwrite just those partitions (dynamic overwrite). Returns the merged
-    partitions as written."""
-    base = spark.read.parquet(path)
-    # a delta touches few partitions: their values prune the scan
-    touched = [r[0] for r in delta.select(partition_col).distinct().collect()]
-    part = base.filter(F.col(partition_col).isin(touched))
-    merged = upsert_latest(part, delta, key, order_col, coalesce_old, defaults).select(*base.columns)
-    tmp = scratch_path(spark, "upsert")
-    merged.write.mode("overwrite").parquet(tmp)       # cut lineage: we overwrite what we read
-    staged = spark.read.parquet(tmp)
-    write_games(staged, path, mode="overwrite")
-    return staged
+                defaults: dict | None = None, tags: dict | None = None) -> dict:
+    """S4 on a versioned table: read the partitions the delta touches, merge, and commit just
+    those. The partition is a function of the key or NULL (unknown): the NULL partition is
+    merged too where the delta has a key of its rows, and for delta rows without a partition
+    the stored one is looked up by key; rows with other keys stay.
+
+    Returns what was written, observed during the write itself: ``version`` (None if the
+    delta was empty), ``rows`` (of the touched partitions) and ``from_delta``."""
+    table = VersionedTable(spark, path, partition_col)
+    base = table.read()
+    delta = delta.persist()  # partition values, stray keys and merge read it
+    try:
+        # a delta touches few partitions: their values prune the scan
+        touched = [r[0] for r in delta.select(partition_col).distinct().collect()]
+        if not touched:
+            return {"version": None, "rows": 0, "from_delta": 0, "partitions": []}
+        unknown = F.col(partition_col).isNull()
+        if None in touched:  # rows whose partition the delta does not know may stand anywhere
+            keys = delta.filter(unknown).select(*key).distinct()
+            found = base.filter(~unknown).join(keys, key, "left_semi").select(partition_col).distinct().collect()
+            touched += [r[0] for r in found if r[0] not in touched]
+        elif not base.filter(unknown).join(delta.select(*key).distinct(), key, "left_semi").isEmpty():
+            touched.append(None)
+        merged = upsert_latest(base.filter(table.partitions_of(touched)), delta, key, order_col, coalesce_old, defaults,
+                               source="_from_delta")
+        seen = Observation()
+        written = merged.observe(seen, F.count(F.lit(1)).alias("rows"),
+                                 F.coalesce(F.sum("_from_delta"), F.lit(0)).alias("from_delta"))
+        number = table.commit(written.select(*base.columns), touched, tags)
+        return {"version": number, **seen.get, "partitions": touched}
+    finally:
+        delta.unpersist()
 
 
 # --------------------------------------------------------------------------- S5-S8
@@ -167,6 +226,52 @@ def prediction_rows(df: DataFrame, model_version: str | Column = "v1.0", date_co
                     F.substring(F.regexp_replace(mv, r"[^a-zA-Z0-9._-]", ""), 1, 50).alias("model_version")))
 
 
+def validated(df: DataFrame, date_col: str = "game_date", entities: DataFrame | None = None,
+              line: str | None = "vegas_total", strict_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows that pass, rejected rows with ``reason``). A date must read YYYY-MM-DD, both
+    entities must be known (with ``entities``, a frame whose first column lists them; else not
+    empty), and with ``strict_line`` a line that is given must be a number."""
+    day = F.coalesce(F.col(date_col).cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+    tagged = df.withColumn("reason", F.when(~day, "invalid date"))
+    for side in ("away", "home"):
+        if entities is None:
+            ok = F.coalesce(F.trim(side) != "", F.lit(False))
+        else:
+            known = entities.select(F.lower(F.col(entities.columns[0])).alias("_known")).distinct().withColumn("_ok", F.lit(True))
+            tagged = tagged.join(known, F.lower(F.col(side)) == F.col("_known"), "left").drop("_known")
+            ok = F.coalesce("_ok", F.lit(False))
+        tagged = tagged.withColumn("reason", F.coalesce("reason", F.when(~ok, f"invalid {side} entity"))).drop("_ok")
+    if line and strict_line:
+        bad_line = F.col(line).isNotNull() & number_of(F.col(line)).isNull()
+        tagged = tagged.withColumn("reason", F.coalesce("reason", F.when(bad_line, "invalid line")))
+    return tagged.filter(F.col("reason").isNull()).drop("reason"), tagged.filter(F.col("reason").isNotNull())
+
+
+def month_of(col: str) -> Column:
+    """Partition value of the schedule and of the prediction log: YYYY-MM."""
+    return F.date_format(F.col(col).cast("date"), "yyyy-MM")
+
+
+def upsert_schedule(spark: SparkSession, path: str, rows: DataFrame, entities: DataFrame | None = None) -> tuple[dict, DataFrame]:
+    """Validated slate rows (game_date, away, home, scheduled_time, vegas_total) replace those of
+    the same key in the stored schedule, a versioned table by month. Returns (counts, rejected rows)."""
+    good, bad = validated(rows, entities=entities)
+    good = good.select(F.col("game_date").cast("date").alias("game_date"), "away", "home", "scheduled_time",
+                       number_of(F.col("vegas_total")).alias("vegas_total"), month_of("game_date").alias("game_month"))
+    table = VersionedTable(spark, path, "game_month")
+    if table.current() is None:
+        table.commit(good.limit(0))
+    return upsert_into(spark, path, good, SCHEDULE_KEY, partition_col="game_month"), bad
+
+
+def log_predictions(spark: SparkSession, path: str, rows: DataFrame) -> int:
+    """Prediction rows added to the stored log, a versioned table by month; re-runs add rows."""
+    table = VersionedTable(spark, path, "game_month")
+    empty = F.lit(None).cast("double")
+    full = rows.withColumns({"game_month": month_of("game_date"), "actual_total": empty, "prediction_error": empty})
+    return table.commit(full, replaced=[])
+
+
 def append_predictions(df: DataFrame, path: str) -> None:
     """Append-only log (re-runs add rows, as in the reference)."""
     df.write.mode("append").parquet(path)
@@ -181,6 +286,10 @@ def scheduled_for_date(scheduled: DataFrame, game_date) -> DataFrame:
 def load_or_seed(spark: SparkSession, table_path: str, csv_path: str) -> DataFrame:
     """The stored table when it has rows, else the CSV conformed (S1+S2).
     The emptiness test is a one-row job."""
+    versioned = VersionedTable(spark, table_path)
+    if versioned.current() is not None:
+        stored = versioned.read()
+        return stored if not stored.isEmpty() else conform_games(read_games_csv(spark, csv_path))
     try:
         t = spark.read.parquet(table_path)
     except AnalysisException as error:
