@@ -2,7 +2,7 @@
 
 All 288 model features, written once as Parquet and read column-wise by every fit.
 The number of trees and the grid are parameters (``ml.DEFAULT_GBT`` has 500 trees,
-``ml.FULL_GRID`` 512 points); the registered queries take few of both.
+``ml.FULL_GRID`` 512 points, 128 fits a fold); the registered queries take few of both.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from tandem.sources.store import scratch_path
 SMALL_GBT = {"n_estimators": 5, "learning_rate": 0.1, "max_depth": 3, "subsample": 1.0,
              "colsample_bytree": "all", "min_child_weight": 1}
 TEST_SEASONS = [2000, 2001]
-GRID = {"n_estimators": [3, 6], "learning_rate": [0.1], "max_depth": [3]}
+GRID = {"n_estimators": [2, 3, 4, 6], "learning_rate": [0.1], "max_depth": [3]}
 
 
 def _written(df):
@@ -85,6 +85,29 @@ def q_grid(spark, sf):
     return res.orderBy("mean_mae").limit(5)
 
 
+def _plan_sql():
+    from tandem.plans.oracle import with_ctes
+    lists = ", ".join(f"(SELECT unnest([{', '.join(str(v) for v in vs)}]) AS {k}) {k}_t" for k, vs in ml.FULL_GRID.items())
+    names = ", ".join(ml.FULL_GRID)
+    return with_ctes("""
+t AS (SELECT count(*) AS n FROM games WHERE score_home IS NOT NULL AND score_away IS NOT NULL AND season NOT IN (2000, 2001))""", """
+f AS (SELECT CAST(range AS INTEGER) AS fold, n - (n // 6) * (5 - range) AS train_rows, n // 6 AS val_rows FROM t, range(0, 5))""",
+                     f"p AS (SELECT * FROM f, {lists})") + f"""
+SELECT fold, CAST(train_rows AS BIGINT) AS train_rows, CAST(val_rows AS BIGINT) AS val_rows, CAST(n_estimators AS INTEGER) AS n_estimators,
+  CAST(learning_rate AS DOUBLE) AS learning_rate, CAST(max_depth AS INTEGER) AS max_depth, CAST(subsample AS DOUBLE) AS subsample,
+  CAST(colsample_bytree AS DOUBLE) AS colsample_bytree, CAST(min_child_weight AS INTEGER) AS min_child_weight,
+  CAST(floor(train_rows * CAST(subsample AS DOUBLE)) AS BIGINT) AS bag_rows,
+  least(CAST(pow(2, max_depth) AS BIGINT), greatest(1, CAST(floor(floor(train_rows * CAST(subsample AS DOUBLE)) / min_child_weight) AS BIGINT))) AS max_leaves,
+  n_estimators = {max(ml.FULL_GRID['n_estimators'])} AS own_fit FROM p"""
+
+
+@register("J7_grid_plan", _plan_sql())
+def q_grid_plan(spark, sf):
+    """The whole search space (512 points) crossed with the folds of the training rows."""
+    games = load_games(spark, sf).filter(F.col("score_home").isNotNull() & F.col("score_away").isNotNull())
+    return ml.grid_plan(games.filter(~F.col("season").isin(TEST_SEASONS)), ml.FULL_GRID)
+
+
 @register("L6_train_job")
 def q_train(spark, sf):
     """Grid, best parameters, refit on all training rows, hold-out metrics, save."""

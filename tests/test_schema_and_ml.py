@@ -60,3 +60,22 @@ def test_ridge_matches_closed_form(spark):
     w = np.linalg.solve(Z.T @ Z + alpha * np.eye(k), Z.T @ (y - y.mean()))
     expect = Z @ w + y.mean()
     assert np.allclose(pred, expect, atol=1e-8), np.abs(pred - expect).max()
+
+
+def test_staged_prediction_equals_separate_fits(spark):
+    """The tree-count axis of the grid from one fit is what separate fits give."""
+    import random
+
+    from pyspark.ml.linalg import Vectors
+    from tandem.plans import ml
+    rng = random.Random(1)
+    rows = [(Vectors.dense([rng.random(), rng.random(), rng.random()]), 10 * rng.random()) for _ in range(160)]
+    made = [(v, float(3 * v[0] + v[1] * v[2] + 0.1 * y)) for v, y in rows]
+    train, val = (spark.createDataFrame(part, ["features", ml.TARGET]).persist() for part in (made[:120], made[120:]))
+    point = {"learning_rate": 0.2, "max_depth": 3, "subsample": 0.8, "colsample_bytree": "0.7"}
+    staged = ml.staged_maes({**point, "n_estimators": 6}, [2, 4, 6], train, val)
+    for k, mae in staged.items():
+        assert abs(ml._mae(ml.boosted_trees({**point, "n_estimators": k}).fit(train), val) - mae) < 1e-9
+    combos = [{"n_estimators": n, "max_depth": d} for n in (4, 2) for d in (3, 5)]
+    assert ml.staged_groups(combos) == [({"max_depth": 3, "n_estimators": 4}, [2, 4]), ({"max_depth": 5, "n_estimators": 4}, [2, 4])]
+    assert sum(1 for _ in ml.staged_groups([r.asDict() for r in ml.param_grid(spark, ml.FULL_GRID).collect()])) == 128
