@@ -22,9 +22,12 @@ of equal length the alphabetically first decides.
 from __future__ import annotations
 
 import re
+import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,29 +79,39 @@ def with_host_and_path(pages: DataFrame) -> DataFrame:
 
 
 def token_counts(urls: DataFrame, wanted: set[str]) -> dict[str, int]:
-    """How many urls contain each wanted token (bounded by the rules' tokens)."""
+    """How many urls contain each wanted token. The rules' tokens go as a table (bounded like the
+    rules), and only tokens of urls that meet one are counted, partially in each task."""
     if not wanted:
         return {}
+    table = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in sorted(wanted)], "token string"))
     tokens = F.array_distinct(F.regexp_extract_all(F.concat("host", "path"), F.lit(f"({TOKEN})")))
-    found = (urls.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, sorted(wanted))))).alias("token"))
+    found = (urls.select(F.explode(tokens).alias("token")).join(table, "token", "left_semi")
              .groupBy("token").agg(F.count("*").alias("n")).collect())
     return {r["token"]: r["n"] for r in found}
 
 
 class RuleIndex:
-    """Rules under their rarest token; compiled once per worker."""
+    """Rules under their rarest token; an expression is compiled when a url first asks for it."""
 
     def __init__(self, rules: list[Rule], counts: dict[str, int]):
-        self.by_token: dict[str, list[tuple[Rule, re.Pattern]]] = {}
-        self.always: list[tuple[Rule, re.Pattern]] = []
-        for rule in rules:
-            entry = (rule, re.compile(rule.regex))
-            if rule.tokens:
-                rarest = min(rule.tokens, key=lambda t: (counts.get(t, 0), t))
-                self.by_token.setdefault(rarest, []).append(entry)
+        self.by_token: dict[str, list[Rule]] = {}
+        self.always: list[Rule] = []
+        tokens_of = [rule.tokens for rule in rules]
+        shared = Counter(t for tokens in tokens_of for t in tokens)
+        for rule, tokens in zip(rules, tokens_of):
+            if tokens:  # of tokens in equally many urls, the one that fewest rules have
+                rarest = min(tokens, key=lambda t: (counts.get(t, 0), shared[t], t))
+                self.by_token.setdefault(rarest, []).append(rule)
             else:
-                self.always.append(entry)
+                self.always.append(rule)
         self.token = re.compile(TOKEN)
+        self.compiled: dict[Rule, re.Pattern] = {}
+
+    def fits(self, rule: Rule, subject: str) -> bool:
+        regex = self.compiled.get(rule)
+        if regex is None:
+            regex = self.compiled[rule] = re.compile(rule.regex)
+        return regex.match(subject) is not None
 
     def best(self, host: str, path: str, best: tuple[str, str] | None) -> tuple[str, str] | None:
         """(pattern, action) of the longest rule that fits, the one given included."""
@@ -106,15 +119,26 @@ class RuleIndex:
         candidates = list(self.always)
         for token in set(self.token.findall(subject)):
             candidates += self.by_token.get(token, ())
-        for rule, regex in candidates:
-            if (best is None or (-len(rule.pattern), rule.pattern) < (-len(best[0]), best[0])) and regex.match(subject):
+        for rule in candidates:
+            if (best is None or (-len(rule.pattern), rule.pattern) < (-len(best[0]), best[0])) and self.fits(rule, subject):
                 best = (rule.pattern, rule.action)
         return best
 
 
-def _judge(rules: list[Rule], counts: dict[str, int]):
+#: The index a worker process built last, with the name of its rules.
+_last: list[tuple[str, RuleIndex]] = []
+
+
+def _index_of(name: str, shared: Broadcast) -> RuleIndex:
+    """The index of the broadcast rules, built once in a worker process."""
+    if not _last or _last[0][0] != name:
+        _last[:] = [(name, RuleIndex(*shared.value))]
+    return _last[0][1]
+
+
+def _judge(name: str, shared: Broadcast):
     def run(batches):
-        index = RuleIndex(rules, counts)
+        index = _index_of(name, shared)
         for batch in batches:
             host, path = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             rule, action = batch.column("rule").to_pylist(), batch.column("action").to_pylist()
@@ -137,5 +161,6 @@ def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow", block: int
     for lo in range(0, len(rules), block):
         some = rules[lo:lo + block]
         own = {t for r in some for t in r.tokens}
-        out = out.mapInArrow(_judge(some, {t: n for t, n in counts.items() if t in own}), schema)
+        shared = pages.sparkSession.sparkContext.broadcast((some, {t: n for t, n in counts.items() if t in own}))
+        out = out.mapInArrow(_judge(uuid.uuid4().hex, shared), schema)
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))

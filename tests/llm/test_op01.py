@@ -50,3 +50,17 @@ def test_no_rules_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert [r.verdict for r in judge_urls(pages, []).collect()] == ["allow"]
     assert judge_urls(pages.limit(0)).collect() == []
+
+
+def test_a_hundred_thousand_rules(spark):
+    """A long list: the plan stays small, and only the rules that a url asks for are compiled."""
+    from tandem.llm.op01_url_filter import RuleIndex
+    rules = [Rule("block", f"site{i}.org/a{i % 7}/") for i in range(100_000)] + list(RULES)
+    urls = [f"http://www.site{i}.org/a{i % 5}/x" for i in range(0, 100_000, 1999)] + URLS
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = judge_urls(pages, rules)
+    assert len(out._jdf.queryExecution().toString()) < 100_000
+    few = [r for r in rules if r in RULES or int(r.pattern[4:r.pattern.index(".")]) % 1999 == 0]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((i, *brute(u, few)) for i, u in enumerate(urls)), key=str)
+    index = RuleIndex(rules, {})
+    assert index.best("www.site5.org", "/a5/", None) == ("site5.org/a5/", "block") and len(index.compiled) <= 2
