@@ -13,7 +13,8 @@ a slot.
 
 The driver walks the slots once, in memory bounded by the number of sources, and
 notes the state at every border of a stretch of slots; executors walk the stretches
-again and write the slot of each block. Rows find their block from a gapless number
+again and write the slot of each block. Blocks are as long as it takes for the number of
+slots to stay bounded; the guarantee is in blocks. Rows find their block from a gapless number
 within their source (range-partitioned, so a hot source spans many partitions).
 
 Without given weights a source's target is its row count to the power ``temper``, and
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.staging import numbered
+from tandem.llm.staging import fresh_name, numbered
 
 BLOCK = 8
 TEMPER = 0.9
@@ -54,40 +55,10 @@ RUN = 1 << 10
 #: Blocks up to which the schedule is broadcast (16 bytes each); else the join is shuffled.
 BROADCAST_BLOCKS = 2_000_000
 
-_SCHEDULE = "mix_source string, _run long, _block long, _slot long, _start long"
-
-
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole numbers of slots for every positive weight, summing to the period: largest remainders, 1 at least."""
-    weights = {s: w for s, w in weights.items() if w > 0}
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) * period / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (out[s] - exact[s], s))  # furthest below their share first
-    i = 0
-    while (left := period - sum(out.values())) > 0:
-        out[order[i % len(order)]] += 1
-        i += 1
-    while left < 0:  # the least shares of 1 took too much
-        most = max(out, key=lambda s: (out[s] - exact[s], s))
-        if out[most] == 1:
-            most = max(out, key=lambda s: (out[s], s))
-        out[most] -= 1
-        left += 1
-    return out
-
-
-def schedule(slots: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of one period given to each source."""
-    ideal = Ideal(slots, slots)
-    at: dict[str, list[int]] = {s: [] for s in slots}
-    for slot, i, _ in ideal.walk([0] * len(ideal.names), 0, sum(slots.values())):
-        at[ideal.names[i]].append(slot)
-    return at
-
+#: Full blocks of a mix, at most, unless the block is given: the driver walks every slot once (about 12 us each).
+MOST_BLOCKS = 1 << 22
 
-def period_for(sources: int) -> int:
-    return max(1000, 8 * sources)
+_SCHEDULE = "mix_source string, _run long, _block long, _slot long, _start long"
 
 
 class Ideal:
@@ -185,16 +156,28 @@ def _slots_of(ideal: Ideal) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK,
-        temper: float = TEMPER, whole: bool | None = None) -> DataFrame:
+def block_rows(rows: int, least: int = BLOCK, blocks: int = MOST_BLOCKS) -> int:
+    """Rows of a block: ``least``, doubled until no more than ``blocks`` blocks are full."""
+    size = least
+    while rows // size > blocks:
+        size *= 2
+    return size
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int | None = None,
+        temper: float = TEMPER, whole: bool | None = None, keep: list[str] | None = None) -> DataFrame:
     """Every row with mix_source, mix_block, mix_slot, mix_position and in_mix.
 
-    Columns of the input that bear one of these names are replaced.
+    Columns of the input that bear one of these names are replaced; ``keep`` names the columns of the
+    input to carry (default: all). ``block`` is :func:`block_rows` of the table unless given.
     """
     own = ["mix_source", "mix_block", "mix_slot", "mix_position", "in_mix"]
-    docs = docs.drop(*own)
-    docs = docs.withColumn("mix_source", F.coalesce("source", F.lit("")))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    # texts that are not kept go before any row moves
+    order = fresh_name("_order", docs)
+    docs = docs.select(*kept, F.coalesce("source", F.lit("")).alias("mix_source"), F.xxhash64("doc_id", "text").alias(order))
     counts = {r["mix_source"]: r["n"] for r in docs.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
+    block = block or block_rows(sum(counts.values()))
     targets = weights if weights is not None else {s: n ** temper for s, n in counts.items()}
     ideal = Ideal(targets, counts, block)
     parts, end = stretches(ideal)
@@ -203,21 +186,26 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         end = total
     elif len(ideal.names) < sum(w > 0 for w in targets.values()):
         end = 0
+    number, run, slots, starts = (fresh_name(n, docs) for n in ("_number", "_run", "_slots", "_starts"))
     plan = docs.sparkSession.createDataFrame(parts, "slot long, stop long, rows long, had array<long>")
     plan = (plan.mapInArrow(_slots_of(ideal), _SCHEDULE).groupBy("mix_source", "_run")
             .agg(F.sort_array(F.collect_list(F.struct("_block", "_slot", "_start"))).alias("_at"))
-            .select("mix_source", "_run", F.col("_at._slot").alias("_slots"), F.col("_at._start").alias("_starts")))
-    rows = numbered(docs, "mix_source", [F.xxhash64("doc_id", "text").asc()], "_number")
-    rows = rows.withColumn("mix_block", F.expr(f"_number div {block}")).withColumn("_run", F.expr(f"mix_block div {RUN}"))
-    rows = rows.join(F.broadcast(plan) if total <= BROADCAST_BLOCKS else plan, ["mix_source", "_run"], "left")
+            .select("mix_source", F.col("_run").alias(run), F.col("_at._slot").alias(slots), F.col("_at._start").alias(starts)))
+    rows = numbered(docs, "mix_source", [F.col(order).asc()], number)
+    rows = rows.withColumn("mix_block", F.floor(F.col(number) / block)).withColumn(run, F.floor(F.col("mix_block") / RUN))
+    rows = rows.join(F.broadcast(plan) if total <= BROADCAST_BLOCKS else plan, ["mix_source", run], "left")
     place = (F.col("mix_block") % RUN + 1).cast("int")
-    rows = rows.withColumn("mix_slot", F.element_at("_slots", place))
+    rows = rows.withColumn("mix_slot", F.element_at(slots, place))
     rows = rows.withColumn("in_mix", F.coalesce(F.col("mix_slot") < end, F.lit(False)))
-    rows = rows.withColumn("mix_position", F.when(F.col("in_mix"), F.element_at("_starts", place) + F.col("_number") % block))
-    return rows.select(*docs.columns[:-1], *own)
-
-
-def keep_mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """All rows of the sources that have a weight, in the order of the whole mix, with the columns of the input."""
-    rows = mix(docs, weights, block, whole=True).where("in_mix")
-    return rows.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    rows = rows.withColumn("mix_position", F.when(F.col("in_mix"), F.element_at(starts, place) + F.col(number) % block))
+    return rows.select(*kept, *own)
+
+
+def keep_mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int | None = None) -> DataFrame:
+    """All rows of the sources that have a weight, in the order of the whole mix, with the columns of the input,
+    those that are named like a column of the mix as well."""
+    own = {"mix_source", "mix_block", "mix_slot", "mix_position", "in_mix"}
+    held = {c: fresh_name(f"own_{c}", docs) for c in docs.columns if c in own}
+    rows = mix(docs.withColumnsRenamed(held), weights, block, whole=True).where("in_mix")
+    placed = rows.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+    return placed.select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])

@@ -19,8 +19,10 @@ broadcast, else by a join.
 
 Defined cases: null texts stay null and have no lines; null ids come after all ids
 (then by row key); repeated rows (same id and text) keep the same lines, in each of
-them; an empty table gives an empty result; extra columns are returned unchanged by
-``dedup_lines``.
+them; ``dedup_lines`` leaves out rows that lose their last word (texts without a word from the
+start stay) and returns extra columns unchanged, whatever their names; an empty table gives an
+empty result. A text may be as long as Arrow allows (2 GB); memory is a few dozen times the
+longest one.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tandem.llm import textops as T
 from tandem.llm.components import components
 from tandem.llm.grouplinks import HEAVY, bounded_join, links
-from tandem.llm.staging import join_summary, stage
+from tandem.llm.staging import fresh_name, join_summary, stage
 
 GRAM, NUM, DEN = 8, 8, 10
 BANDS, ROWS = 8, 4
@@ -82,10 +85,11 @@ def char_sets(gram: int):
         for s in T.slices(pa.array(texts, pa.string())):
             begin, end = s.offsets[:-1], s.offsets[1:]
             tok, own = _shingles(s.data, begin, end, gram)
-            order = np.lexsort((tok, own))
-            tok, own = tok[order], own[order]
-            new = np.r_[True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])] if len(tok) else np.zeros(0, bool)
-            out += np.split(tok[new], np.searchsorted(own[new], np.arange(1, len(begin))))
+            n = np.bincount(own, minlength=len(begin))
+            if len(tok) and (own[1:] < own[:-1]).any():  # short lines come last
+                tok = tok[np.argsort(own, kind="stable")]
+            tok, first = T.distinct_sets(tok, np.r_[0, np.cumsum(n)])
+            out += np.split(tok, first[1:-1])
         return out
     return tokens
 
@@ -207,6 +211,10 @@ def removed_lines(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int =
     return gone.groupBy("rk").agg(F.sort_array(F.collect_set("pos")).alias("removed_lines"))
 
 
+def has_words(text: str | None) -> bool:
+    return bool(text and text.strip(" \t\n\v\f\r"))
+
+
 def _without(text: str, removed: list[int] | None) -> str:
     if not removed:
         return text
@@ -214,25 +222,30 @@ def _without(text: str, removed: list[int] | None) -> str:
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
 
-def _rewrite(names: list[str]):
+def _rewrite(schema: StructType, removed: str):
+    counted = "n_chars" in schema.names and schema["n_chars"].dataType.typeName() in ("long", "integer")
+
     def run(batches):
         for batch in batches:
-            texts = [None if t is None else _without(t, r) for t, r in
-                     zip(batch.column("text").to_pylist(), batch.column("_removed").to_pylist())]
-            columns = {n: batch.column(n) for n in names}
+            before, gone = batch.column("text").to_pylist(), batch.column(removed).to_pylist()
+            texts = [None if t is None else _without(t, r) for t, r in zip(before, gone)]
+            kept = pa.array([not r or has_words(t) for t, r in zip(texts, gone)], pa.bool_())
+            columns = {n: batch.column(n) for n in schema.names}
             columns["text"] = pa.array(texts, pa.string())
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_pydict(columns)
+            if counted:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.column("n_chars").type)
+            yield pa.RecordBatch.from_pydict(columns).filter(kept)
     return run
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """The rows with their repeated lines removed; n_chars (if a long) is that of the new text."""
+    """The rows with their repeated lines removed, those that lose their last word left out;
+    n_chars, if an integer, is that of the new text."""
     gone = removed_lines(docs, **options)
-    keyed = docs.withColumn("_rk", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(gone.select(F.col("rk").alias("_rk"), F.col("removed_lines").alias("_removed")), "_rk", "left")
-    return joined.drop("_rk").mapInArrow(_rewrite(docs.columns), docs.schema)
+    rk, removed = fresh_name("_rk", docs), fresh_name("_removed", docs)
+    keyed = docs.withColumn(rk, F.xxhash64("doc_id", "text"))
+    joined = keyed.join(gone.select(F.col("rk").alias(rk), F.col("removed_lines").alias(removed)), rk, "left")
+    return joined.drop(rk).mapInArrow(_rewrite(docs.schema, removed), docs.schema)
 
 
 def _digest(batches):

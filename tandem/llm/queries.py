@@ -100,7 +100,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_mixing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    return mix(_table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
 
 
 @register("op9_fingerprints")

@@ -2,8 +2,8 @@
 
 A staged table cuts lineage (a lost executor costs a re-read, not a recompute)
 and fixes what a later stage relies on, such as row numbers. Tables lie in a folder
-of their application, in the scope that was set when they were written:
-``drop_staged`` removes a scope, or all, once the results are written.
+of their application, the same at every call, in the scope that was set when they were
+written: ``drop_staged`` removes a scope, or all, once the results are written.
 """
 
 from __future__ import annotations
@@ -49,6 +49,14 @@ def drop_staged(spark: SparkSession, scope: str | None = None) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh_name(name: str, *frames: DataFrame) -> str:
+    """A column name that no column of the frames has, whatever its case."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join rows with an aggregate of theirs on its keys, which must not be null.
 
@@ -66,15 +74,15 @@ def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataF
     group spans many partitions, sorted there and staged with their running ids;
     only one row for each (partition, group) is then summed up to offsets.
     """
+    at, part, p, g, first, n, base = (fresh_name(x, df) for x in ("_at", "_part", "_p", "_g", "_first", "_n", "_base"))
     keys = [F.col(group).asc_nulls_first(), *order]
     placed = stage(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                   .withColumn("_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_part", F.shiftright("_at", 33))
-    spans = placed.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = (Window.partitionBy(group).orderBy("_part")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
-    spans = spans.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), "_base")
+                   .withColumn(at, F.monotonically_increasing_id()))
+    placed = placed.withColumn(part, F.shiftright(at, 33))
+    spans = placed.groupBy(part, group).agg(F.min(at).alias(first), F.count("*").alias(n))
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn(base, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first))
+    spans = spans.select(F.col(part).alias(p), F.col(group).alias(g), base)
     # a partition holds few groups and a group few partitions: one row each
-    return (placed.join(spans, F.col("_part").eqNullSafe(F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
-            .withColumn(name, F.col("_at") + F.col("_base")).drop("_at", "_part", "_p", "_g", "_base"))
+    return (placed.join(spans, F.col(part).eqNullSafe(F.col(p)) & F.col(group).eqNullSafe(F.col(g)))
+            .withColumn(name, F.col(at) + F.col(base)).drop(at, part, p, g, base))

@@ -119,6 +119,17 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES, lower: bool = False) -> It
         lo = hi
 
 
+def distinct_sets(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every text's tokens sorted and distinct, with the first one of each text (and the end).
+    Each text is sorted on its own, in place: far faster than one sort by (text, token)."""
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+        tokens[lo:hi].sort()
+    new = np.ones(len(tokens), dtype=bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    new[first[:-1][first[:-1] < len(tokens)]] = True
+    return tokens[new], np.r_[0, np.cumsum(new)][first]
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """Index of the text of every word, from the first-word index of every text."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

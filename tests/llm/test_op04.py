@@ -99,3 +99,14 @@ def test_components_of_long_paths(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 300: 300, 301: 300, 302: 300}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_clashing_names_survive(spark):
+    from pyspark.sql import functions as F
+    from tandem.llm.op04_jaccard import one_of_each
+    names = ["_rk", "_rk_", "c", "component", "first", "times", "_again"]
+    docs = documents(spark).withColumns({n: F.lit(7) for n in names})
+    out = one_of_each(docs)
+    assert out.columns == docs.columns and out.select(*names).distinct().collect() == [tuple([7] * len(names))]
+    assert sorted((r.doc_id, r.text) for r in out.collect() if r.doc_id is not None) == sorted(
+        (r.doc_id, r.text) for r in one_of_each(documents(spark)).collect() if r.doc_id is not None)

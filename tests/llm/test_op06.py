@@ -5,9 +5,43 @@ from fractions import Fraction
 from helpers import documents, fixture_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tandem.llm import op06_mixing
-from tandem.llm.op06_mixing import Ideal, keep_mixed, mix, period_for, schedule, shares
+from tandem.llm.op06_mixing import Ideal, block_rows, keep_mixed, mix
+
+
+def shares(weights: dict[str, float], period: int) -> dict[str, int]:
+    """Whole numbers of slots for every positive weight, summing to the period: largest remainders, 1 at least."""
+    weights = {s: w for s, w in weights.items() if w > 0}
+    total = sum(Fraction(w) for w in weights.values())
+    exact = {s: Fraction(w) * period / total for s, w in weights.items()}
+    out = {s: max(1, int(x)) for s, x in exact.items()}
+    order = sorted(exact, key=lambda s: (out[s] - exact[s], s))  # furthest below their share first
+    i = 0
+    while (left := period - sum(out.values())) > 0:
+        out[order[i % len(order)]] += 1
+        i += 1
+    while left < 0:  # the least shares of 1 took too much
+        most = max(out, key=lambda s: (out[s] - exact[s], s))
+        if out[most] == 1:
+            most = max(out, key=lambda s: (out[s], s))
+        out[most] -= 1
+        left += 1
+    return out
+
+
+def schedule(slots: dict[str, int]) -> dict[str, list[int]]:
+    """Slots of one period given to each source."""
+    ideal = Ideal(slots, slots)
+    at: dict[str, list[int]] = {s: [] for s in slots}
+    for slot, i, _ in ideal.walk([0] * len(ideal.names), 0, sum(slots.values())):
+        at[ideal.names[i]].append(slot)
+    return at
+
+
+def period_for(sources: int) -> int:
+    return max(1000, 8 * sources)
 
 
 @settings(max_examples=200, deadline=None)
@@ -139,3 +173,20 @@ def test_mix_holds_weights_that_divide_no_period(spark):
     for n, r in enumerate(mixed, 1):
         had[r.mix_source] += 1
         assert all(abs(had[s] - n * w) < 1 for s, w in weights.items())
+
+
+def test_clashing_names_and_kept_columns(spark):
+    names = ["_at", "_number", "_run", "_order", "_slots", "_starts", "_part", "_p", "_g", "_base", "_first", "_n", "MIX_slot_"]
+    docs = documents(spark).withColumns({n: F.lit(777) for n in names})
+    out = mix(docs, block=4)
+    assert out.select(*names).distinct().collect() == [tuple([777] * len(names))] and out.count() == docs.count()
+    plain = {(r.doc_id, r.source, r.mix_position) for r in mix(documents(spark), block=4).collect()}
+    assert {(r.doc_id, r.source, r.mix_position) for r in out.collect()} == plain
+    assert {(r.doc_id, r.source, r.mix_position) for r in mix(docs, block=4, keep=["doc_id", "source"]).collect()} == plain
+    own = documents(spark).withColumns({"mix_slot": F.lit(5), "in_mix": F.lit("x"), "own_mix_slot": F.lit(6)})
+    kept = keep_mixed(own)
+    assert kept.columns == own.columns and kept.select("mix_slot", "in_mix", "own_mix_slot").distinct().collect() == [(5, "x", 6)]
+
+
+def test_block_grows_with_the_table():
+    assert [block_rows(n, 8, 100) for n in (0, 807, 808, 1615, 1616, 10 ** 6)] == [8, 8, 16, 16, 32, 16384]

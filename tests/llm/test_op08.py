@@ -101,8 +101,13 @@ def test_production_bands_find_nearly_all(spark):
 def test_dedup_rewrites_rows(spark):
     docs = documents(spark, lines_fixture() + [(500, None, None, None, None)])
     out = dedup_lines(docs)
-    assert out.schema == docs.schema and out.count() == 81
     digest = {r.doc_id: r.kept_sha256 for r in line_report(docs).collect()}
+    left = {r.doc_id for r in out.collect()}
+    texts = {d: t for d, t, *_ in lines_fixture()}
+    gone = [d for d in digest if d not in left]
+    assert out.schema == docs.schema and out.count() == 81 - len(gone)
+    blank = {hashlib.sha256(("\n" * n).encode()).hexdigest() for n in range(200)} | {hashlib.sha256(b" ").hexdigest()}
+    assert all(digest[d] in blank or not words(texts[d]) for d in gone)
     for r in out.collect():
         assert hashlib.sha256((r.text or "").encode()).hexdigest() == digest[r.doc_id]
         assert r.n_chars == (None if r.text is None else len(r.text))
@@ -138,3 +143,31 @@ def test_broadcast_lists_are_bounded_by_their_entries(spark, monkeypatch):
     monkeypatch.setattr(grouplinks.F, "broadcast", spy)
     assert sorted(map(tuple, line_report(docs).collect())) == want
     assert sent and max(x or 0 for x in sent) <= limit
+
+
+def test_groups_with_many_open_members_get_new_pivots(spark, monkeypatch):
+    """Two centres and strays in one band: pivots level by level find the same components."""
+    rng = random.Random(4)
+    rows, n = lines_fixture(), 0
+    for _ in range(2):
+        centre = prose(rng, 40).replace("\n", " ")
+        for _ in range(25):
+            w = centre.split(" ")
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = "x%d" % rng.randrange(30)
+            rows.append((600 + n, " ".join(w), None, None, 1))
+            n += 1
+    want = sorted(map(tuple, line_report(documents(spark, rows), bands=16, rows=2).collect()), key=str)
+    monkeypatch.setattr(grouplinks, "OPEN_PAIRS", 2)
+    assert sorted(map(tuple, line_report(documents(spark, rows), bands=16, rows=2, heavy=4).collect()), key=str) == want
+
+
+def test_clashing_names_survive(spark):
+    rows = lines_fixture()
+    names = ["_rk", "_removed", "_removed_", "c", "pos", "id", "g", "first", "again", "_again"]
+    docs = documents(spark, rows).drop("n_chars").withColumns({**{n: F.lit(7) for n in names}, "n_chars": F.lit("many")})
+    out = dedup_lines(docs)
+    assert out.schema == docs.schema and out.select(*names, "n_chars").distinct().collect() == [tuple([7] * len(names)) + ("many",)]
+    assert {r.doc_id: r.text for r in out.collect()} == {r.doc_id: r.text for r in dedup_lines(documents(spark, rows)).collect()}
+    short = dedup_lines(documents(spark, rows).withColumn("n_chars", F.col("n_chars").cast("int")))
+    assert all(r.n_chars == len(r.text) for r in short.collect())
