@@ -272,14 +272,15 @@ def _odd_sql(games: str) -> str:
     f = ("f AS (SELECT game_id, is_home, team, " + feature_select(windows=(3, 10, 15),
          stats=["points_scored"], std_stats=["total_points"], pace=False, trend=False) + " FROM long)")
     return ("WITH " + GAMES_CTES.strip() + ",\n" + games + ",\n" + LONG_CTES.replace("FROM games", "FROM gs").strip() + ",\n" + f + "\n"
-            + project(KEY + SKEW_COLS, "f"))
+            + project(KEY + SKEW_COLS, "f").replace("season_ppg", "round(season_ppg, 6) AS season_ppg"))
 
 
 def _odd_features(games):
     policy = SplitPolicy(hot_rows=1000, bucket_rows=500)
     f = trailing_features(team_games(games), stats=["points_scored"], windows=[3, 10, 15], std_stats=["total_points"],
                           pace=False, trend=False, split=policy)
-    return rounded(f, KEY + SKEW_COLS)
+    # a season of a third of all rows: engines add such a mean up in other orders
+    return rounded(f.withColumn("season_ppg", F.round("season_ppg", 6)), KEY + SKEW_COLS)
 
 
 @register("W1_W9_hot_day", _odd_sql(
