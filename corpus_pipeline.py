@@ -54,15 +54,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the mix of sources at their target weights."""
+    """The rows of the mix of sources at their target weights, in its order, which packing follows."""
     with _fresh(spark):
         return keep_mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of a document with its sequence and place."""
+    """Every piece of a document with its sequence and place; sequences come in the order of the mix."""
     with _fresh(spark):
-        return pack(docs)
+        return pack(docs, ordered=True)
 
 
 STAGES = [

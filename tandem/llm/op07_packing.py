@@ -14,6 +14,10 @@ list of (length, rank range) -> (sequence range, place) steps. Every piece finds
 its own place from its length and its rank among the pieces of that length;
 ranks come from counts for each (partition, length). Texts are never shuffled.
 
+Where the order of the rows matters (``ordered``), as after mixing, ranks follow it and
+sequences are numbered by the first piece they hold, so reading them in turn meets the
+documents' first pieces in that order. The plan, and so the number of sequences, is the same.
+
 Defined cases: null and empty texts are one id (0) long; repeated rows and null
 ids are packed like any other; an empty table gives an empty result.
 """
@@ -29,10 +33,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.staging import stage
+from tandem.llm.staging import in_order, numbered, stage
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -92,7 +96,7 @@ def tokenizer_path(path: str | None) -> str:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
-def piece_batches(path: str | None, capacity: int):
+def piece_batches(path: str | None, capacity: int, carried: tuple[str, ...] = ()):
     def run(batches):
         enc = encoder(tokenizer_path(path))
         part = TaskContext.get().partitionId()
@@ -120,8 +124,9 @@ def piece_batches(path: str | None, capacity: int):
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()),
                      pa.array(cols[2], pa.int64()), pa.array(length), pa.array(cols[4], pa.int64()),
-                     pa.array(np.full(len(length), part, np.int32)), pa.array(rank)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+                     pa.array(np.full(len(length), part, np.int32)), pa.array(rank)]
+                    + [rows.column(c).take(pa.array(cols[0], pa.int64())) for c in carried],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *carried])
     return run
 
 
@@ -193,7 +198,7 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> Packer:
 _RANK_BITS = 44
 
 
-def place_batches(steps):
+def place_batches(steps, carried: tuple[str, ...] = ()):
     def run(batches):
         plan = steps.value
         key, first_rank, first_seq, each, offset = plan
@@ -204,24 +209,51 @@ def place_batches(steps):
             j = rank - first_rank[at]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-                + [pa.array(first_seq[at] + j // each[at]), pa.array(offset[at] + (j % each[at]) * length)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                + [pa.array(first_seq[at] + j // each[at]), pa.array(offset[at] + (j % each[at]) * length)]
+                + [batch.column(c) for c in carried],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *carried])
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece with its sequence and place (see the module)."""
+def _plan(spark: SparkSession, total: dict[int, int], capacity: int):
+    """The steps of the packing, broadcast."""
+    packer = pack_histogram(total, capacity)
+    plan = np.array(sorted(packer.steps) or [(0, 0, 1, 0, 1, 0)], dtype=np.int64)
+    return spark.sparkContext.broadcast(
+        ((plan[:, 0] << _RANK_BITS) + plan[:, 1], plan[:, 1], plan[:, 3], plan[:, 4], plan[:, 5]))
+
+
+_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, ordered: bool = False) -> DataFrame:
+    """One row per piece with its sequence and place (see the module); ``ordered`` takes a table as it is read."""
     spark = docs.sparkSession
+    if ordered:
+        return _pack_in_order(docs, capacity, tokenizer)
     pieces = stage(docs.select("doc_id", "text").mapInArrow(piece_batches(tokenizer, capacity), PIECES))
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    packer = pack_histogram(total, capacity)
-    plan = np.array(sorted(packer.steps) or [(0, 0, 1, 0, 1, 0)], dtype=np.int64)
-    steps = spark.sparkContext.broadcast(
-        ((plan[:, 0] << _RANK_BITS) + plan[:, 1], plan[:, 1], plan[:, 3], plan[:, 4], plan[:, 5]))
+    steps = _plan(spark, total, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = (pieces.join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
               .select("doc_id", "piece", "start", "length", "ids_crc32", "rank"))
-    return ranked.mapInArrow(place_batches(steps), "doc_id long, piece int, start long, length long, "
-                                                   "ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place_batches(steps), _PLACED)
+
+
+def _pack_in_order(docs: DataFrame, capacity: int, tokenizer: str | None) -> DataFrame:
+    """Pieces of a length take their places in the order of the rows; sequences are numbered by their first piece."""
+    spark = docs.sparkSession
+    rows, at = in_order(docs, ["doc_id", "text"])
+    pieces = stage(rows.mapInArrow(piece_batches(tokenizer, capacity, at), PIECES + "".join(f", {c} long" for c in at)))
+    order = [F.col(c).asc() for c in (*at, "piece")]
+    total = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    ranked = numbered(pieces.drop("rank"), "length", order, "rank")
+    placed = stage(ranked.mapInArrow(place_batches(_plan(spark, total, capacity), at),
+                                     _PLACED + "".join(f", {c} long" for c in at)))
+    first = placed.groupBy("sequence_id").agg(F.min(F.struct(*at, "piece")).alias("first"))
+    first = first.select("sequence_id", "first.*", F.lit(0).alias("all"))
+    turn = numbered(first, "all", order, "turn").select("sequence_id", "turn")
+    return placed.join(turn, "sequence_id").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", F.col("turn").alias("sequence_id"), "offset")

@@ -15,6 +15,7 @@ import test_op07  # noqa: E402
 import test_op08  # noqa: E402
 
 from tandem.llm.op05_quality import judge  # noqa: E402
+from tandem.llm.op06_mixing import mix  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -134,6 +135,39 @@ def pieces_of(rows):
     return sorted(test_op07.brute(rows, 2048))
 
 
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """Another order of the same rows gives other sequences, numbered by the place of their first piece in the mix."""
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randint(20, 900)), "xx", f"src{0 if i < 240 else 1 if i < 290 else 2}", 1) for i in range(300)]
+    docs = documents(spark, rows).select(*COLUMNS)
+    place = {r.doc_id: r.mix_position for r in mix(docs).collect()}
+    corpus_pipeline.mixing(spark, docs, "").repartitionByRange(5, "doc_id").write.parquet(str(tmp_path / "other"))
+    corpus_pipeline.mixing(spark, docs, "").write.option("maxRecordsPerFile", 40).parquet(str(tmp_path / "mixed"))
+    numbers = {}
+    for name in ("mixed", "other"):
+        out = corpus_pipeline.packing(spark, spark.read.parquet(str(tmp_path / name)), "").collect()
+        assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == pieces_of(rows)
+        test_op07.check_places(out, 2048)
+        numbers[name] = out
+    first = {}
+    for r in numbers["mixed"]:
+        first.setdefault(r.sequence_id, []).append((place[r.doc_id], r.piece))
+    assert sorted(first) == list(range(len(first))) and len(first) == len({r.sequence_id for r in numbers["other"]})
+    order = [min(first[n]) for n in sorted(first)]
+    assert order == sorted(order)
+    # within a length as well
+    by_length = {}
+    for r in numbers["mixed"]:
+        by_length.setdefault(r.length, []).append((place[r.doc_id], r.piece))
+    assert any(len(x) > 1 for x in by_length.values())
+    sequence = lambda out: {(r.doc_id, r.piece): r.sequence_id for r in out}
+    assert sequence(numbers["mixed"]) != sequence(numbers["other"])
+    # a frame that was not read from files has the order of its partitions
+    mixed = sorted(rows, key=lambda r: place[r[0]])
+    direct = corpus_pipeline.packing(spark, documents(spark, mixed).select(*COLUMNS), "").collect()
+    assert sequence(direct) == sequence(numbers["mixed"])
+
+
 def test_run_and_registration(spark, tmp_path):
     documents(spark, pipeline_rows()).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
