@@ -65,6 +65,33 @@ def test_a_large_near_group_by_pivots(spark, edits, seed):
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 3, 90, 100)
 
 
+def test_edits_of_the_pivot_make_no_candidates(spark, monkeypatch):
+    """Copies with two edits each, none shared: no two are linked, and the edits of the pivot, which stand in the
+    differences of all others, must not make candidates of all pairs. Some more lie nearer to the text itself."""
+    from tandem.llm import grouplinks
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(140):
+        w = list(base)
+        for at in rng.sample(range(10, 140, 4), 2 if i < 120 else 1):
+            w[at] = f"edit{i}at{at}"
+        rows.append((i, " ".join(w), None, None, 0))
+    seen = []
+    plain = grouplinks._residual_pairs
+
+    def counted(*args, **kwargs):
+        pairs = plain(*args, **kwargs).localCheckpoint()
+        seen.append(pairs.count())
+        return pairs
+    monkeypatch.setattr(grouplinks, "_residual_pairs", counted)
+    for part in (rows[:120], rows):
+        seen.clear()
+        got = jaccard_components(documents(spark, part), 3, 90, 100, heavy=4).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(part, 3, 90, 100)
+        assert len(seen) == 1 and seen[0] < 8 * len(part)
+
+
 def test_one_of_each(spark):
     rows = fixture_rows()
     docs = documents(spark)
