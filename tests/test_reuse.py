@@ -19,3 +19,12 @@ def test_prediction_log_is_scored_once(spark):
     assert "Window" not in _plan(log)
     latest = scored.agg(F.max("season")).first()[0]
     assert log.count() == scored.count() + scored.filter(F.col("season") == latest).count()
+
+
+def test_daily_update_lands_the_feeds_it_reads(spark, monkeypatch):
+    from tandem.plans import queries_jobs, queries_sources
+    landed, land = [], queries_sources.landing_from_games
+    monkeypatch.setattr(queries_sources, "landing_from_games",
+                        lambda games, path, feeds: landed.append(feeds) or land(games, path, feeds))
+    assert queries_jobs.q_daily(spark, SF).count() == 1
+    assert landed == [("scoreboard", "boxscore")]
