@@ -80,14 +80,19 @@ class FeatureState:
         rows = self.table.read()
         return rows if entities is None else _of_entities(rows, entities, self.spec.entity)
 
-    def _kept(self, features: DataFrame, counts: DataFrame) -> DataFrame:
-        """The last rows of every entity, and its newest with and without a season, with its row count."""
+    def _marked(self, features: DataFrame) -> DataFrame:
+        """Features with ``_last``: the last rows of every entity, and its newest with and without a season.
+        On the plan of the features itself, whose rows are dealt by entity already."""
         e, back = self.spec.entity, order_by(self.spec.order, reverse=True)
         unknown = F.col(self.spec.season_col).isNull()
-        last = features.withColumns({
+        return features.withColumns({
             "_n": F.row_number().over(Window.partitionBy(e).orderBy(*back)),
             "_s": F.row_number().over(Window.partitionBy(e, unknown).orderBy(*back)),
-        }).filter((F.col("_n") <= self.spec.lookback + 1) | (F.col("_s") == 1))
+        }).withColumn("_last", (F.col("_n") <= self.spec.lookback + 1) | (F.col("_s") == 1)).drop("_n", "_s")
+
+    def _kept(self, marked: DataFrame, counts: DataFrame) -> DataFrame:
+        """The rows that state keeps, with their entity's row count."""
+        e, last = self.spec.entity, marked.filter("_last")
         counts = counts.select(F.col(e).alias("_e"), "entity_rows")
         return last.join(counts, F.col(e).eqNullSafe(F.col("_e"))).select(
             *self.spec.columns, *self.spec.counters, "entity_rows", self._bucket())
@@ -135,9 +140,9 @@ class FeatureState:
             added = on_time.groupBy(e).agg(F.count(F.lit(1)).alias("entity_rows"))
             counts = before.unionByName(added).groupBy(e).agg(F.sum("entity_rows").alias("entity_rows"))
         marked = union.withColumnRenamed("_old", "was_state").withColumnRenamed("_base", "season_base")
-        features = self._written(spec.features(marked, base="season_base").drop("season_base"))
+        features = self._written(self._marked(spec.features(marked, base="season_base").drop("season_base")))
         late = self._written(late)
-        on_time = features.filter(~F.col("was_state")).drop("was_state")
+        on_time = features.filter(~F.col("was_state")).drop("was_state", "_last")
         if before_commit is not None:
             before_commit(on_time, late)
         self._commit(self._kept(features, counts), entities, tags)
@@ -154,8 +159,7 @@ class FeatureState:
         """State of some entities (None: all) from their whole history."""
         e = self.spec.entity
         rows = history if entities is None else _of_entities(history, entities, e)
-        features = self.spec.features(rows)
-        kept = self._kept(features, rows.groupBy(e).agg(F.count(F.lit(1)).alias("entity_rows")))
+        kept = self._kept(self._marked(self.spec.features(rows)), rows.groupBy(e).agg(F.count(F.lit(1)).alias("entity_rows")))
         if entities is None:
             self.table.commit(kept, None, tags)
         else:

@@ -28,3 +28,13 @@ def test_daily_update_lands_the_feeds_it_reads(spark, monkeypatch):
                         lambda games, path, feeds: landed.append(feeds) or land(games, path, feeds))
     assert queries_jobs.q_daily(spark, SF).count() == 1
     assert landed == [("scoreboard", "boxscore")]
+
+
+def test_state_rows_stay_dealt_by_entity(spark, tmp_path):
+    from tandem.operators.incremental import FeatureSpec, FeatureState
+    spec = FeatureSpec(stats=["v"], rest=False, season_stats={"season_v": "v"})
+    rows = spark.range(60).select(F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("team"), F.lit(2000).alias("season"),
+                                  F.date_add(F.lit(dt.date(2000, 1, 1)), F.col("id").cast("int")).alias("date"),
+                                  (F.col("id") % 2).cast("int").alias("is_home"), F.col("id").alias("game_id"), F.col("id").alias("v"))
+    state = FeatureState(spark, str(tmp_path / "state"), spec)
+    assert _plan(state._marked(spec.features(rows))).count("Exchange hash") == 1
