@@ -213,7 +213,7 @@ def judge(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary: str
 
     def run(batches):
         model = pieces(vocabulary_path(vocabulary))
-        for batch in batches:
+        for batch in T.row_runs(batches):
             out = _judged(batch, model, bands)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {
                 k: pa.array(v, pa.string() if k == "script" else pa.bool_() if k in ("base_failed", "kept")
@@ -225,13 +225,14 @@ def judge(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary: str
              "top_share double, script string, kept boolean")
 
 
-def keep_good(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary: str | None = None) -> DataFrame:
-    """The rows that pass, with their columns unchanged."""
-    bands = bands or BANDS
-
+def _good(bands: dict[str, Band], vocabulary: str | None):
     def run(batches):
         model = pieces(vocabulary_path(vocabulary))
-        for batch in batches:
+        for batch in T.row_runs(batches):
             yield batch.filter(pa.array(_judged(batch, model, bands)["kept"], pa.bool_()))
+    return run
 
-    return docs.mapInArrow(run, docs.schema)
+
+def keep_good(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary: str | None = None) -> DataFrame:
+    """The rows that pass, with their columns unchanged."""
+    return docs.mapInArrow(_good(bands or BANDS, vocabulary), docs.schema)

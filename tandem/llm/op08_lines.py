@@ -43,7 +43,7 @@ from tandem.llm.staging import fresh_name, join_summary, stage
 GRAM, NUM, DEN = 8, 8, 10
 BANDS, ROWS = 8, 4
 #: Classes a task remembers so as not to repeat their bands; a memory bound only.
-SEEN = 2_000_000
+SEEN = 500_000
 
 _NEWLINE = np.zeros(256, dtype=bool)
 _NEWLINE[10] = True
@@ -57,7 +57,7 @@ def _lines(s: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     line = newlines[begin]                      # newlines before the word in the slice
     own = T.owners(first)
     lead = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (own[1:] != own[:-1])]) if len(begin) else own
-    last = np.r_[lead[1:], len(begin)] - 1
+    last = np.r_[lead[1:], len(begin)] - 1 if len(begin) else lead  # a run of texts may have no word at all
     text = own[lead]
     return begin[lead], end[last], text, line[lead] - newlines[s.offsets[text]]
 
@@ -163,7 +163,7 @@ def _line_batches(gram: int, bands: int, rows: int):
 
 def _picked_lines(batches):
     """Lower-cased text of the listed lines."""
-    for batch in batches:
+    for batch in T.row_runs(batches):
         ids, texts = [], []
         found = batch.column("found").to_pylist()
         for s in T.slices(batch.column("text"), lower=True):
@@ -226,7 +226,7 @@ def _rewrite(schema: StructType, removed: str):
     counted = "n_chars" in schema.names and schema["n_chars"].dataType.typeName() in ("long", "integer")
 
     def run(batches):
-        for batch in batches:
+        for batch in T.row_runs(batches):
             before, gone = batch.column("text").to_pylist(), batch.column(removed).to_pylist()
             texts = [None if t is None else _without(t, r) for t, r in zip(before, gone)]
             kept = pa.array([not r or has_words(t) for t, r in zip(texts, gone)], pa.bool_())
@@ -249,7 +249,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
 
 
 def _digest(batches):
-    for batch in batches:
+    for batch in T.row_runs(batches):
         texts, removed = batch.column("text").to_pylist(), batch.column("removed_lines").to_pylist()
         kept = [_without(t or "", r) for t, r in zip(texts, removed)]
         yield pa.RecordBatch.from_arrays(
