@@ -73,3 +73,17 @@ def test_means_fetch_earlier_rows_once(spark):
     long = team_games(load_games(spark, SF))
     plan = trailing_features(long)._jdf.queryExecution().executedPlan().toString()
     assert "avg(" not in plan and "stddev" not in plan
+
+
+def test_split_features_meet_season_sums_where_they_are(spark):
+    """The wide rows are not shuffled for the season sums, nor the hot rows for their numbers, whatever the size."""
+    long = team_games(load_games(spark, SF))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = trailing_features(long, split=SplitPolicy(force=True))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin [_part" in plan
+    below = plan[plan.index("SortMergeJoin [_ek"):]
+    assert 0 < below.index("Window [") < below.index("Exchange ")
