@@ -60,3 +60,24 @@ def test_flagship_plan_shape(spark):
     assert plan.count("Exchange hashpartitioning(game_id") == 1
     assert plan.count("Exchange hashpartitioning(season") == 1
     assert "SortAggregate" not in plan
+
+
+def test_derived_features_are_made_after_pairing(spark):
+    """Both pairings give the same rows with the pace and trend features made anew, by NULL and repeated keys."""
+    from pyspark.sql import functions as F
+
+    from conftest import games_df
+    from tandem.functions.names import ROLLING_STATS, ROLLING_WINDOWS
+    from tandem.operators.matchup import matchup_by_event, matchup_join
+    from tandem.operators.windows import derived_features
+    from tandem.plans.pipeline import team_features
+
+    rows = [(i, f"2020-11-{1 + i // 2:02d}", "ab"[i % 2], "cd"[i % 3 % 2], 100 + i, None if i == 5 else 90 + 2 * i) for i in range(12)]
+    games = games_df(spark, rows).withColumn("home", F.when(F.col("game_id") != 7, F.col("home")))
+    feats = team_features(games)
+    derived = lambda side: derived_features(ROLLING_STATS, ROLLING_WINDOWS, side=side)
+    assert {"pace_diff_15", "off_pace_3", "scoring_trend"} <= set(derived(""))
+    for pair in (matchup_join, matchup_by_event):
+        plain, anew = pair(games, feats), pair(games, feats, derived=derived)
+        assert anew.schema.names == plain.schema.names
+        assert sorted(map(repr, anew.collect())) == sorted(map(repr, plain.collect()))
