@@ -50,3 +50,17 @@ def test_prefix_stability(spark):
     full = _feat(team_games(games))
     part = _feat(team_games(games.filter(F.col("date") <= cut)))
     assert part and all(full[k] == v for k, v in part.items())
+
+
+def test_marked_rows_keeps_every_key(spark):
+    """Rows whose key is marked all pass, NULLs included; of the others few do."""
+    from tandem.plans.jobs import key_marks, marked_rows
+    keys = [(7 * i, i % 2) for i in range(3000)] + [(None, 1), (7, None), (14, 0), (14, 0)]
+    marks = key_marks(spark.createDataFrame(keys, "k long, s int"), ["k", "s"])
+    rows = spark.createDataFrame([(i, s, f"r{i}") for i in range(21000) for s in (0, 1)] + [(None, 1, "n"), (7, None, "m")],
+                                 "game_id long, is_home int, r string")
+    out = marked_rows(rows, ["game_id", "is_home"], *marks)
+    assert out.columns == rows.columns
+    got = {(r.game_id, r.is_home) for r in out.collect()}
+    assert set(keys) & {(r.game_id, r.is_home) for r in rows.collect()} <= got
+    assert len(got) < 3002 + 0.1 * 42000 and out.count() == len(got)
