@@ -81,3 +81,26 @@ def test_derived_features_are_made_after_pairing(spark):
         plain, anew = pair(games, feats), pair(games, feats, derived=derived)
         assert anew.schema.names == plain.schema.names
         assert sorted(map(repr, anew.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_two_phase_serving_moves_only_rows_near_a_match(spark, monkeypatch):
+    """Of the whole history, rows that no match needs are left out before the wide rows are joined."""
+    from tandem.operators.longform import team_games
+    from tandem.operators.windows import SplitPolicy
+    from tandem.plans import jobs as J
+    from tandem.plans.pipeline import team_features
+    from tandem.plans.queries_sources import _slate
+
+    games, slate = _slate(spark, SF)
+    long, moved, real = team_games(games), [], J.marked_rows
+
+    def spy(rows, cols, *marks):
+        moved.append(real(rows, cols, *marks))
+        return moved[-1]
+    monkeypatch.setattr(J, "marked_rows", spy)
+    forced = SplitPolicy(force=True)
+    out = ["game_id", "home_points_scored_roll_10", "away_game_num", "home_days_rest"]
+    get = lambda df: sorted(map(repr, df.select(*out).collect()))
+    served = J.serve_from_history(slate, long, split=forced)
+    assert len(moved) == 1 and moved[0].count() < long.count() / 2
+    assert get(served) == get(J.serve_features(slate, team_features(games)))
