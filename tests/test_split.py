@@ -87,3 +87,13 @@ def test_split_features_meet_season_sums_where_they_are(spark):
     assert "BroadcastHashJoin [_part" in plan
     below = plan[plan.index("SortMergeJoin [_ek"):]
     assert 0 < below.index("Window [") < below.index("Exchange ")
+
+
+def test_split_equals_plain_with_repeated_rows(spark):
+    """A row that comes twice may lie on both sides of a bucket's edge."""
+    rows = [("a", i, i * 37 % 101) for i in range(40)] * 2
+    df = spark.createDataFrame(rows, "team string, n int, x long").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), "n"))
+    get = lambda split: _rows(trailing_features(df, order=[("date", True)], stats=["x"], std_stats=[], windows=[3, 5], season_col=None,
+                                                pace=False, trend=False, split=split),
+                              ["team", "n", "days_rest", "x_roll_3", "x_roll_5"])
+    assert get(SplitPolicy(force=True)) == get(SplitPolicy())
